@@ -18,3 +18,25 @@ WITH RECURSIVE d AS MATERIALIZED (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents
+), i AS (SELECT item_id, {WORDS.format("coalesce(text, '')")} AS w FROM benchmark
+), v AS MATERIALIZED (
+  SELECT DISTINCT item_id, g, len(g) AS n FROM (SELECT item_id, w[p:p + 9] AS g FROM
+    (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0))
+), h AS MATERIALIZED (
+  SELECT doc_id, p, v.n, v.item_id FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+    FROM d, (SELECT DISTINCT n FROM v) l WHERE len(w) >= n) x JOIN v ON v.n = x.n AND v.g = x.w[p:p + x.n - 1]
+), c AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import oracle
 from sieveline.llm.common import table
+from sieveline.llm.decontam import decontaminate
 from sieveline.llm.near_dup import near_duplicates
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -18,9 +23,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_benchmark_decontamination,
         op6_minhash_near_dedup,
     )
 }
 ORACLE: dict[str, str] = {
+    "op2_benchmark_decontamination": oracle.OP2,
     "op6_minhash_near_dedup": oracle.OP6,
 }
