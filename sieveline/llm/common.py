@@ -103,21 +103,29 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, payload: list[Column]) -> list:
-    """At most per_label rows of each label, the same ones on every run: those with the smallest hash of the key.
+def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
+    """About per_label rows of each label, or all of a rarer one: those whose key hashes under a threshold.
 
-    Counts first (label and key columns only), then reads just the rows under a hash threshold, so the driver
-    receives about per_label rows a label whatever the size of the input.
+    Counts first (label and key columns only); the rows that pass number about 1.25 * per_label + 40 a label whatever
+    the size of the input, the same ones on every run. first_of() trims them to the bound.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    h = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     top = 2.0**63
     limit = F.lit(None).cast("double")
     for value, n in sorted(sizes.items(), key=lambda x: str(x[0])):
         share = min(1.0, (1.25 * per_label + 40) / n)
         limit = F.when(F.col(label) == F.lit(value), F.lit(-top + 2 * top * share)).otherwise(limit)
-    rows = df.where(h.cast("double") <= limit).select(F.col(label).alias("label"), h.alias("h"), *payload).collect()
+    return df.where(_rank(key).cast("double") <= limit)
+
+
+def _rank(key: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+
+
+def first_of(df: DataFrame, label: str, key: str, per_label: int, payload: Column) -> list:
+    """Rows (label, h, x) of a bounded sample, sorted: the per_label smallest hashes of each label."""
+    rows = df.select(F.col(label).alias("label"), _rank(key).alias("h"), payload.alias("x")).collect()
     by: dict = {}
-    for r in sorted(rows, key=lambda r: (r["h"], str(r[2:]))):
+    for r in sorted(rows, key=lambda r: (r["h"], str(r["x"]))):
         by.setdefault(r["label"], []).append(r)
     return [r for v in sorted(by, key=str) for r in by[v][:per_label]]

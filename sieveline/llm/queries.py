@@ -9,22 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.llm import oracle
 from sieveline.llm.common import table
 from sieveline.llm.decontam import decontaminate
+from sieveline.llm.language_id import predict_languages
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.quality import score_quality
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"), folds=5, fold=0)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_benchmark_decontamination,
+        op4_language_id,
         op6_minhash_near_dedup,
+        op10_quality_classifier,
     )
 }
 ORACLE: dict[str, str] = {
