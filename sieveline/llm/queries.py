@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sieveline.llm import oracle
 from sieveline.llm.common import table
 from sieveline.llm.decontam import decontaminate
 from sieveline.llm.language_id import predict_languages
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
 
 
@@ -22,6 +24,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"), folds=5, fold=0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled segmentation of every whole text: its pieces, a digest of the ids, and whether they decode to the text."""
+    coded = encode(table(spark, sf_dir, "documents"), key="doc_id", keep=["doc_id"], alpha=1.0, seed=1)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -35,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_benchmark_decontamination,
         op4_language_id,
+        op5_sentencepiece,
         op6_minhash_near_dedup,
         op10_quality_classifier,
     )
