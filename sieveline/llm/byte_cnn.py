@@ -97,8 +97,9 @@ def predict(net: Net, texts: list[bytes], stride: int, group: int = 2048) -> np.
     return softmax(np.concatenate(out)) if out else np.empty((0, len(net.out)))
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, classes: int, weights: np.ndarray | None = None, both: bool = False, epochs: int = 6, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Net:
-    """Adam on the cross entropy; bags[i] holds the windows of example i."""
+def train(bags: list[np.ndarray], labels: np.ndarray, classes: int, weights: np.ndarray | None = None, both: bool = False, epochs: int = 6, least: int = 500, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Net:
+    """Adam on the cross entropy; bags[i] holds the windows of example i. Few examples get `least` steps anyway."""
+    epochs = max(epochs, -(-least // -(-len(bags) // batch)))
     rng = np.random.Generator(np.random.PCG64(seed))
     wide, filters = max(WIDTHS), EACH * len(WIDTHS)
     mask = np.concatenate([np.repeat([1.0] * w * DIM + [0.0] * (wide - w) * DIM, EACH).reshape(wide * DIM, EACH) for w in WIDTHS], axis=1).astype(np.float32)
