@@ -40,3 +40,31 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+OP1 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS MATERIALIZED (
+  SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), n AS (SELECT count(*) AS n FROM t
+), m AS (SELECT doc_id, count(*) AS m FROM t GROUP BY doc_id
+), c1 AS (SELECT v, count(*) AS c FROM t GROUP BY v
+), o1 AS (SELECT doc_id, v, count(*) AS c FROM t GROUP BY ALL
+), c2 AS (SELECT u, v, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY ALL
+), o2 AS (SELECT doc_id, u, v, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY ALL
+), s AS (
+  SELECT t.doc_id, n.n - m.m AS size, c1.c - o1.c AS one, coalesce(c2.c - o2.c, 0) AS two, p1.c - q1.c AS context
+  FROM t CROSS JOIN n JOIN m USING (doc_id) JOIN c1 ON c1.v = t.v JOIN o1 ON o1.doc_id = t.doc_id AND o1.v = t.v
+  LEFT JOIN c2 ON c2.u = t.u AND c2.v = t.v LEFT JOIN o2 ON o2.doc_id = t.doc_id AND o2.u = t.u AND o2.v = t.v
+  LEFT JOIN c1 p1 ON p1.v = t.u LEFT JOIN o1 q1 ON q1.doc_id = t.doc_id AND q1.v = t.u
+), p AS (
+  SELECT doc_id, two, one, context IS NULL AS head,
+    CASE WHEN one > 0 THEN one / greatest(size, 1)::DOUBLE ELSE 0.4::DOUBLE / (size + 1) END AS q, two / greatest(context, 1)::DOUBLE AS r FROM s
+), a AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (two > 0) AS n_full, count(*) FILTER (one = 0) AS n_unseen,
+    sum(ln(CASE WHEN two > 0 THEN r WHEN head THEN q ELSE 0.4::DOUBLE * q END)) AS log_prob FROM p GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_full, 0)::BIGINT AS n_full, coalesce(n_unseen, 0)::BIGINT AS n_unseen,
+  round(coalesce(log_prob, 0), 3) AS log_prob, round(log_prob / n_words, 4) AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""

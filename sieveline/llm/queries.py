@@ -11,11 +11,17 @@ from sieveline.llm import oracle
 from sieveline.llm.common import table
 from sieveline.llm.decontam import decontaminate
 from sieveline.llm.language_id import predict_languages
+from sieveline.llm.lm_score import stupid_backoff
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stupid_backoff(table(spark, sf_dir, "documents"), order=2, alpha=0.4)
+    return scored.withColumn("log_prob", F.round("log_prob", 3)).withColumn("score", F.round("score", 4))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, shingle=5)
 
@@ -41,6 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lm_scoring,
         op2_benchmark_decontamination,
         op4_language_id,
         op5_sentencepiece,
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLE: dict[str, str] = {
+    "op1_lm_scoring": oracle.OP1,
     "op2_benchmark_decontamination": oracle.OP2,
     "op6_minhash_near_dedup": oracle.OP6,
 }
