@@ -15,6 +15,7 @@ from sieveline.llm.lm_score import stupid_backoff
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
+from sieveline.llm.url_filter import judge
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,19 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+#: The rules of the url query, as (host, path, verdict), and the words that list a url in it.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+LISTED_URL = "adult|casino|spam|pills|bets|ads-track"
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, and as the list of bad urls all those whose host has a word of LISTED_URL."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = pages.where(F.regexp_extract("url", "://([^/?#]*)", 1).rlike(LISTED_URL)).select("url")
+    return judge(pages, rules, listed)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
 
@@ -52,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_language_id,
         op5_sentencepiece,
         op6_minhash_near_dedup,
+        op7_url_filter,
         op10_quality_classifier,
     )
 }
@@ -59,4 +74,5 @@ ORACLE: dict[str, str] = {
     "op1_lm_scoring": oracle.OP1,
     "op2_benchmark_decontamination": oracle.OP2,
     "op6_minhash_near_dedup": oracle.OP6,
+    "op7_url_filter": oracle.OP7,
 }
