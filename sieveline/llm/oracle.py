@@ -84,3 +84,12 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
   l.exact IS NOT NULL AS listed
 FROM f LEFT JOIN l USING (exact)
 """
+
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT d, min(page_id) AS original FROM p WHERE strlen(h) >= 100 GROUP BY d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""

@@ -16,6 +16,7 @@ from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
 from sieveline.llm.url_filter import judge
+from sieveline.llm.warc import archive_pages
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rules, listed)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_sentencepiece,
         op6_minhash_near_dedup,
         op7_url_filter,
+        op9_warc,
         op10_quality_classifier,
     )
 }
@@ -75,4 +82,5 @@ ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": oracle.OP2,
     "op6_minhash_near_dedup": oracle.OP6,
     "op7_url_filter": oracle.OP7,
+    "op9_warc": oracle.OP9,
 }
