@@ -16,6 +16,7 @@ from sieveline.llm.lm_score import stupid_backoff
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
+from sieveline.llm.rules import quality_rules
 from sieveline.llm.url_filter import judge
 from sieveline.llm.warc import archive_pages
 
@@ -66,6 +67,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rules, listed)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive_pages(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_sentencepiece,
         op6_minhash_near_dedup,
         op7_url_filter,
+        op8_quality_rules,
         op9_warc,
         op10_quality_classifier,
     )
