@@ -8,13 +8,16 @@
    so far and a uniform prior, is P(Bin(n + 1, t) <= m); a pair under the miss probability is pruned. Survivors are
    verified exactly on full sets, and the verified links give the first components.
 3. Buckets whose members still lie in several components are compared in full, in blocks of bounded size, but only
-   between components; the same pruning and exact verification follow. Every candidate pair of the banding is thus
-   tested or already known to be connected, and no group is ever written out as all its pairs.
+   between components and only in the first band that two members share; the same pruning follows. Pairs that
+   survive stay packed in arrays: a pack meets the texts of its members once and verifies its pairs on their full
+   sets. Every candidate pair of the banding is thus tested or already known to be connected, and no group is ever
+   written out as all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 from math import comb
 
@@ -29,6 +32,9 @@ BANDS, ROWS = 40, 4  #: a pair at similarity 0.8 shares no band with probability
 MISS = 1e-9  #: posterior probability under which a pair is pruned
 BATCH = 16  #: signature values compared at a time
 BLOCK = 1024  #: members of a bucket compared with each other in one task at most, twice over
+PACK = 1_000_000  #: shingles of the members of a pack at most, beyond two members
+PAIRS = 500_000  #: pairs of rows held at a time
+ROWS_A_TASK = 8000  #: rows of mixed buckets compared in one task, about
 
 _seed = np.random.Generator(np.random.PCG64(20240229))
 _A = (_seed.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -76,13 +82,13 @@ def least_matches(threshold: float, miss: float = MISS, total: int = BANDS * ROW
     return tuple(out)
 
 
-def survive(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Indices of the pairs of signature rows that no batch prunes."""
+def survive(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (x[a[i]], y[b[i]]) of signature rows no batch prunes."""
     alive = np.arange(len(a))
     same = np.zeros(len(a), np.int64)
     for i, least in enumerate(least_matches(threshold)):
         at = slice(i * BATCH, (i + 1) * BATCH)
-        same = same + (a[alive, at] == b[alive, at]).sum(axis=1)
+        same = same + (x[a[alive], at] == y[b[alive], at]).sum(axis=1)
         keep = same >= least
         alive, same = alive[keep], same[keep]
         if not len(alive):
@@ -113,7 +119,8 @@ def _prune(percent: int):
         for pdf in batches:
             a = np.frombuffer(b"".join(pdf["sig_a"]), np.uint16).reshape(len(pdf), -1)
             b = np.frombuffer(b"".join(pdf["sig_b"]), np.uint16).reshape(len(pdf), -1)
-            yield pdf.loc[survive(a, b, percent / 100), ["a", "b"]]
+            at = np.arange(len(pdf))
+            yield pdf.iloc[survive(a, b, at, at, percent / 100)][["a", "b"]]
 
     return run
 
@@ -140,26 +147,115 @@ def _verify(k: int, percent: int):
     return run
 
 
+def partners(first: np.ndarray, last: np.ndarray, chunk: np.ndarray, alone: np.ndarray):
+    """For each row of sorted groups [first, last): the range of rows that it is compared with.
+
+    A group with i = j pairs all its rows; one with two blocks pairs its lower with its higher block.
+    """
+    row = np.arange(len(first))
+    low = chunk == chunk[first]
+    high = np.where(np.append(np.diff(chunk) != 0, True), row + 1, 0)  # ends of runs of equal chunk
+    high = np.minimum(np.minimum.accumulate(np.where(high > 0, high, len(row))[::-1])[::-1], last)
+    start = np.where(alone, row + 1, np.where(low, high, last))
+    return start, np.maximum(last - start, 0)
+
+
 def _cross(percent: int):
-    """Pairs of one block pair of a bucket that lie in different components and survive the pruning."""
+    """Rows (key, i, j, chunk, node, comp, n, sig, bands), whole groups (key, i, j) together and sorted by chunk:
+    packs of pairs in different components that survive the pruning, each pair in the first band that it shares."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def packs(pdf: pd.DataFrame):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        node, comp, chunk = (pdf[c].to_numpy() for c in ("node", "comp", "chunk"))
-        low, high = chunk.min(), chunk.max()
-        alone = pdf["i"].iat[0] == pdf["j"].iat[0]
-        if low == high and not alone:  # one of the two blocks is empty
-            return pd.DataFrame({"a": pd.array([], "int64"), "b": pd.array([], "int64")})
-        one = np.flatnonzero(chunk == low)
-        two = np.flatnonzero(chunk == high)
-        found = []
-        for x in one:
-            other = two[(comp[two] != comp[x]) & (node[two] > node[x] if alone else node[two] != node[x])]
-            if len(other):
-                ok = other[survive(np.broadcast_to(sig[x], (len(other), sig.shape[1])), sig[other], percent / 100)]
-                found.append(np.stack([np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x])]))
-        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        bands = np.stack(pdf["bands"].to_numpy())
+        key, i, j, chunk, node, comp, n = (pdf[c].to_numpy() for c in ("key", "i", "j", "chunk", "node", "comp", "n"))
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        first, last = begin[group], np.append(begin[1:], len(pdf))[group]
+        start, count = partners(first, last, chunk, i == j)
+        ends = np.cumsum(count)
+        r = 0
+        while r < len(pdf):
+            stop = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + PAIRS, "right")))
+            x = np.repeat(np.arange(r, stop), count[r:stop])
+            y = np.arange(len(x)) - np.repeat(ends[r:stop] - count[r:stop] - (ends[r - 1] if r else 0), count[r:stop]) + np.repeat(start[r:stop], count[r:stop])
+            r = stop
+            ok = (comp[x] != comp[y]) & (node[x] != node[y])
+            x, y = x[ok], y[ok]
+            ok = survive(sig, sig, x, y, percent / 100)
+            x, y = x[ok], y[ok]
+            shared = (bands[x] == bands[y]).argmax(axis=1)
+            ok = bands[x, shared] == key[x]
+            x, y = x[ok], y[ok]
+            smaller, larger = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y])
+            ok = 100 * smaller >= percent * larger
+            yield from _packed(x[ok], y[ok], node, n)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            end = pdf.iloc[-1]
+            same = ((pdf["key"] == end["key"]) & (pdf["i"] == end["i"]) & (pdf["j"] == end["j"])).to_numpy()
+            cut = int(len(pdf) - np.argmin(same[::-1])) if not same.all() else 0  # the last group may go on
+            if cut:
+                yield from packs(pdf.iloc[:cut])
+            rest = pdf.iloc[cut:]
+        if rest is not None and len(rest):
+            yield from packs(rest)
+
+    return run
+
+
+def _packed(x: np.ndarray, y: np.ndarray, node: np.ndarray, n: np.ndarray):
+    """Packs (pack, a, b) of pairs of rows x, y: the members of a pack hold about PACK shingles at most."""
+    if not len(x):
+        return
+    out, a, b, members, size = [], [], [], set(), 0
+    for p, q in zip(x.tolist(), y.tolist()):
+        more = sum(int(n[v]) for v in (p, q) if v not in members)
+        if a and size + more > PACK:
+            out.append((a, b))
+            a, b, members, size = [], [], set(), 0
+            more = int(n[p]) + int(n[q])
+        a.append(int(node[p]))
+        b.append(int(node[q]))
+        members.update((p, q))
+        size += more
+    out.append((a, b))
+    yield pd.DataFrame([(uuid.uuid5(uuid.NAMESPACE_OID, f"{a}|{b}").hex, a, b) for a, b in out], columns=["pack", "a", "b"])
+
+
+def _verify_pack(k: int, percent: int):
+    """Texts of a pack's members, and the pack: the links among its pairs, by full sets."""
+
+    def run(texts: pd.DataFrame, pack: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t, k) for t in texts["text"]]
+        by: dict[int, list[int]] = {}
+        for at, node in enumerate(texts["node"].tolist()):  # a document may have several texts
+            by.setdefault(node, []).append(at)
+        _, ids = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        size = np.array([len(s) for s in sets], np.int64)
+        end = np.cumsum(size)
+        inside = np.zeros(len(ids) + 1, bool)
+        found = set()
+        pairs: dict[int, set[int]] = {}
+        for a, b in zip(pack["a"], pack["b"]):
+            for p, q in zip(a, b):
+                pairs.setdefault(int(p), set()).add(int(q))
+        for p, others in pairs.items():
+            for u in by.get(p, []):
+                mine = ids[end[u] - size[u] : end[u]]
+                inside[mine] = True
+                for q in others:
+                    for v in by.get(q, []):
+                        both = int(np.count_nonzero(inside[ids[end[v] - size[v] : end[v]]]))
+                        if both and 100 * both >= percent * (size[u] + size[v] - both):
+                            found.add((min(p, q), max(p, q)))
+                inside[mine] = False
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -203,9 +299,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     made = stored(docs.mapInPandas(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "sketch")
     full = made.where("fp is not null and doc_id is not null")
     classes = stored(full.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
-    reps = full.select("doc_id", "fp", "sig", "bands").join(classes.select("fp", F.col("node").alias("doc_id")), ["fp", "doc_id"])
+    reps = full.select("doc_id", "fp", "sig", "bands", "n_shingles").join(classes.select("fp", F.col("node").alias("doc_id")), ["fp", "doc_id"])
     # a class whose smallest id comes in several rows has that many equal rows here
-    reps = stored(reps.groupBy("fp").agg(F.first("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).drop("fp"), "reps")
+    reps = stored(reps.groupBy("fp").agg(F.first("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")).drop("fp"), "reps")
     member = reps.select("node", F.explode("bands").alias("key"))
     heads = member.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     near = stored(member.join(heads, "key"), "buckets")
@@ -232,12 +328,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = stored(components(links), "first")
 
     placed = near.join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low <> high")
+    mixed = stored(mixed.select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")), "mixed")
+    load = mixed.agg(F.sum(F.col("m") * F.col("g"))).first()[0] or 0
     rows = placed.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("key", "node", "comp", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
-    rows = rows.join(sig, "node")
-    crossed = stored(rows.groupBy("key", "i", "j").applyInPandas(_cross(percent), "a long, b long").distinct(), "cross")
-    more = stored(verified(crossed.join(star, ["a", "b"], "left_anti")), "more")
+    rows = rows.join(reps.select("node", "sig", "bands", F.col("n_shingles").alias("n")), "node")
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), load // ROWS_A_TASK), "key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk", "node")
+    packs = stored(rows.mapInPandas(_cross(percent), "pack string, a array<long>, b array<long>"), "packs")
+    members = packs.select("pack", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(text.select(F.col("doc_id").alias("node"), "text"), "node")
+    more = members.groupBy("pack").cogroup(packs.select(F.col("pack").alias("id"), "a", "b").groupBy("id")).applyInPandas(_verify_pack(k, percent), "a long, b long")
+    more = stored(more.distinct(), "more")
     final = components(links.unionByName(more).unionByName(first.select(F.col("comp").alias("a"), F.col("node").alias("b")))) if not more.isEmpty() else first
 
     size = final.count()
