@@ -62,7 +62,11 @@ def average_rank(by: list[str], value: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     ranked = df.withColumn("rx", average_rank(by, x)).withColumn("ry", average_rank(by, y))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("spearman"), F.corr(x, y).alias("pearson"))
+
+    def corr(a: str, b: str) -> Column:  # corr() fails on a constant column under ANSI; here it is null
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+    return ranked.groupBy(*by).agg(corr("rx", "ry").alias("spearman"), corr(x, y).alias("pearson"))
 
 
 def calibration(df: DataFrame, p: str, y: str, by: list[str], bins: int = 5) -> DataFrame:

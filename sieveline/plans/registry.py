@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ("corpus",):
+for _name in ("corpus", "evaluation"):
     importlib.import_module(f"sieveline.plans.{_name}")
