@@ -23,5 +23,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _name in ("corpus", "evaluation"):
+for _name in ("corpus", "evaluation", "streams", "models"):
     importlib.import_module(f"sieveline.plans.{_name}")
