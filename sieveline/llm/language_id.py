@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,30 +38,32 @@ def fit(docs: DataFrame, key: str = "doc_id", label: str = "lang", per_language:
     return names, byte_cnn.train(bags, np.array([names.index(r["label"]) for r in rows]), len(names))
 
 
-def _predict(names: list[str], net: byte_cnn.Net | None, columns: list[str]):
+def _predict(names: list[str], net: byte_cnn.Net | None, columns: list[str], out: tuple[str, str]):
     def run(batches):
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column("sieve_text").to_pylist()
             ok = [i for i, t in enumerate(texts) if t and net is not None and any(map(str.isalpha, t))]
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if ok:
                 p = byte_cnn.predict(net, [texts[i].encode("utf-8", "surrogatepass") for i in ok], STRIDE)
                 pred[ok], score[ok] = np.array(names, object)[p.argmax(axis=1)], p.max(axis=1)
-            yield pd.concat([pdf[columns], pd.DataFrame({"lang_pred": pred, "score": score}, index=pdf.index)], axis=1)
+            made = [pa.array(pred.tolist(), pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, *out])
 
     return run
 
 
-def identify(docs: DataFrame, names: list[str], net: byte_cnn.Net | None, keep: list[str]) -> DataFrame:
-    """docs(text, keep..., ...) -> keep..., lang_pred, score; only the text is read for a prediction.
+def identify(docs: DataFrame, names: list[str], net: byte_cnn.Net | None, keep: list[str], out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs(text, keep..., ...) -> keep..., lang_pred, score (or as out names them); only the text is read for a
+    prediction, and kept columns pass through as they are.
 
     The score is the mean softmax over all windows of the whole text, at its largest language.
     Null text, text without a letter, or nothing learned: `und` with score 0. Columns outside keep are ignored.
     """
     prepare(docs.sparkSession)
-    src = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return src.mapInPandas(_predict(names, net, keep), schema)
+    src = docs.select(*keep, F.col("text").cast("string").alias("sieve_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{out[0]}` string, `{out[1]}` double"
+    return src.mapInArrow(_predict(names, net, keep, out), schema)
 
 
 def predict_languages(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:

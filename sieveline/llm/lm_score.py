@@ -116,14 +116,14 @@ def stupid_backoff(docs: DataFrame, order: int = 2, alpha: float = ALPHA, others
     - Repeated rows are scored one by one and support each other. Extra columns are ignored.
     """
     prepare(docs.sparkSession)
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-size // BLOCK_BYTES), min(least, size >> 20))
     parts = max(1, order * size // 8 // PART_GRAMS, min(least, size >> 20))
-    keyed = base.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)).cast("int"))
+    keyed = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     named = keyed.groupBy("block").applyInPandas(_count(order, parts), "block int, part int, keys binary, counts binary")
     replies = named.groupBy("part").applyInPandas(_total, "of int, part int, totals binary")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = keyed.groupBy("block").cogroup(replies.groupBy("of")).applyInPandas(_score(order, parts, alpha, others), f"doc_id {kind}, n_words long, n_full long, n_unseen long, log_prob double")
-    return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+    scored = keyed.groupBy("block").cogroup(replies.groupBy("of")).applyInPandas(_score(order, parts, alpha, others), "doc_id string, n_words long, n_full long, n_unseen long, log_prob double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("score", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -23,6 +23,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,18 +99,18 @@ def survive(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, threshol
 
 def _sketch(k: int):
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
                 if len(s):
                     sig = signature(s)
-                    out.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype(np.uint16).tobytes(), band_keys(sig)))
+                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.astype(np.uint16).tobytes(), band_keys(sig)))
                 else:
-                    out.append((i, 0, None, None, None))
-            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "fp", "sig", "bands"])
-            made["doc_id"] = pdf["doc_id"].astype("Int64").values if len(pdf) else pd.array([], "Int64")
-            yield made
+                    out.append((0, None, None, None))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            made = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_shingles", "fp", "sig", "bands"])
 
     return run
 
@@ -296,7 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.mapInPandas(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "sketch")
+    made = stored(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "sketch")
     full = made.where("fp is not null and doc_id is not null")
     classes = stored(full.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
     reps = full.select("doc_id", "fp", "sig", "bands", "n_shingles").join(classes.select("fp", F.col("node").alias("doc_id")), ["fp", "doc_id"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +44,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> byte_
     return byte_cnn.train(bags, labels, 2, weights=0.5 / share[labels], epochs=5)
 
 
-def _score(net: byte_cnn.Net | None, columns: list[str]):
+def _score(net: byte_cnn.Net | None, columns: list[str], out: str):
     def run(batches):
-        for pdf in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"].tolist()]
+        for batch in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("sieve_text").to_pylist()]
             p = byte_cnn.predict(net, raw, STRIDE)[:, 1] if net is not None and raw else np.full(len(raw), 0.5)
-            yield pd.concat([pdf[columns], pd.DataFrame({"score": p.astype(float)}, index=pdf.index)], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p, pa.float64())], [*columns, out])
 
     return run
 
 
-def score(docs: DataFrame, net: byte_cnn.Net | None, keep: list[str]) -> DataFrame:
-    """docs(text, keep..., ...) -> keep..., score: the probability of quality 1, from all chunks of the whole text.
+def score(docs: DataFrame, net: byte_cnn.Net | None, keep: list[str], out: str = "score") -> DataFrame:
+    """docs(text, keep..., ...) -> keep..., score (or as out names it): the probability of quality 1, from all chunks of the whole text.
 
     Null text scores as the empty text (one empty chunk); without a network every score is 0.5.
     """
     prepare(docs.sparkSession)
-    src = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    return src.mapInPandas(_score(net, keep), schema)
+    src = docs.select(*keep, F.col("text").cast("string").alias("sieve_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{out}` double"
+    return src.mapInArrow(_score(net, keep, out), schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

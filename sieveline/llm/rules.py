@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,11 +116,14 @@ def word_histogram(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.append(np.bincount(at[hit], minlength=len(common)), len(h) - int(hit.sum())).astype(float)
 
 
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+
+
 def _judge(refs: dict, min_words: int):
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for lang, text in zip(pdf["lang"], pdf["text"]):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 counts, raw, h = base_counts(text)
                 n, repeat = counts[0], counts[4]
                 failed = n < 10 or 100 * repeat > 20 * n
@@ -131,8 +135,9 @@ def _judge(refs: dict, min_words: int):
                     char, word = distance(hist, ref[0]), distance(word_histogram(h, ref[1]), ref[2])
                     good = char <= CHAR_LIMIT + CHAR_NOISE / np.sqrt(hist.sum()) and word <= WORD_LIMIT + WORD_NOISE / np.sqrt(n)
                 out.append((*counts, failed, not failed and bool(good), char, word))
-            made = pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), made], axis=1)
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            made = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(RESULT), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", *RESULT])
 
     return run
 
@@ -152,4 +157,4 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return base.mapInPandas(_judge(references(base), min_words), schema)
+    return base.mapInArrow(_judge(references(base), min_words), schema)

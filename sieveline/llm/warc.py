@@ -132,14 +132,12 @@ def _write(folder: str):
     def run(batches):
         to = Bundles(folder)
         for pdf in batches:
-            ids = [None if pd.isna(i) else int(i) for i in pdf["page_id"]]
-            for i, url, payload, digest, other in zip(ids, pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"]):
-                to.add(i, record(i, url, bytes(payload), digest, None if pd.isna(other) else int(other)))
+            for i, url, payload, digest, other in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"]):
+                to.add(i, record(i, url, bytes(payload), digest, other))
             if len(to.rows) > 50_000:
-                made = to.place()
-                yield made.astype({"page_id": "Int64"})
+                yield to.place()
         to.close()
-        yield to.place().astype({"page_id": "Int64"})
+        yield to.place()
 
     return run
 
@@ -161,8 +159,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     again = stored(again, "repeats")
     side = F.broadcast(again) if again.count() * 160 <= BROADCAST_BYTES else again
     rows = base.join(side, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
-    index = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(_write(folder), "page_id long, file string, frame int, at long, size long")
-    return stored(index, "warc-index")
+    named = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
+    index = named.mapInPandas(_write(folder), "page_id string, file string, frame int, at long, size long")
+    return stored(index.withColumn("page_id", F.col("page_id").cast("long")), "warc-index")
 
 
 def _read(folder: str):
