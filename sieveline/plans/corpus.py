@@ -27,13 +27,13 @@ def _n_words(c: str = "text"):
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with key, first_id, and the first reason that rejects them."""
-    docs = t(spark, sf_dir, "documents").withColumn("key", text.dedup_key(F.col("text")))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.dedup_key(F.col("text")).alias("key"), _n_words().alias("n_words"), (F.trim("text") == "").alias("blank"))
     first = curation.first_ids(docs, "key", "doc_id").withColumnRenamed("first", "first_id")
     prior = t(spark, sf_dir, "benchmark").select(text.dedup_key(F.col("text")).alias("key"), F.lit(True).alias("prior")).distinct()
     rows = docs.join(first, "key").join(prior, "key", "left")
-    n = _n_words()
-    reason = curation.first_reason([("empty", F.trim("text") == ""), ("short", n < 20), ("long", n > 5000), ("prior", F.col("prior").isNotNull()), ("duplicate", F.col("doc_id") != F.col("first_id"))])
-    return rows.withColumn("reason", reason).withColumn("n_words", n)
+    n = F.col("n_words")
+    reason = curation.first_reason([("empty", F.col("blank")), ("short", n < 20), ("long", n > 5000), ("prior", F.col("prior").isNotNull()), ("duplicate", F.col("doc_id") != F.col("first_id"))])
+    return rows.withColumn("reason", reason)
 
 
 POOL = f"""
