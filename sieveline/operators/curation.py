@@ -54,14 +54,26 @@ def duplicate_summary(df: DataFrame, key: str) -> DataFrame:
 
 def hash_ranked(df: DataFrame, namespace: str, key: str, strata: list[str]) -> DataFrame:
     """df with `hash_rank` inside its stratum: order by SHA-256 of the namespaced key, then the key. Stands for every
-    seeded shuffle or sample. Without strata the whole table has one order, which is a global sort."""
-    order = [sha256(namespace, F.col(key)), F.col(key)]
-    return df.withColumn("hash_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+    seeded shuffle or sample.
+
+    A stratum may hold most rows, so none is numbered in one task: rows are numbered inside 4096 ranges of the hash,
+    and each range starts after the counts of those before it in its stratum (4096 rows a stratum at most).
+    """
+    h = df.withColumn("sieve_h", sha256(namespace, F.col(key))).withColumn("sieve_b", F.substring("sieve_h", 1, 3))
+    counts = h.groupBy(*[F.col(s).alias(f"sieve_s{i}") for i, s in enumerate(strata)], F.col("sieve_b").alias("sieve_c")).agg(F.count("*").alias("sieve_n"))
+    before = F.sum("sieve_n").over(Window.partitionBy(*[f"sieve_s{i}" for i in range(len(strata))]).orderBy("sieve_c")) - F.col("sieve_n")
+    start = counts.withColumn("sieve_before", before).drop("sieve_n")
+    inside = h.withColumn("sieve_i", F.row_number().over(Window.partitionBy(*strata, "sieve_b").orderBy("sieve_h", key)))
+    match = F.col("sieve_b") == F.col("sieve_c")
+    for i, s in enumerate(strata):
+        match = match & F.col(s).eqNullSafe(F.col(f"sieve_s{i}"))
+    return inside.join(start, match).withColumn("hash_rank", F.col("sieve_i") + F.col("sieve_before")).select(*df.columns, "hash_rank")
 
 
 def quota_sample(df: DataFrame, namespace: str, key: str, strata: list[str], quota: int) -> DataFrame:
-    """The first quota rows of each stratum by hash rank; Spark keeps quota rows a task before it shuffles."""
-    return hash_ranked(df, namespace, key, strata).where(F.col("hash_rank") <= quota)
+    """The first quota rows of each stratum by hash order; Spark keeps quota rows a task before it shuffles."""
+    order = Window.partitionBy(*strata).orderBy(sha256(namespace, F.col(key)), F.col(key))
+    return df.withColumn("hash_rank", F.row_number().over(order)).where(F.col("hash_rank") <= quota)
 
 
 def quota_shortfall(df: DataFrame, strata: list[str], quotas: DataFrame) -> DataFrame:
