@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", where):  # as Spark would read it, so that Python reads the same place
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        where = path.getFileSystem(hadoop).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", where).rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

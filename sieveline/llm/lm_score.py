@@ -23,23 +23,24 @@ PART_GRAMS = 1_000_000  #: distinct n-grams of a hash partition, about, over all
 _EMPTY = np.array([0x9E3779B97F4A7C15], np.uint64)  #: key of the empty n-gram, whose count is the corpus size
 
 
-def _keys(hashes: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """For n = 1 ... order: the n-grams of all documents, one after the other."""
-    return [np.concatenate([grams(h, n) for h in hashes]) if hashes else np.empty(0, np.uint64) for n in range(1, order + 1)]
-
-
-def _table(keys: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a block, their counts, and the place of each n-gram among them."""
-    flat = np.concatenate([*keys, _EMPTY])
-    distinct, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    counts[inverse[-1]] += words - 1
-    return distinct, counts, inverse[:-1]
+def _tables(hashes: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams of a block of documents with their counts (the empty one first, then order by order), and for
+    each order the place of every n-gram among them, document after document. One order is held at a time."""
+    distinct, counts, places, base = [_EMPTY], [np.array([sum(map(len, hashes))], np.int64)], [], 1
+    for n in range(1, order + 1):
+        flat = np.concatenate([grams(h, n) for h in hashes]) if hashes else np.empty(0, np.uint64)
+        keys, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        del flat
+        distinct.append(keys)
+        counts.append(count)
+        places.append((inverse + base).astype(np.int32))
+        base += len(keys)
+    return np.concatenate(distinct), np.concatenate(counts), places
 
 
 def _count(order: int, parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [word_hashes(t) for t in pdf["text"]]
-        distinct, counts, _ = _table(_keys(hashes, order), sum(map(len, hashes)))
+        distinct, counts, _ = _tables([word_hashes(t) for t in pdf["text"]], order)
         part = (distinct % np.uint64(parts)).astype(np.int64)
         at = np.argsort(part, kind="stable")
         edges = np.flatnonzero(np.diff(part[at])) + 1
@@ -63,17 +64,15 @@ def _score(order: int, parts: int, alpha: float, others: bool):
     def run(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         hashes = [word_hashes(t) for t in pdf["text"]]
         sizes = np.array([len(h) for h in hashes], np.int64)
-        keys = _keys(hashes, order)
-        distinct, _, inverse = _table(keys, int(sizes.sum()))
+        distinct, _, places = _tables(hashes, order)
         del hashes
         at = np.argsort((distinct % np.uint64(parts)).astype(np.int64), kind="stable")
         totals = np.empty(len(distinct), np.int64)
         totals[at] = np.concatenate([np.frombuffer(b, np.int64) for _, b in sorted(zip(replies["part"], replies["totals"]))])
-        corpus = int(totals[np.searchsorted(distinct, _EMPTY)][0])
+        corpus = int(totals[0])
         # where the n-grams of each order and document begin
         per = [np.maximum(sizes - n, 0) for n in range(order)]
-        base = np.cumsum([0, *(int(p.sum()) for p in per)])
-        starts = [base[n] + np.cumsum(per[n]) - per[n] for n in range(order)]
+        starts = [np.cumsum(p) - p for p in per]
         out = []
         for d, m in enumerate(sizes.tolist()):
             if not m:
@@ -81,7 +80,7 @@ def _score(order: int, parts: int, alpha: float, others: bool):
                 continue
             count = []
             for n in range(min(order, m)):
-                i = inverse[starts[n][d] : starts[n][d] + per[n][d]]
+                i = places[n][starts[n][d] : starts[n][d] + per[n][d]]
                 c = totals[i]
                 if others:
                     _, back, own = np.unique(i, return_inverse=True, return_counts=True)
