@@ -10,8 +10,8 @@ from sieveline.functions.hashing import hash_int
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Ends of the score interval of a rate, within 0 and 1; null for n = 0."""
-    n = n.cast("double")
-    p = F.try_divide(k, n)
+    n = F.when(n > 0, n.cast("double"))
+    p = k / n
     center = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return F.greatest(center - half, F.lit(0.0)), F.least(center + half, F.lit(1.0))

@@ -1,0 +1,6 @@
+"""The named queries; importing any of them registers all."""
+
+import importlib
+
+for _name in ("corpus", "evaluation", "streams", "models"):
+    importlib.import_module(f"sieveline.plans.{_name}")

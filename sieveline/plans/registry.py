@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,3 @@ def query(sql: str | None = None) -> Callable:
         return f
 
     return add
-
-
-for _name in ("corpus", "evaluation", "streams", "models"):
-    importlib.import_module(f"sieveline.plans.{_name}")
