@@ -324,3 +324,42 @@ def verify(reference: Column, text: Column) -> Column:
     want, got = exact_value(reference), exact_value(extract_answer(text))
     detail = F.when(got.isNull(), "no readable answer").when(want.isNull(), "unreadable reference").when(got == want, "equal").otherwise(F.concat(F.lit("got "), got, F.lit(" want "), want))
     return F.struct(same_answer(got, want).alias("passed"), detail.alias("detail"))
+
+
+def edit_gate(text: Column) -> Column:
+    """struct(text, action, reasons) of a self-written lesson: list markers become dashes, a last line that commits to
+    one side goes if the body names no other side; then accept (nothing done), normalize, or retry where no rule or no
+    template of eight words is left or a committed side remains."""
+    verdict = r"(?i)verdict:\s*solution\s*([AB])\b"
+    clean = F.regexp_replace(F.trim(text), r"(?im)^([ \t]*)(?:step[ \t]+)?\d{1,2}[.):][ \t]+", "$1- ")
+    lines = F.split(clean, "\n")
+    last, body = F.element_at(lines, -1), F.array_join(F.slice(lines, 1, F.size(lines) - 1), "\n")
+    side = F.upper(F.regexp_extract(last, verdict, 1))
+    other = F.when(side == "A", body.rlike(r"(?i)solution\s*B\b")).when(side == "B", body.rlike(r"(?i)solution\s*A\b")).otherwise(True)
+    commits = (F.regexp_count(last, F.lit(verdict)) == 1) & ~other
+    chosen = F.trim(F.when(commits, body).otherwise(clean))
+    sides = F.array_distinct(F.transform(F.regexp_extract_all(chosen, F.lit(verdict), F.lit(1)), F.upper))
+    n_words = lambda t: F.regexp_count(t, F.lit(r"(?U)\w+"))
+    halves = F.split(chosen, "(?i)ideal response template|\n[ \t]*\n", 2)
+    reasons = F.array_compact(
+        F.array(
+            F.when(clean != F.trim(text), F.lit("list_markers")),
+            F.when(commits, F.lit("committed_side")),
+            F.when(chosen == "", F.lit("empty")),
+            F.when(F.size(sides) == 1, F.lit("committed_side_remains")),
+            F.when(n_words(F.get(halves, 0)) < 8, F.lit("no_rule")),
+            F.when(F.coalesce(n_words(F.get(halves, 1)), F.lit(0)) < 8, F.lit("no_template")),
+        )
+    )
+    bad = F.arrays_overlap(reasons, F.array(*map(F.lit, ("empty", "committed_side_remains", "no_rule", "no_template"))))
+    act = F.when(bad, "retry").when(F.size(reasons) > 0, "normalize").otherwise("accept")
+    return F.struct(chosen.alias("text"), act.alias("action"), reasons.alias("reasons"))
+
+
+def output_flags(text: Column, hit_cap: Column) -> Column:
+    """Detectors of a program-like answer: S-format (no labelled or boxed answer), S-loop (cut off while repeating a
+    line), S-integer (a decimal where the answer is a whole number of things)."""
+    answer = extract_answer(text, "strict")
+    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
+    loop = hit_cap & (F.size(lines) - F.size(F.array_distinct(lines)) >= 3)
+    return F.array_compact(F.array(F.when(answer.isNull(), F.lit("S-format")), F.when(loop, F.lit("S-loop")), F.when(F.coalesce(answer, F.lit("")).rlike(r"^-?\d+\.\d*[1-9]\d*$"), F.lit("S-integer"))))

@@ -135,3 +135,42 @@ def weighted_vote(attempts: DataFrame) -> DataFrame:
 def first_passing(candidates: DataFrame, key: str, order: str, ok: str, value: str) -> DataFrame:
     """(key, value): of the rows that pass, the one that comes first; keys without any are null."""
     return candidates.groupBy(key).agg(F.min_by(F.when(F.col(ok), F.col(value)), F.when(F.col(ok), F.col(order))).alias(value))
+
+
+def log_prob_debiasing(pairs: DataFrame, source: str) -> DataFrame:
+    """One row over pairs(source, m_ab, m_ba, first_right), m being the log-probability margin of A over B in each order:
+    accuracy of single orders, of the mean of both (debiased), and of single orders less the position bias of all other
+    sources; the gain splits into the removed bias and the second reading. Zero margins count one half."""
+    bias = (F.col("m_ab") + F.col("m_ba")) / 2
+    per = pairs.groupBy(F.col(source).alias("sieve_g")).agg(F.sum(bias).alias("gs"), F.count("*").alias("gn"))
+    total = per.agg(F.sum("gs").alias("ts"), F.sum("gn").alias("tn"))
+    loo = per.crossJoin(F.broadcast(total)).select("sieve_g", ((F.col("ts") - F.col("gs")) / F.greatest(F.col("tn") - F.col("gn"), F.lit(1))).alias("loo"))
+
+    def score(m: Column, first_is_a: Column) -> Column:
+        return F.when(m == 0, 0.5).otherwise(((m > 0) == first_is_a).cast("double"))
+
+    right = F.col("first_right")
+    rows = pairs.join(loo, F.col(source).eqNullSafe(F.col("sieve_g")))
+    single = (score(F.col("m_ab"), right) + score(F.col("m_ba"), ~right)) / 2
+    corrected = (score(F.col("m_ab") - F.col("loo"), right) + score(F.col("m_ba") - F.col("loo"), ~right)) / 2
+    debiased = score((F.col("m_ab") - F.col("m_ba")) / 2, right)
+    out = rows.agg(F.count("*").alias("n"), F.avg(single).alias("single"), F.avg(corrected).alias("corrected"), F.avg(debiased).alias("debiased"), F.avg(bias).alias("bias"))
+    return out.select("n", "single", "corrected", "debiased", "bias", (F.col("corrected") - F.col("single")).alias("bias_removal"), (F.col("debiased") - F.col("corrected")).alias("two_readings"))
+
+
+def verdict_log_probs(tokens: Column, prefix: str = "Solution") -> Column:
+    """struct(position, A, B) of an array of struct(token, options array<struct(text, logprob)>): the largest
+    log-probability of A and of B at the token after the last one that ends the prefix; null parts where there is none."""
+    ends = F.filter(F.transform(tokens, lambda t, i: F.when(F.trim(t["token"]).endswith(prefix), i + 1)), lambda i: i.isNotNull())
+    at = F.when(F.size(ends) > 0, F.element_at(ends, -1))
+    options = F.get(tokens, at)["options"]
+    best = lambda side: F.array_max(F.transform(F.filter(options, lambda o: F.trim(o["text"]) == side), lambda o: o["logprob"]))
+    return F.struct(at.alias("position"), best("A").alias("A"), best("B").alias("B"))
+
+
+def resolve_references(refs: DataFrame, reference: str, rows: DataFrame, path: str, key: str) -> DataFrame:
+    """refs with `found`: whether `path#id=ID` names a row of rows(path, key, ...); joined on both parts. A malformed
+    reference is never found."""
+    r = refs.withColumn("sieve_p", F.regexp_extract(reference, "^(.*)#id=(.*)$", 1)).withColumn("sieve_k", F.regexp_extract(reference, "^(.*)#id=(.*)$", 2))
+    known = rows.select(F.col(path).alias("sieve_p"), F.col(key).cast("string").alias("sieve_k")).distinct().withColumn("found", F.lit(True))
+    return r.join(known, ["sieve_p", "sieve_k"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("sieve_p", "sieve_k")

@@ -141,3 +141,31 @@ def classification(df: DataFrame, y: str, predicted: str, by: list[str]) -> Data
     tp, fp, fn, tn = (F.count_if((F.col(y) == a) & (F.col(predicted) == b)) for a, b in ((1, 1), (0, 1), (1, 0), (0, 0)))
     r = lambda a, b: F.round(F.try_divide(a, b), 6)
     return df.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), r(tp, tp + fn).alias("recall"), r(tn, tn + fp).alias("specificity"), r(tp, tp + fp).alias("precision"), F.round((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2, 6).alias("balanced_accuracy"))
+
+
+def stratified_bootstrap(groups: DataFrame, strata: list[str], key: str, numerator: str, denominator: str, replicates: int, seed: str) -> DataFrame:
+    """One row (lo, hi): a ratio of sums where clusters are resampled inside each stratum. The ends are order
+    statistics, the floor(0.025 B)th and ceil(0.975 B) - 1th replicate from 0, not interpolated."""
+    spark = groups.sparkSession
+    numbered = groups.withColumn("j", F.row_number().over(Window.partitionBy(*strata).orderBy(key)) - 1)
+    sizes = groups.groupBy(*strata).agg(F.count("*").alias("n"))
+    draws = sizes.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "b"))).select(*strata, "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    draws = draws.select(*strata, "b", (hash_int(seed, *[F.col(s) for s in strata], F.col("b"), F.col("i")) % F.col("n")).alias("j"))
+    stat = draws.join(numbered, [*strata, "j"]).groupBy("b").agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("stat")).where("stat is not null")
+    ranked = stat.agg(F.array_sort(F.collect_list("stat")).alias("x"))  # one number a replicate
+    n = F.size("x")
+    return ranked.select(F.get("x", F.floor(n * 0.025).cast("int")).alias("lo"), F.get("x", (F.ceil(n * 0.975) - 1).cast("int")).alias("hi"))
+
+
+def recall_estimate(flagged: Column, precision_k: Column, precision_n: Column, unflagged: Column, miss_k: Column, miss_n: Column) -> Column:
+    """struct(recall, low, high) from a sample of each stratum: true positives over true positives and misses, with the
+    Wilson ends of both rates against each other."""
+    p, m = precision_k / precision_n, miss_k / miss_n
+    (p_lo, p_hi), (m_lo, m_hi) = wilson(precision_k, precision_n), wilson(miss_k, miss_n)
+    of = lambda a, b: F.try_divide(flagged * a, flagged * a + unflagged * b)
+    return F.struct(of(p, m).alias("recall"), of(p_lo, m_hi).alias("low"), of(p_hi, m_lo).alias("high"))
+
+
+def non_inferior(lower: Column, margin: float) -> Column:
+    """Whether the lower end of an interval of the difference lies above the margin."""
+    return lower > margin

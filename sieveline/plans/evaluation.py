@@ -311,6 +311,39 @@ def boundary_pairs(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cust")).agg(F.max(F.when(kind == "1-URGENT", F.col("o_totalprice"))).alias("upper_anchor"), F.max(F.when(kind == "5-LOW", F.col("o_totalprice"))).alias("upper_added"), (F.count_distinct(F.when(two, kind)) == 2).alias("complete"))
 
 
+@query(JUDGE + """, m AS (SELECT pid, "right" = 'first' AS fr, (('0x' || substr(sha256('m|ab|' || pid::VARCHAR || '|' || k::VARCHAR), 1, 8))::BIGINT % 21 - 8)::DOUBLE AS ma, (('0x' || substr(sha256('m|ba|' || pid::VARCHAR || '|' || k::VARCHAR), 1, 8))::BIGINT % 21 - 8)::DOUBLE AS mb FROM j
+), g AS (SELECT pid, sum((ma + mb) / 2) AS gs, count(*) AS gn FROM m GROUP BY 1), l AS (SELECT pid, (sum(gs) OVER () - gs) / greatest(sum(gn) OVER () - gn, 1) AS loo FROM g
+), r AS (SELECT CASE WHEN ma = 0 THEN 0.5 ELSE ((ma > 0) = fr)::INT END AS sa, CASE WHEN mb = 0 THEN 0.5 ELSE ((mb > 0) = NOT fr)::INT END AS sb, CASE WHEN ma - loo = 0 THEN 0.5 ELSE ((ma - loo > 0) = fr)::INT END AS ca, CASE WHEN mb - loo = 0 THEN 0.5 ELSE ((mb - loo > 0) = NOT fr)::INT END AS cb,
+  CASE WHEN ma = mb THEN 0.5 ELSE ((ma > mb) = fr)::INT END AS d, (ma + mb) / 2 AS bias FROM m JOIN l USING (pid))
+SELECT count(*) AS n, round(avg((sa + sb) / 2.0::DOUBLE), 6) AS single, round(avg((ca + cb) / 2.0::DOUBLE), 6) AS corrected, round(avg(d::DOUBLE), 6) AS debiased, round(avg(bias), 6) AS bias FROM r""")
+def log_prob_debiasing(spark, sf_dir):
+    """Margins of both orders, with the position bias of all other sources taken off."""
+    pairs = judgments(spark, sf_dir).where("ord = 'ab'")
+    margin = lambda o: (hash_int("m", o, F.col("pid"), F.col("k")) % 21 - 8).cast("double")
+    m = pairs.select("pid", margin("ab").alias("m_ab"), margin("ba").alias("m_ba"), (F.col("right") == "first").alias("first_right"))
+    out = evaluation.log_prob_debiasing(m, "pid")
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("single", "corrected", "debiased", "bias")])
+
+
+@query("""WITH g AS (SELECT o_orderstatus AS st, o_custkey % 53 AS j0, sum((o_totalprice > 150000)::INT) AS num, count(*) AS den FROM orders GROUP BY 1, 2
+), n AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY j0) - 1 AS j FROM g), c AS (SELECT st, count(*) AS n FROM g GROUP BY 1
+), d AS (SELECT st, b, ('0x' || substr(sha256('sb|' || st || '|' || b::VARCHAR || '|' || i::VARCHAR), 1, 8))::BIGINT % n AS j FROM c, range(0, 200) r(b), range(0, 53) q(i) WHERE i < n
+), s AS (SELECT b, sum(num) / sum(den)::DOUBLE AS stat FROM d JOIN n USING (st, j) GROUP BY 1), l AS (SELECT list_sort(list(stat)) AS x FROM s)
+SELECT round(x[6], 6) AS lo, round(x[195], 6) AS hi FROM l""")
+def stratified_bootstrap(spark, sf_dir):
+    """Clusters resampled inside strata, ends as order statistics."""
+    g = t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("st"), (F.col("o_custkey") % 53).alias("j0")).agg(F.sum((F.col("o_totalprice") > 150000).cast("int")).alias("num"), F.count("*").alias("den"))
+    return statistics.stratified_bootstrap(g, ["st"], "j0", "num", "den", 200, "sb").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("SELECT event_id, event_id % 7 <> 0 AND event_id % 2 = 0 AS found FROM events")
+def provenance_references(spark, sf_dir):
+    """`path#id=ID` values resolved to rows of another table; malformed ones are never found."""
+    e = t(spark, sf_dir, "events").select("event_id", F.concat(F.lit("log/"), F.col("event_type"), F.when(F.col("event_id") % 7 == 0, "#").otherwise("#id="), F.col("event_id").cast("string")).alias("ref"))
+    rows = t(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("log/"), F.col("event_type")).alias("path"), "event_id")
+    return evaluation.resolve_references(e, "ref", rows, "path", "event_id").select("event_id", "found")
+
+
 def greedy_matches(spark, sf_dir):
     """The nearest unused candidate for each target, in order of length, inside a language."""
     docs = t(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("id"), F.col("n_chars").alias("length"), (F.col("doc_id") % 10 == 0).alias("is_target"))

@@ -100,3 +100,26 @@ def test_sign_test(spark, k, n):
     want = 1.0 if n == 0 else min(1.0, 2 * sum(comb(n, i) for i in range(min(w, l) + 1)) / 2**n)
     got = one(spark, [(w, l)], "w int, l int", sign_test(F.col("w"), F.col("l")))[0][0]
     assert abs(got - want) < 1e-9
+
+
+def test_edit_gate_and_flags(spark):
+    rule = "always check the sign of every term before adding them up"
+    rows = [(f"1. {rule}\n\nIdeal response template: state each step and then say which one is wrong\nVerdict: Solution A", "normalize"), (f"{rule}\n\nstate each step and then say which one is wrong here", "accept"), ("short", "retry"), ("", "retry")]
+    g = answers.edit_gate(F.col("t"))
+    got = one(spark, rows, "t string, w string", "w", g["action"], g["reasons"], g["text"])
+    assert [x[:2] for x in got] == [(w, w) for _, w in rows]
+    assert got[0][2] == ["list_markers", "committed_side"] and "Verdict" not in got[0][3] and got[0][3].startswith("- ")
+    flags = one(spark, [("Answer: 2.5", False), ("x\nx\nx\nx", True)], "t string, c boolean", answers.output_flags(F.col("t"), F.col("c")))
+    assert flags == [(["S-integer"],), (["S-format", "S-loop"],)]
+
+
+def test_verdict_log_probs(spark):
+    from sieveline.operators.evaluation import verdict_log_probs
+    from sieveline.operators.statistics import recall_estimate
+
+    kind = "x array<struct<token:string,options:array<struct<text:string,logprob:double>>>>"
+    row = [(" Solution", []), (" A", [("A", -2.0)]), ("Solution", []), (" B", [(" A", -1.5), ("A", -3.0), ("B", -0.2)])]
+    got = one(spark, [(row,), ([],)], kind, verdict_log_probs(F.col("x")))
+    assert tuple(got[0][0]) == (3, -1.5, -0.2) and tuple(got[1][0]) == (None, None, None)
+    r = spark.range(1).select(recall_estimate(F.lit(100), F.lit(9), F.lit(10), F.lit(900), F.lit(1), F.lit(90)).alias("r")).first().r
+    assert abs(r.recall - 0.9) < 1e-9 and r.low < r.recall < r.high
