@@ -2,7 +2,9 @@
 
 A reference holds, over all documents of a language, the histogram of character classes and that of its commonest
 words. A document's own two histograms are compared with them by the Jensen-Shannon distance (base 2, 0 to 1). Small
-samples diverge by chance, about as 1 / sqrt(n), so short texts are not judged and limits fall with the length.
+samples diverge by chance, about as 1 / sqrt(n), so short texts are not judged and limits fall with the length. Without
+a reference of its own language a document is only compared in characters, all letters taken as one class, with all
+documents: the words, the case and the script of other languages say nothing about it.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import grams, prepare
+from sieveline.llm.common import BROADCAST_BYTES, grams, prepare, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 TOP = 50  #: common words of a language; all others are one class
-LEAST_DOCS, LEAST_SHARE = 20, 0.001  #: a language needs so many documents, and this share of all, for a reference
+LEAST_DOCS = 20  #: a language needs so many documents for a reference, however many there are of others
+REFERENCE_BYTES = 2000  #: upper bound of a reference as it is sent to each worker
 MIN_WORDS = 50  #: shorter texts pass
 CHAR_LIMIT, CHAR_NOISE = 0.24, 0.8  #: a text fails above limit + noise / sqrt(characters)
 WORD_LIMIT, WORD_NOISE = 0.27, 1.4  #: the same over words
@@ -33,6 +36,8 @@ for _b in range(128):
     _CLASS[_b] = 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 3 if _c == " " else 4 if _c in "\t\n\x0b\x0c\r" else 5 if _c in ".,;:?'\"-()" else 6 if _c == "!" else 7
 _CLASS[0x80:0xC0] = 10
 _CLASS[0xC2:0xCA] = 8
+#: The same with all letters, and other characters beyond ASCII, as one class.
+_FOLD = np.array([0, 0, 1, 2, 3, 4, 5, 6, 0, 0])
 
 
 def classes(raw: bytes) -> np.ndarray:
@@ -74,9 +79,10 @@ def base_counts(text: str | None) -> tuple[tuple[int, int, int, int, int], bytes
     return (n, len(text) - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeat), raw, h
 
 
-def references(docs: DataFrame, top: int = TOP) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Language -> (class histogram, hashes of its commonest words, their counts with the rest last), from all rows of
-    docs(lang, text) with a language. LEAST_SHARE bounds the number of languages, and with it what the driver holds."""
+def references(docs: DataFrame, top: int = TOP) -> tuple[DataFrame, np.ndarray | None]:
+    """A table (lang, ref_chars, ref_words, ref_common) with a row for each language of LEAST_DOCS documents: its class
+    histogram, its number of words, and the hashes and counts of its commonest words. And the folded class histogram of
+    all documents, with or without a language; null if they are under LEAST_DOCS."""
 
     def sums(batches):
         for pdf in batches:
@@ -86,25 +92,42 @@ def references(docs: DataFrame, top: int = TOP) -> dict[str, tuple[np.ndarray, n
                 by[lang] = by.get(lang, 0) + np.concatenate([classes(raw), [len(raw.split()), 1]])
             yield pd.DataFrame([(k, *map(int, v)) for k, v in by.items()], columns=["lang", *names])
 
+    def hashed(batches):
+        for pdf in batches:
+            h = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in pdf["w"]]
+            yield pd.DataFrame({"lang": pdf["lang"], "h": np.array(h, np.uint64).view(np.int64), "n": pdf["count"]})
+
     names = [*(f"c{i}" for i in range(CLASSES)), "words", "docs"]
-    docs = docs.where("lang is not null and text is not null")
-    parts = docs.select("lang", "text").mapInPandas(sums, "lang string, " + ", ".join(f"{n} long" for n in names))
-    least = max(LEAST_DOCS, LEAST_SHARE * docs.count())
-    total = parts.groupBy("lang").agg(*[F.sum(n).alias(n) for n in names]).where(F.col("docs") >= least).collect()
-    kept = [r["lang"] for r in total]
-    if not kept:
-        return {}
-    words = docs.where(F.col("lang").isin(kept)).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
+    docs = docs.where("text is not null").select("lang", "text")
+    parts = docs.mapInPandas(sums, "lang string, " + ", ".join(f"{n} long" for n in names))
+    total = stored(parts.groupBy("lang").agg(*[F.sum(n).alias(n) for n in names]), "references")
+    every = total.agg(*[F.sum(n) for n in names]).first()
+    rest = fold(np.array(every[:CLASSES], float)) if (every[-1] or 0) >= LEAST_DOCS else None
+    total = total.where(F.col("lang").isNotNull() & (F.col("docs") >= LEAST_DOCS))
+    kept = total.select("lang")
+    words = docs.join(F.broadcast(kept) if _few(kept) else kept, "lang", "left_semi")
+    words = words.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))
-    common: dict[str, list] = {}
-    for r in words.withColumn("rank", rank).where(F.col("rank") <= top).orderBy("lang", "rank").collect():
-        common.setdefault(r["lang"], []).append((xxhash.xxh3_64_intdigest(r["w"].encode()), r["count"]))
-    out = {}
-    for r in total:
-        found = sorted(common.get(r["lang"], []))
-        counts = [c for _, c in found]
-        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(CLASSES)], float), np.array([h for h, _ in found], np.uint64), np.array([*counts, r["words"] - sum(counts)], float))
-    return out
+    common = words.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "w", "count").mapInPandas(hashed, "lang string, h long, n long")
+    common = common.groupBy("lang").agg(F.collect_list(F.struct("h", "n")).alias("ref_common"))
+    hist = F.array(*names[:CLASSES]).alias("ref_chars")
+    return stored(total.join(common, "lang", "left").select("lang", hist, F.col("words").alias("ref_words"), "ref_common"), "references"), rest
+
+
+def _few(refs: DataFrame) -> bool:
+    return refs.count() * REFERENCE_BYTES <= BROADCAST_BYTES
+
+
+def _arrays(chars: list, words: int, common: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class histogram, sorted hashes of the common words, their counts with the rest last) of a row of references."""
+    h = np.array([x["h"] for x in common or []], np.int64).view(np.uint64)
+    n = np.array([x["n"] for x in common or []], float)
+    at = np.argsort(h)
+    return np.array(chars, float), h[at], np.append(n[at], words - n.sum())
+
+
+def fold(hist: np.ndarray) -> np.ndarray:
+    return np.bincount(_FOLD, hist)
 
 
 def word_histogram(h: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -119,21 +142,29 @@ def word_histogram(h: np.ndarray, common: np.ndarray) -> np.ndarray:
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
 
 
-def _judge(refs: dict, min_words: int):
+def _judge(refs: dict | None, rest: np.ndarray | None, min_words: int):
+    """refs: language -> reference; None if the rows bring the reference of their language with them."""
+
     def run(batches):
         for batch in batches:
-            out = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            out, known = [], {} if refs is None else refs
+            for i, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())):
                 counts, raw, h = base_counts(text)
                 n, repeat = counts[0], counts[4]
                 failed = n < 10 or 100 * repeat > 20 * n
                 char = word = None
                 good = True
-                if n >= min_words and refs:
+                if refs is None and lang not in known:
+                    chars = batch.column("ref_chars")[i].as_py()
+                    known[lang] = chars and _arrays(chars, batch.column("ref_words")[i].as_py(), batch.column("ref_common")[i].as_py())
+                ref = known.get(lang)
+                if n >= min_words and (ref or rest is not None):
                     hist = classes(raw)
-                    ref = refs.get(lang) or min(refs.values(), key=lambda r: distance(hist, r[0]))
-                    char, word = distance(hist, ref[0]), distance(word_histogram(h, ref[1]), ref[2])
-                    good = char <= CHAR_LIMIT + CHAR_NOISE / np.sqrt(hist.sum()) and word <= WORD_LIMIT + WORD_NOISE / np.sqrt(n)
+                    char = distance(hist, ref[0]) if ref else distance(fold(hist), rest)
+                    good = char <= CHAR_LIMIT + CHAR_NOISE / np.sqrt(hist.sum())
+                    if ref:
+                        word = distance(word_histogram(h, ref[1]), ref[2])
+                        good = good and word <= WORD_LIMIT + WORD_NOISE / np.sqrt(n)
                 out.append((*counts, failed, not failed and bool(good), char, word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             made = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(RESULT), kinds)]
@@ -149,12 +180,17 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Words are [^\\x20\\x09-\\x0D]+. base_failed: under 10 words, or over a fifth of the words lie in 5-word windows that
     occur twice or more. kept: not base_failed, and both distances within their limits, which texts under min_words
     always are (their distances are null).
-    - Null or empty text: no words, so base_failed. A language that is null or has no reference is judged by the
-      reference nearest in characters; without any reference nothing diverges.
+    - Null or empty text: no words, so base_failed. A document whose language is null or has under LEAST_DOCS documents
+      is judged in characters by all documents (word_distance is null); if those are under LEAST_DOCS, nothing diverges.
+    - References go to each worker if they are few (BROADCAST_BYTES), else documents are joined to them by language.
     - Repeated rows are judged one by one, alike; null doc_id is kept as it is. Extra columns are ignored.
     """
     prepare(docs.sparkSession)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return base.mapInArrow(_judge(references(base), min_words), schema)
+    refs, rest = references(base)
+    if _few(refs):
+        by = {r["lang"]: _arrays(r["ref_chars"], r["ref_words"], r["ref_common"]) for r in refs.collect()}
+        return base.mapInArrow(_judge(by, rest, min_words), schema)
+    return base.join(refs, "lang", "left").mapInArrow(_judge(None, rest, min_words), schema)

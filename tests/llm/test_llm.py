@@ -403,6 +403,33 @@ def test_divergence_tells_noise(spark):
     assert sum(not r.kept for r in rows if r.quality == 0) >= 0.8 * sum(1 - r.quality for r in rows)
 
 
+def prose(i, mark, common=("the", "of", "and", "to", "in"), n=150):
+    rng = random.Random(f"{mark}{i}")
+    return " ".join(rng.choice(common) + mark if rng.random() < 0.6 else "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_references_do_not_depend_on_other_languages(spark, monkeypatch):
+    few = [(i, prose(i, "q"), "xx") for i in range(25)]  # under a thousandth of the rows below, but enough for a reference
+    rare = [(100 + i, "".join(chr(0x430 + ord(c) - 97) if c.isalpha() else c for c in prose(i, "z")), "yy") for i in range(5)]
+    odd = [(200, prose(1, "k"), "xx"), (201, "#*$ 12 %& " * 5 + " ".join(f"#{i}$ %{i}* &{i}|" for i in range(60)), None)]
+    mine = spark.createDataFrame(few + rare + odd, "doc_id long, text string, lang string")
+    text = F.concat_ws(" ", *[F.concat(F.lit(w + " "), F.hex(F.xxhash64("id", F.lit(i)) % 100)) for i, w in enumerate(["el", "la", "los", "de"] * 15)])
+    others = spark.range(30_000).select((F.col("id") + 1000).alias("doc_id"), text.alias("text"), F.lit("zz").alias("lang"))
+
+    def verdicts(df):
+        return {r.doc_id: r for r in rules.quality_rules(df).where("doc_id < 1000").collect()}
+
+    got = verdicts(mine.unionByName(others))
+    alone = verdicts(mine)
+    for i in [*range(25), 200]:
+        assert (got[i].kept, got[i].char_distance, got[i].word_distance) == (alone[i].kept, alone[i].char_distance, alone[i].word_distance)
+    assert all(got[i].kept and got[i].word_distance is not None for i in range(25)) and not got[200].kept
+    assert all(got[100 + i].kept and got[100 + i].word_distance is None for i in range(5))  # not failed on other languages' words
+    assert not got[201].kept
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", 0)  # references in a table joined by language
+    assert verdicts(mine) == alone
+
+
 # warc
 
 
