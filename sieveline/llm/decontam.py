@@ -55,8 +55,9 @@ def _doc_shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "fp", "w", F.posexplode("w").alias("at", "word")).select("doc_id", "fp", "w", "at", _shingle(F.col("w"), F.col("at"), k).alias("h"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs(doc_id, text, ...).
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, fingerprint: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs(doc_id, text, ...); with
+    fingerprint also fp, the xxhash64 of the text, which with doc_id tells whose verdict a row is.
 
     items(item_id, text, ...) is the benchmark. A document word inside any occurrence of a window is hit; n_items
     counts the items with an occurring window; items_sha256 is the hash of their ids, sorted as strings and
@@ -80,8 +81,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         found = [_doc_shingles(keyed, k).join(block, "h").select(*columns) for k in lengths for block in _blocks(table.where(F.col("k") == k))]
         return reduce(DataFrame.unionByName, found) if found else None
 
+    also = ["fp"] if fingerprint else []
     if not lengths:
-        return keyed.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return keyed.select("doc_id", *also, F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     tokens = all_parts.select("k", "h", F.array().cast("array<string>").alias("words")).distinct()
     counts = joined(tokens, ["k", "h"]).groupBy("k", "h").count()
@@ -105,4 +107,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     out = sizes.join(marks, sizes["doc_id"].eqNullSafe(marks["d"]) & (sizes["fp"] == marks["f"]), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("doc_id", *also, "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

@@ -496,5 +496,14 @@ def test_pipeline_edge_rows(docs, empty, spark):
         assert out.count() <= df.count()
 
 
+def test_pipeline_decontaminates_rows_not_ids(spark):
+    import corpus_pipeline as c
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    rows = [(i, t) for i in (None, 1) for t in (leak, words(40, 1), words(40, 1), words(40, 2), None)] + [(2, words(40, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, c.clean(spark, df, SF).collect())) == Counter(r for r in rows if r[1] != leak)
+
+
 def test_sql_is_duckdb():
     assert duckdb.__version__ and all(isinstance(s, str) for s in queries.ORACLE.values())
