@@ -132,6 +132,27 @@ def duplicate_families(spark, sf_dir):
     return curation.families(stars[0].unionByName(stars[1])).groupBy("family").agg(F.count("*").alias("members"))
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents
+), s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({GRAM5})) AS g FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), k AS (SELECT doc_id, {KEY} AS k FROM documents
+), e AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y USING (k)
+  UNION SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8 - 1e-12
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), f AS (SELECT a AS node, min(b) AS family FROM r GROUP BY 1)
+SELECT family, count(*) AS members FROM f GROUP BY 1 HAVING count(*) > 1""")
+def near_duplicate_families(spark, sf_dir):
+    """Components of documents linked by equal texts or 5-gram Jaccard of at least 0.8 over whole texts; equal
+    texts and equal words are stars, and only the first document of each words is compared with others."""
+    w = text.words(F.col("text"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("k1"), F.when(F.size(w) > 0, F.sha2(F.array_join(w, " "), 256)).alias("k2"), w.alias("w"))
+    stars = [docs.join(curation.first_ids(docs, k, "doc_id"), k).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b") for k in ("k1", "k2")]
+    firsts = docs.join(curation.first_ids(docs.where("k2 is not null"), "k2", "doc_id").select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    grams = firsts.select("doc_id", F.transform(text.word_grams(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("grams"))
+    near = curation.similarity_join(grams, "doc_id", "grams", 0.8).select("a", "b")
+    return curation.families(stars[0].unionByName(stars[1]).unionByName(near)).groupBy("family").agg(F.count("*").alias("members"))
+
+
 @query(r"""WITH g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) >= 8
 ), d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 8)
 SELECT DISTINCT doc_id FROM d JOIN g USING (g)""")
