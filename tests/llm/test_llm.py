@@ -141,7 +141,7 @@ def test_decontamination(docs, spark):
 
     def split(t):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-        return re.findall(decontam.WORD.replace("\\x00", "\\x00"), low)
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
     wins = {(str(i) if i is not None else "null", tuple(w[j : j + 10])) for i, t in items if (w := split(t)) for j in range(max(1, len(w) - 9))}
     want = Counter()
@@ -157,6 +157,19 @@ def test_decontamination(docs, spark):
     assert got == want
 
 
+def test_words_differ_as_texts_do(spark):
+    rng = random.Random(3)
+    alphabet = "aAzZ09" + "".join(map(chr, [0xC0, 0xE0, 0xC9, 0xE9, 0xD7, 0xDF, 0xFF, 0x130, 0x131, 0x3A3, 0x3C2, 0x3C3, 0x2160, 0x1E9E, 0xA640, 0xFF21, 0xFF41, 0x10400, 0x10428, 0x1F600])) + " .,\n\x00\x7f"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", decontam.words_of(F.col("text")).alias("w")).collect()
+    there, back = {}, {}
+    for r in got:
+        want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
+        assert len(want) == len(r.w)
+        for x, y in zip(want, r.w):
+            assert there.setdefault(x, y) == y and back.setdefault(y, x) == x
+
+
 def test_decontamination_empty(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, none).where("contaminated or n_hit > 0").count() == 0
