@@ -7,7 +7,9 @@ row always gets the same segmentation, wherever and however often it runs.
 
 No piece has a space mark after another character, so the lattice factors at space marks (and at newlines, which are
 no piece's character): filtering is done once for each distinct unit of a group of texts, position by position for
-all units together, and sampling piece by piece for all occurrences together.
+all units together, and sampling piece by piece for all occurrences together. A text beyond GROUP characters is taken
+in slices, cut at spaces; only a unit beyond UNIT characters is cut itself, so there alone the posterior is that of
+its parts.
 
 The model holds merge ranks r, no probabilities; by Zipf's law a piece weighs (r + 2) ** -alpha. A lone space mark, which has
 no rank, counts as the last; runs of marks, which the model matches before merging, are not used.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +29,9 @@ from sieveline.llm.common import mix, prepare
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -20.0  #: log weight of a character that only its bytes can write
-GROUP = 3_000_000  #: characters of text filtered and sampled at a time
+GROUP = 500_000  #: characters of text filtered and sampled at a time, and of a slice of a longer text
+UNIT = 4096  #: a longer run without a space is taken in parts of so many characters, which no piece crosses
+OUT = 2_000_000  #: characters of the texts of a batch that is given back, beyond one text
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xD1B54A32D192ED03)
@@ -130,10 +135,15 @@ class Lattice:
             first, sizes = at[lo:hi] - at[lo], count[lo:hi]
             most = np.maximum.reduceat(v, first)
             v = np.exp(v - np.repeat(most, sizes))
-            whole = np.add.reduceat(v, first)
+            live, j = np.flatnonzero(sizes > 1), 1
+            while len(live):  # running sums of each node by itself, whatever else is in the group
+                k = first[live] + j
+                v[k] += v[k - 1]
+                j += 1
+                live = live[sizes[live] > j]
+            whole = v[first + sizes - 1]
             forward[lo:hi] = most + np.log(whole)
-            v = np.cumsum(v / np.repeat(whole, sizes))
-            cum[x] = v - np.repeat(np.arange(len(first)), sizes)
+            cum[x] = v / np.repeat(whole, sizes)
         return {"length": length, "rank": rank, "off": off, "at": at, "count": count, "cum": cum, "back": back, "piece": piece}
 
     def sample(self, t: dict[str, np.ndarray], units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,44 +177,55 @@ class Lattice:
         return ids, sizes
 
     def encode(self, texts: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each); texts are taken in groups of about GROUP characters."""
-        ids, sizes, i = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n < GROUP):
-                n += len(texts[j])
-                j += 1
-            x, y = self._encode(texts[i:j], seeds[i:j])
-            ids.append(x)
-            sizes.append(y)
-            i = j
-        return np.concatenate(ids), np.concatenate(sizes)
-
-    def _encode(self, texts: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        spaced: dict[str, int] = {}
+        """(ids of all texts, number of ids of each); slices are taken in groups of about GROUP characters."""
+        ids, sizes = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
+        group: list[tuple[int, int, bool, str]] = []  # row, units before, whether after a space, text
+        held = 0
+
+        def flush():
+            nonlocal held
+            if group:
+                x, y = self._encode(group, seeds)
+                ids.append(x)
+                np.add.at(sizes, [g[0] for g in group], y)
+                group.clear()
+                held = 0
+
+        for row, text in enumerate(texts):
+            place = 0
+            for spaced, part in slices(text):
+                if held + len(part) > GROUP:
+                    flush()
+                group.append((row, place, spaced, part))
+                held += len(part)
+                if len(part) < len(text):
+                    place += sum(1 for i, w in enumerate(part.split(" ")) for _ in units(w, spaced or i > 0))
+        flush()
+        return np.concatenate(ids), sizes
+
+    def _encode(self, group: list[tuple[int, int, bool, str]], seed_of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        heads: dict[str, int] = {}  # units after a space
         bare: dict[str, int] = {}
         lists = []
-        for text in texts:  # each space starts a unit, and so does the text (the dummy prefix); newlines stand alone
+        for _, _, spaced, part in group:
             out = []
-            for part in text.split(" "):
-                if "\n" in part:
-                    head, *lines = part.split("\n")
-                    out.append(spaced.setdefault(head, len(spaced)))
-                    for line in lines:
-                        out.append(-1 - bare.setdefault("\n", len(bare)))
-                        if line:
-                            out.append(-1 - bare.setdefault(line, len(bare)))
+            for word in part.split(" "):
+                at = heads.get(word) if spaced else None
+                if at is None:
+                    out += [heads.setdefault(u, len(heads)) if after else -1 - bare.setdefault(u, len(bare)) for after, u in units(word, spaced)]
                 else:
-                    out.append(spaced.setdefault(part, len(spaced)))
+                    out.append(at)
+                spaced = True
             lists.append(out)
+        seeds = [seed_of[row] for row, *_ in group]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        units = np.concatenate([np.array(x, np.int64) for x in lists])
-        units = np.where(units < 0, len(spaced) - 1 - units, units)
+        of = np.concatenate([np.array(x, np.int64) for x in lists])
+        of = np.where(of < 0, len(heads) - 1 - of, of)
         ends = np.cumsum(sizes)
-        place = np.arange(len(units)) - np.repeat(ends - sizes, sizes)
+        place = np.arange(len(of)) - np.repeat(ends - sizes - np.array([g[1] for g in group], np.int64), sizes)
         where = mix(np.repeat(np.array(seeds, np.uint64), sizes) + _PLACE * place.astype(np.uint64))
-        ids, of_unit = self.sample(self.filter(list(spaced), list(bare)), units, where)
-        row = np.repeat(np.repeat(np.arange(len(texts)), sizes), of_unit)
+        ids, of_unit = self.sample(self.filter(list(heads), list(bare)), of, where)
+        row = np.repeat(np.repeat(np.arange(len(group)), sizes), of_unit)
         odd = ids >= self.base
         if odd.any():
             code = np.where(odd, ids - self.base, 0)
@@ -216,12 +237,46 @@ class Lattice:
             lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size] + (code >> (6 * later))
             byte = np.where(inner == 0, lead, 0x80 + ((code >> (6 * later)) & 0x3F))
             ids = np.where(odd, self.byte[byte & 0xFF], np.repeat(ids, wide)).astype(np.int32)
-        return ids, np.bincount(row, minlength=len(texts)).astype(np.int64)
+        return ids, np.bincount(row, minlength=len(group)).astype(np.int64)
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the first space is the dummy prefix."""
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
+    def decodes(self, ids: np.ndarray, text: str) -> bool:
+        """Whether ids decode to the text; a part of them is a list at a time."""
+        raw = b"".join(b"".join(map(self.raw.__getitem__, ids[i : i + GROUP].tolist())) for i in range(0, len(ids), GROUP))
+        return raw[1:].decode("utf-8", "surrogatepass") == text
+
+
+def slices(text: str):
+    """(whether it comes after a space, part): parts of at most about GROUP characters. A cut takes one space away,
+    which the next part stands after; a run of GROUP characters without a space is cut inside."""
+    at, spaced = 0, True
+    while len(text) - at > GROUP:
+        cut = text.rfind(" ", at, at + GROUP)
+        if cut < 0:
+            yield spaced, text[at : at + GROUP]
+            at, spaced = at + GROUP, False
+            if text[at] == " ":
+                at, spaced = at + 1, True
+        else:
+            yield spaced, text[at:cut]
+            at, spaced = cut + 1, True
+    yield spaced, text[at:]
+
+
+def units(word: str, after: bool):
+    """(whether after a space, unit) of a run without spaces: newlines stand alone, and so do lines after the first
+    and the parts after the first of a line beyond UNIT characters."""
+    for j, line in enumerate(word.split("\n")):
+        if j:
+            yield False, "\n"
+        if line or (after and not j):
+            yield after and not j, line[:UNIT]
+        for k in range(UNIT, len(line), UNIT):
+            yield False, line[k : k + UNIT]
+
 
 _lattices: dict[tuple, Lattice] = {}
 
@@ -245,29 +300,36 @@ def encode(docs: DataFrame, key: str = "doc_id", keep: list[str] | None = None,
     - Null text: ids and lossless are null. Empty text: the dummy prefix alone.
     - Rows that share a key draw from the same numbers; equal text under equal keys gives equal ids.
     - Null keys hash as 'null'. Columns outside keep are ignored.
+    - A very long text is filtered and sampled in slices; a task holds it, its ids and the decoded copy, once each.
     """
     spark = docs.sparkSession
     prepare(spark)
     keep = [key] if keep is None else keep
     shipped = spark.sparkContext.broadcast(vocabulary(model))
 
+    def coded(lattice, batch):
+        texts, keys = batch.column("sieve_text").to_pylist(), batch.column("sieve_key").to_pylist()
+        ok = [i for i, t in enumerate(texts) if t is not None]
+        ids, n = lattice.encode([texts[i] for i in ok], [row_seed(keys[i], seed) for i in ok])
+        same = [None] * len(texts)
+        for i, hi, m in zip(ok, np.cumsum(n).tolist(), n.tolist()):
+            same[i] = lattice.decodes(ids[hi - m : hi], texts[i])
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[ok] = n
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        mask = pa.array([t is None for t in texts])
+        column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=mask)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column, pa.array(same, pa.bool_())], [*keep, "ids", "lossless"])
+
     def run(batches):
         lattice = _lattice(shipped, alpha)
         for batch in batches:
-            texts, keys = batch.column("sieve_text").to_pylist(), batch.column("sieve_key").to_pylist()
-            ok = [i for i, t in enumerate(texts) if t is not None]
-            some = [texts[i] for i in ok]
-            ids, n = lattice.encode(some, [row_seed(keys[i], seed) for i in ok])
-            ends = np.cumsum(n)
-            same = [None] * len(texts)
-            for i, t, hi, m in zip(ok, some, ends, n):
-                same[i] = lattice.decode(ids[hi - m : hi].tolist()) == t
-            sizes = np.zeros(len(texts), np.int64)
-            sizes[ok] = n
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            mask = pa.array([t is None for t in texts])
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=mask)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column, pa.array(same, pa.bool_())], [*keep, "ids", "lossless"])
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("sieve_text")), 0).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(size, OUT + (size[i - 1] if i else 0), "right")))
+                yield coded(lattice, batch.slice(i, j - i))
+                i = j
 
     src = docs.select(*keep, F.col("text").cast("string").alias("sieve_text"), F.col(key).cast("string").alias("sieve_key"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema) + "ids array<int>, lossless boolean"

@@ -355,6 +355,62 @@ def test_sampling_follows_the_posterior():
     assert processor.decode([int(i) for i in ids[: sizes[0]]]) == text
 
 
+@pytest.mark.parametrize("text", ["of to", "a\n\nof", "té €", "x▁y z", "", " ", "  a", "\n", "\u0e01a"])
+def test_sampling_of_several_units(text):
+    vocab = pieces.vocabulary()
+    lattice = pieces.Lattice(vocab, 1.0)
+    weight = {p: (2.0 - max(s, -len(vocab))) ** -1.0 for p, s, byte in vocab if p and not byte and (s > -1e8 or p == pieces.MARK)}
+    number = {p: i for i, (p, _, byte) in reversed(list(enumerate(vocab))) if not byte}
+    byte_of = {int(p[1:-1], 16): i for i, (p, _, byte) in enumerate(vocab) if byte}
+
+    def paths(rest, at=0):  # all segmentations with their weights; a mark inside a unit is a character like any other
+        if at == len(rest):
+            return {(): 1.0}
+        out = Counter()
+        for m in range(1, len(rest) - at + 1):
+            p = rest[at : at + m]
+            if p in weight and pieces.MARK not in p[at == 0 :]:
+                for tail, w in paths(rest, at + m).items():
+                    out[(number[p], *tail)] += weight[p] * w
+        if rest[at] not in weight or (at and rest[at] == pieces.MARK):
+            for tail, w in paths(rest, at + 1).items():
+                out[(*(byte_of[b] for b in rest[at].encode()), *tail)] += math.exp(pieces.UNKNOWN) * w
+        return out
+
+    spaced = re.findall(r"\n|[^\n]+", "".join(" " + w for w in text.split(" ")))
+    found = [u for x in spaced for u in re.findall(r"^ ?[^ ]*| [^ ]*", x) if u]
+    want = {(): 1.0}
+    for u in found:
+        one = paths(pieces.MARK + u[1:] if u[0] == " " else u)
+        whole = sum(one.values())
+        want = {a + b: x * y / whole for a, x in want.items() for b, y in one.items()}
+    n = 20_000
+    ids, sizes = lattice.encode([text] * n, [near_dup.mix(np.array([i], np.uint64))[0] for i in range(n)])
+    ends = np.cumsum(sizes)
+    seen = Counter(tuple(ids[e - m : e].tolist()) for e, m in zip(ends, sizes))
+    assert set(seen) <= set(want) and all(abs(seen[k] / n - v) < 0.02 for k, v in want.items())
+    assert all(lattice.decode(k) == text for k in want)
+
+
+def test_long_texts_are_taken_in_slices(monkeypatch):
+    lattice = pieces.Lattice(pieces.vocabulary(), 1.0)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("the of and é€▁\U0001f600  \n" if i % 3 else "abcdefgh") for _ in range(rng.randrange(400))) for i in range(150)]
+    texts += [" " * 300, "\n" * 300, "x" * 300, "x" * 50 + " " + "y" * 50, ""]
+    whole = [lattice.encode([t], [i])[0].tolist() for i, t in enumerate(texts)]
+    monkeypatch.setattr(pieces, "GROUP", 60)
+    spaced = [i for i, t in enumerate(texts) if max(map(len, t.split(" "))) < 60]
+    got = [lattice.encode([t], [i]) for i, t in enumerate(texts)]
+    assert all(got[i][0].tolist() == whole[i] for i in spaced) and len(spaced) > 50
+    monkeypatch.setattr(pieces, "UNIT", 16)
+    alone = [lattice.encode([t], [i])[0] for i, t in enumerate(texts)]
+    ids, sizes = lattice.encode(texts, list(range(len(texts))))
+    ends = np.cumsum(sizes)
+    for t, x, e, m in zip(texts, alone, ends, sizes):
+        assert x.tolist() == ids[e - m : e].tolist() and lattice.decodes(x, t)
+        assert all(len(p) <= pieces.GROUP for _, p in pieces.slices(t))
+
+
 # urls
 
 
