@@ -45,24 +45,29 @@ OP1 = rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), t AS MATERIALIZED (
-  SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+  SELECT doc_id, i, w[i] AS v, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS t,
+    CASE WHEN i > 1 THEN w[i - 1] END AS u, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
 ), n AS (SELECT count(*) AS n FROM t
 ), m AS (SELECT doc_id, count(*) AS m FROM t GROUP BY doc_id
-), c1 AS (SELECT v, count(*) AS c FROM t GROUP BY v
-), o1 AS (SELECT doc_id, v, count(*) AS c FROM t GROUP BY ALL
-), c2 AS (SELECT u, v, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY ALL
-), o2 AS (SELECT doc_id, u, v, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY ALL
+), o AS MATERIALIZED (
+  SELECT doc_id, v AS g, count(*) AS own FROM t GROUP BY ALL
+  UNION ALL SELECT doc_id, b, count(*) FROM t WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT doc_id, t, count(*) FROM t WHERE t IS NOT NULL GROUP BY ALL
+), e AS MATERIALIZED (SELECT doc_id, g, (sum(own) OVER (PARTITION BY g) - own)::BIGINT AS x FROM o
 ), s AS (
-  SELECT t.doc_id, n.n - m.m AS size, c1.c - o1.c AS one, coalesce(c2.c - o2.c, 0) AS two, p1.c - q1.c AS context
-  FROM t CROSS JOIN n JOIN m USING (doc_id) JOIN c1 ON c1.v = t.v JOIN o1 ON o1.doc_id = t.doc_id AND o1.v = t.v
-  LEFT JOIN c2 ON c2.u = t.u AND c2.v = t.v LEFT JOIN o2 ON o2.doc_id = t.doc_id AND o2.u = t.u AND o2.v = t.v
-  LEFT JOIN c1 p1 ON p1.v = t.u LEFT JOIN o1 q1 ON q1.doc_id = t.doc_id AND q1.v = t.u
-), p AS (
-  SELECT doc_id, two, one, context IS NULL AS head,
-    CASE WHEN one > 0 THEN one / greatest(size, 1)::DOUBLE ELSE 0.4::DOUBLE / (size + 1) END AS q, two / greatest(context, 1)::DOUBLE AS r FROM s
+  SELECT t.doc_id, t.i, n.n - m.m AS size, e1.x AS one, e2.x AS two, e3.x AS three, p1.x AS before1, p2.x AS before2
+  FROM t CROSS JOIN n JOIN m USING (doc_id) JOIN e e1 ON e1.doc_id = t.doc_id AND e1.g = t.v
+  LEFT JOIN e e2 ON e2.doc_id = t.doc_id AND e2.g = t.b LEFT JOIN e e3 ON e3.doc_id = t.doc_id AND e3.g = t.t
+  LEFT JOIN e p1 ON p1.doc_id = t.doc_id AND p1.g = t.u LEFT JOIN e p2 ON p2.doc_id = t.doc_id AND p2.g = t.c
+), q AS (
+  SELECT *, CASE WHEN one > 0 THEN one / greatest(size, 1)::DOUBLE ELSE 0.4::DOUBLE / (size + 1) END AS q1 FROM s
+), r AS (
+  SELECT *, CASE WHEN i = 1 THEN q1 WHEN two > 0 THEN two / greatest(before1, 1)::DOUBLE ELSE 0.4::DOUBLE * q1 END AS q2 FROM q
 ), a AS (
-  SELECT doc_id, count(*) AS n_words, count(*) FILTER (two > 0) AS n_full, count(*) FILTER (one = 0) AS n_unseen,
-    sum(ln(CASE WHEN two > 0 THEN r WHEN head THEN q ELSE 0.4::DOUBLE * q END)) AS log_prob FROM p GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (three > 0) AS n_full,
+    count(*) FILTER (one = 0 AND coalesce(two, 0) = 0 AND coalesce(three, 0) = 0) AS n_unseen,
+    sum(ln(CASE WHEN i <= 2 THEN q2 WHEN three > 0 THEN three / greatest(before2, 1)::DOUBLE ELSE 0.4::DOUBLE * q2 END)) AS log_prob FROM r GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_full, 0)::BIGINT AS n_full, coalesce(n_unseen, 0)::BIGINT AS n_unseen,
   round(coalesce(log_prob, 0), 3) AS log_prob, round(log_prob / n_words, 4) AS score

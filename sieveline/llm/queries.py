@@ -22,7 +22,7 @@ from sieveline.llm.warc import archive_pages
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stupid_backoff(table(spark, sf_dir, "documents"), order=2, alpha=0.4)
+    scored = stupid_backoff(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
     return scored.withColumn("log_prob", F.round("log_prob", 3)).withColumn("score", F.round("score", 4))
 
 

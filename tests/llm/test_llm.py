@@ -223,6 +223,30 @@ def test_stupid_backoff(docs, order):
     assert all((r.score is None) == (r.n_words == 0) for r in got)
 
 
+def test_stupid_backoff_in_blocks_and_parts(docs, spark, monkeypatch):
+    copies = docs.select("doc_id", "text").where("doc_id < 10")
+    df = docs.select("doc_id", "text").unionByName(copies).unionByName(copies)
+
+    def scores():
+        return Counter((r.doc_id, r.n_words, r.n_full, r.n_unseen, f"{r.log_prob:.6f}") for r in lm_score.stupid_backoff(df, 3).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_score, "PART_GRAMS", 5000)
+    assert scores() == whole
+
+
+def test_packed_messages():
+    rng = np.random.default_rng(4)
+    for parts in (1, 3, 1000):
+        for n in (1, 5, 3000):
+            keys = np.unique(np.append(rng.integers(0, 1 << 64, n, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+            back = [lm_score.unpack_keys(lm_score.pack_keys(keys[a:b], p, parts), b - a, p, parts) for p, a, b in lm_score._parts_of(keys, parts)]
+            assert (np.concatenate(back) == keys).all()
+    for x in ([1], [0, 1 << 40, 7], rng.integers(0, 300, 1000)):
+        assert (lm_score.unpack_counts(lm_score.pack_counts(np.array(x))) == np.array(x)).all()
+
+
 def test_stupid_backoff_empty(empty):
     assert lm_score.stupid_backoff(empty).count() == 0
 
