@@ -12,12 +12,14 @@ the texts of the assistant turns of the span only, so each is a target exactly o
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import DataType
 
 from sieveline.llm.common import prepare
 
@@ -27,27 +29,19 @@ FRAME_TOKENS = 4
 #: What counts as a token of a text: a word or a single other character.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
-WINDOW = T.StructType(
-    [
-        T.StructField("conv_id", T.LongType()),
-        T.StructField("window", T.IntegerType()),
-        T.StructField("first_turn", T.IntegerType()),
-        T.StructField("last_turn", T.IntegerType()),
-        T.StructField("repeated", T.IntegerType()),
-        T.StructField("tokens", T.LongType()),
-        T.StructField("over_budget", T.BooleanType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("loss", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-    ]
-)
+WINDOW = ["window", "first_turn", "last_turn", "repeated", "tokens", "over_budget", "text", "loss"]
+
+
+def _windows_of(kind: DataType) -> str:
+    return f"conv_id {kind.simpleString()}, window int, first_turn int, last_turn int, repeated int, tokens long, over_budget boolean, text string, loss array<struct<start:int,end:int>>"
 
 
 def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+    return text if "<" not in text or "|" not in text else re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+    return text if "<\\" not in text else re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
 def escape_role(role: str) -> str:
@@ -58,51 +52,90 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def spans(tokens: list[int], system: bool, budget: int, history: int) -> list[tuple[int, int, int]]:
-    """(first, last, history start) of each window, turns from 0, last exclusive; the system turn is not part of a span
-    after the first. A turn that exceeds the budget alone makes a window of its own, without history."""
-    sums = [0]
-    for t in tokens:
-        sums.append(sums[-1] + t)
-    out, first = [], 0
-    while first < len(tokens):
-        kept = tokens[0] if system and first > 0 else 0
-        back = first
-        while back > (1 if system else 0) and sums[first] - sums[back - 1] <= history:
-            back -= 1
-        while back < first and kept + sums[first + 1] - sums[back] > budget:
-            back += 1  # the next turn comes before history
-        last = first + 1
-        while last < len(tokens) and kept + sums[last + 1] - sums[back] <= budget:
-            last += 1
-        out.append((first, last, back))
-        first = last
-    return out
+class Windows:
+    """Windows of one conversation, whose turns come in order; what it holds is the open window and the history.
 
+    The history of a window is the longest run of turns before it within `history` tokens, the system turn aside, less
+    the oldest turns that the budget has no room for; the window then takes turns while they stay within the budget. A
+    turn that exceeds the budget alone makes a window of its own, without history.
+    """
 
-def _windows(budget: int, history: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv = pdf["conv_id"].iat[0]
-        turns = sorted(zip(pdf["turn"].fillna(-1), pdf["role"].fillna("").astype(str), pdf["text"].fillna("").astype(str), pdf["tokens"]), key=lambda t: t[:3])
-        tokens = [int(t[3]) for t in turns]
-        system = bool(turns) and turns[0][1] == "system"
-        out = []
-        for w, (first, last, back) in enumerate(spans(tokens, system, budget, history)):
-            prefix = [0] if system and first > 0 else []
-            use = [*prefix, *range(back, last)]
-            text, at, loss = [], 0, []
-            for i in use:
-                head = f"{START}{escape_role(turns[i][1])}\n"
-                body = escape(turns[i][2])
-                if i >= first and turns[i][1] == "assistant":
-                    loss.append((at + len(head), at + len(head) + len(body)))
-                text.append(f"{head}{body}{END}\n")
-                at += len(text[-1])
-            total = sum(tokens[i] for i in use)
-            out.append((conv, w, first, last, len(use) - (last - first), total, total > budget, "".join(text), loss))
-        made = pd.DataFrame(out, columns=WINDOW.names)
-        made["conv_id"] = made["conv_id"].astype("Int64")
-        return made
+    def __init__(self, budget: int, history: int):
+        self.budget, self.limit = budget, history
+        self.system: tuple | None = None
+        self.past: list[tuple] = []  # turns (role, text, tokens) before the open window that the next may repeat
+        self.open: list[tuple] = []
+        self.n = self.turns = 0
+
+    def add(self, role: str, text: str, tokens: int):
+        """The window that this turn closes, or None."""
+        done = None
+        if self.open and self.held + tokens > self.budget:
+            done = self.close()
+        if not self.open:
+            self.first = self.turns
+            self.repeats = list(self.past)
+            kept = self.system[2] if self.system and self.turns else 0
+            self.held = kept + sum(t[2] for t in self.repeats) + tokens
+            while self.repeats and self.held > self.budget:
+                self.held -= self.repeats.pop(0)[2]
+        else:
+            self.held += tokens
+        turn = (role, text, tokens)
+        self.open.append(turn)
+        if not self.turns and role == "system":
+            self.system = turn
+        self.turns += 1
+        return done
+
+    def close(self):
+        """(window, first, last, repeated, tokens, over budget, text, loss) of the open window; loss as pairs."""
+        if not self.open:
+            return None
+        before = ([self.system] if self.system and self.first else []) + self.repeats
+        text, at, loss = [], 0, []
+        for i, (role, body, _) in enumerate(before + self.open):
+            head, body = f"{START}{escape_role(role)}\n", escape(body)
+            if i >= len(before) and role == "assistant":
+                loss.append((at + len(head), at + len(head) + len(body)))
+            text.append(f"{head}{body}{END}\n")
+            at += len(text[-1])
+        out = (self.n, self.first, self.turns, len(before), self.held, self.held > self.budget, "".join(text), loss)
+        past = self.past + [t for t in self.open if t is not self.system]
+        size = 0
+        for i in range(len(past) - 1, -1, -1):
+            size += past[i][2]
+            if size > self.limit:
+                past = past[i + 1 :]
+                break
+        self.past, self.open, self.n = past, [], self.n + 1
+        return out
+
+
+def _format(budget: int, history: int, kind: pa.DataType):
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        conv, n, first, last, repeated, tokens, over, text, loss = zip(*rows) if rows else [[]] * 9
+        pairs = np.array([p for x in loss for p in x], np.int32).reshape(-1, 2)
+        struct = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, loss)]), pa.int32()), struct)
+        whole = [pa.array(x, pa.int32()) for x in (n, first, last, repeated)]
+        return pa.RecordBatch.from_arrays([pa.array(conv, kind), *whole, pa.array(tokens, pa.int64()), pa.array(over, pa.bool_()), pa.array(text, pa.string()), lists], ["conv_id", *WINDOW])
+
+    def run(batches):
+        chat, now = None, None
+        for batch in batches:
+            rows = []
+            for conv, role, text, tokens in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "tokens"))):
+                if chat is None or conv != now:
+                    if chat is not None:
+                        rows.append((now, *chat.close()))
+                    chat, now = Windows(budget, history), conv
+                done = chat.add(role, text, tokens)
+                if done is not None:
+                    rows.append((now, *done))
+            yield pack(rows)
+        if chat is not None:
+            yield pack([(now, *chat.close())])
 
     return run
 
@@ -113,59 +146,108 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128) -> Dat
 
     Turns come by turn, then role, then text (so repeated rows are repeated turns); null turn numbers come first. Null
     role or text: empty. A null conv_id is a conversation of its own. An empty text is an empty target. Windows over
-    budget hold one turn (with the system turn). Extra columns are ignored; an empty table gives no windows.
+    budget hold one turn (with the system turn). conv_id keeps its type, turn is a whole number. Extra columns are
+    ignored; an empty table gives no windows.
+
+    The turns of a conversation are streamed through one task, in order; what is held of it is one window and its
+    history, so neither a conversation of many turns nor a very long text (a window of its own) is more than that.
     """
     prepare(turns.sparkSession)
-    tokens = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)) + FRAME_TOKENS).cast("long")
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", tokens.alias("tokens"))
-    return rows.groupBy("conv_id").applyInPandas(_windows(budget, history), WINDOW)
+    kind = turns.schema["conv_id"].dataType
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tokens = (F.regexp_count(text, F.lit(TOKEN)) + FRAME_TOKENS).cast("long")
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), tokens.alias("tokens"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.mapInArrow(_format(budget, history, _arrow(kind)), _windows_of(kind))
+
+
+def _arrow(kind: DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def turns_of(text: str) -> list[tuple[str, int, int]]:
+    """(escaped role, begin, end) of each turn of a formatted text; the escaped text of the turn is text[begin:end]."""
+    out, at = [], 0
+    while at < len(text):
+        end = text.find(END + "\n", at)
+        begin = text.find("\n", at, end) + 1
+        if end < 0 or begin <= 0 or not text.startswith(START, at):
+            raise ValueError(f"unreadable at {at}")
+        out.append((text[at + len(START) : begin - 1], begin, end))
+        at = end + len(END) + 1
+    return out
 
 
-READ = "conv_id long, window int, turn int, role string, text string, target string, chars long"
+def _read(batch: pa.RecordBatch):
+    """(conv_id, window, text, turns (role, text, target), first) of each window; repeated turns are left out."""
+    loss = batch.column("loss")
+    ends, begins = loss.offsets.to_numpy(), loss.values.field("start").to_numpy()
+    ranges = list(zip(begins.tolist(), loss.values.field("end").to_numpy().tolist()))
+    columns = (batch.column(c).to_pylist() for c in ("conv_id", "window", "text", "repeated", "first_turn"))
+    for i, (conv, w, text, skip, first) in enumerate(zip(*columns)):
+        under = set(ranges[ends[i] : ends[i + 1]])
+        turns = []
+        for role, begin, end in turns_of(text)[skip:]:
+            body = unescape(text[begin:end])
+            turns.append((unescape_role(role), body, body if (begin, end) in under else None))
+        yield conv, w, text, turns, first
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """(conv_id, window, turn, role, text, target, chars): the turns of the spans, parsed back from the formatted text.
+    """(conv_id, window, turn, role, text, target): the turns of the spans, parsed back from the formatted text.
 
-    Repeated turns are left out; target is the unescaped text under the loss mask, null where there is none; chars is
-    the length of the window's text, on its first row.
-    """
-    turn = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
+    Repeated turns are left out; target is the unescaped text under the loss mask, null where there is none."""
+    kind = windows.schema["conv_id"].dataType
+    names = ["conv_id", "window", "turn", "role", "text", "target"]
+    kinds = [_arrow(kind), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for conv, w, first, skip, text, loss in zip(pdf["conv_id"], pdf["window"], pdf["first_turn"], pdf["repeated"], pdf["text"], pdf["loss"]):
-                under = {(r["start"], r["end"]) for r in loss}
-                at = 0
-                for i, m in enumerate(turn.finditer(text)):
-                    if m.start() != at:
-                        raise ValueError(f"conversation {conv}: unreadable at {at}")
-                    at = m.end()
-                    if i >= skip:
-                        target = unescape(text[m.start(2) : m.end(2)]) if m.span(2) in under else None
-                        out.append((conv, w, first + i - skip, unescape_role(m[1]), unescape(m[2]), target, len(text) if i == skip else 0))
-                if at != len(text):
-                    raise ValueError(f"conversation {conv}: unreadable at {at}")
-            made = pd.DataFrame(out, columns=["conv_id", "window", "turn", "role", "text", "target", "chars"])
-            made["conv_id"] = made["conv_id"].astype("Int64")
-            yield made
-
-    return windows.select("conv_id", "window", "first_turn", "repeated", "text", "loss").mapInPandas(run, READ)
-
-
-def digest(windows: DataFrame) -> DataFrame:
+        for batch in batches:
+            rows = [(conv, w, first + i, *turn) for conv, w, _, turns, first in _read(batch) for i, turn in enumerate(turns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
+
+    return windows.mapInArrow(run, f"conv_id {kind.simpleString()}, window int, turn int, role string, text string, target string")
+
+
+DIGEST = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+
+
+def digest(windows: DataFrame, placed: bool = False) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows) of each conversation, all
-    read back from the formatted windows."""
-    rows = read_windows(windows).groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"),
-        _joined(F.concat("role", F.lit("\n"), "text", F.lit("\n"))).alias("turns"),
-        _joined(F.coalesce("target", F.lit(""))).alias("loss"),
-        F.sum("chars").alias("formatted_chars"),
-        F.count_distinct("window").alias("n_windows"),
-    )
-    return rows.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_windows")
-
-
-def _joined(text: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("x")))), lambda s: s["x"]), "")
+    read back from the formatted windows, which are streamed in order.
+
+    placed: the windows lie as format_chats gives them, a conversation in one partition and in order; others are
+    shuffled first."""
+    if not placed:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    kind = windows.schema["conv_id"].dataType
+    kinds = [_arrow(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        def row():
+            return (now, n, whole.hexdigest(), chars, target.hexdigest(), length, count)
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["conv_id", *DIGEST])
+
+        whole = None
+        for batch in batches:
+            rows = []
+            for conv, _, text, turns, _ in _read(batch):
+                if whole is None or conv != now:
+                    if whole is not None:
+                        rows.append(row())
+                    now, whole, target, n, chars, length, count = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
+                for role, body, loss in turns:
+                    whole.update(f"{role}\n{body}\n".encode())
+                    if loss is not None:
+                        target.update(loss.encode())
+                        chars += len(loss)
+                n, length, count = n + len(turns), length + len(text), count + 1
+            yield pack(rows)
+        if whole is not None:
+            yield pack([row()])
+
+    return windows.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -37,7 +37,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return digest(format_chats(turns.unionByName(own), budget=512, history=128))
+    return digest(format_chats(turns.unionByName(own), budget=512, history=128), placed=True)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,53 @@ def test_windows_keep_all_turns(spark):
     assert all(r.text.startswith("<|im_start|>system") for r in found if r.conv_id is not None and r.conv_id % 2 and r.conv_id < 12)
 
 
+def brute_spans(tokens, system, budget, history):
+    """(first, last, history start) of each window, from sums over all turns."""
+    sums = [0]
+    for t in tokens:
+        sums.append(sums[-1] + t)
+    out, first = [], 0
+    while first < len(tokens):
+        kept = tokens[0] if system and first > 0 else 0
+        back = first
+        while back > (1 if system else 0) and sums[first] - sums[back - 1] <= history:
+            back -= 1
+        while back < first and kept + sums[first + 1] - sums[back] > budget:
+            back += 1
+        last = first + 1
+        while last < len(tokens) and kept + sums[last + 1] - sums[back] <= budget:
+            last += 1
+        out.append((first, last, back))
+        first = last
+    return out
+
+
+def test_streamed_windows_are_those_of_prefix_sums():
+    rng = random.Random(6)
+    for _ in range(400):
+        budget, history = rng.randrange(1, 60), rng.randrange(0, 40)
+        turns = [(rng.choice(["system", "user", "assistant"]), f"t{i}", rng.randrange(1, 25)) for i in range(rng.randrange(1, 30))]
+        stream, got = chat.Windows(budget, history), []
+        for t in turns:
+            got.append(stream.add(*t))
+        got = [w for w in [*got, stream.close()] if w]
+        system = turns[0][0] == "system"
+        want = brute_spans([t[2] for t in turns], system, budget, history)
+        assert [(w[1], w[2]) for w in got] == [(a, b) for a, b, _ in want]
+        for w, (first, last, back) in zip(got, want):
+            use = ([0] if system and first else []) + list(range(back, last))
+            assert w[3] == len(use) - (last - first) and w[4] == sum(turns[i][2] for i in use)
+            assert [w[6][a:b] for _, a, b in chat.turns_of(w[6])] == [turns[i][1] for i in use]
+
+
+def test_digest_of_windows_in_any_place(spark):
+    rows = [(f"c{c}", k, "assistant" if k % 2 else "user", words(30, c * k)) for c in range(9) for k in range(7)]
+    wins = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"), 60, 20)
+    assert sorted(map(tuple, chat.digest(wins.repartition(5)).collect())) == sorted(map(tuple, chat.digest(wins, placed=True).collect()))
+    back = sorted((r.conv_id, r.turn, r.role, r.text, r.target) for r in chat.read_windows(wins).collect())
+    assert back == sorted((c, k, r, t, t if r == "assistant" else None) for c, k, r, t in rows)
+
+
 def test_chat_empty(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -438,7 +485,7 @@ def test_long_texts_are_taken_in_slices(monkeypatch):
 # urls
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     pages = [(1, "http://WWW.Example.com/en/a?x#y"), (2, "https://a.example.com/en/b"), (3, "http://x.net/es/"), (4, "http://x.net/es"), (5, None), (6, "no scheme/en/"), (7, "ftp://q.org"), (8, "http://xexample.com/en/"), (9, "http://bad.org/p.html?u=1"), (9, "http://bad.org/p.html?u=1"), (None, "http://www.bad.org/p/"), (10, "http://com/"), (11, "http://a://b/c"), (12, "")]
     df = spark.createDataFrame([(i, u, "h", "v") for i, u in pages], "page_id long, url string, host string, verdict string")
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
@@ -448,6 +495,12 @@ def test_url_filter(spark):
         (1, "www.example.com"): ("/en/a", "www.example.com/en/", "allow"), (2, "a.example.com"): ("/en/b", "example.com/en/", "block"), (3, "x.net"): ("/es/", "net/es/", "block"), (4, "x.net"): ("/es", None, "allow"), (5, ""): ("", None, "allow"), (6, ""): ("", None, "allow"),
         (7, "q.org"): ("", None, "allow"), (8, "xexample.com"): ("/en/", "com/", "allow"), (9, "bad.org"): ("/p.html", None, "block"), (None, "www.bad.org"): ("/p/", None, "block"), (10, "com"): ("/", "com/", "allow"), (11, "a:"): ("//b/c", None, "allow"), (12, ""): ("", None, "allow"),
     }
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 4)  # several filters, one after the other
+    assert {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, listed).collect()} == got
+    full = url_filter.BlockedBloom(1)
+    full.bits[:] = np.uint64((1 << 64) - 1)
+    monkeypatch.setattr(url_filter, "build_filter", lambda keys, n: full)  # lets everything pass
+    assert {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules, listed).collect()} == got
     assert url_filter.judge(df, rules.where("false"), listed.where("false")).where("verdict <> 'allow'").count() == 0
     assert url_filter.judge(df.where("false"), rules, listed).count() == 0
 
@@ -550,6 +603,8 @@ def test_warc(spark, tmp_path, monkeypatch):
     with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as r:
         assert r.read().count(b"WARC-Record-ID") == index.where(F.col("file") == one.file).count()
     assert warc.archive_pages(df.where("false")).count() == 0
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)  # repeats beyond a broadcast
+    assert Counter(tuple(r)[:5] for r in warc.archive_pages(df).collect()) == want
 
 
 # pipeline
