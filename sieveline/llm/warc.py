@@ -149,16 +149,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     Payload: html in UTF-8, null as empty. Of the records with equal payloads of at least `least` bytes, the one with
     the smallest page_id is the response (all of them, if several rows have that id) and the others revisit it;
     smaller payloads are all responses. A null page_id is never the smallest unless all are null; then all are
-    responses. Only digests and ids meet in the aggregation; the pages are not shuffled while the repeated digests fit
-    a broadcast, and are joined by digest beyond that.
+    responses. page_id is a whole number, or a string of one. A very long payload is a frame of its own, held by one
+    task. Only digests and ids meet in the aggregation and, where the repeated digests exceed a broadcast, in the join
+    by digest, so a payload that a third of all pages share is an id and a digest a row there; the pages themselves
+    then meet their answer by id and digest.
     """
     prepare(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256))
     again = base.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original")
     again = stored(again, "repeats")
-    side = F.broadcast(again) if again.count() * 160 <= BROADCAST_BYTES else again
-    rows = base.join(side, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
+    if again.count() * 160 <= BROADCAST_BYTES:
+        rows = base.join(F.broadcast(again), "digest", "left")
+    else:
+        known = base.select("page_id", "digest").distinct().join(again, "digest").select(F.col("page_id").alias("i"), F.col("digest").alias("d"), "original")
+        rows = base.join(known, base["page_id"].eqNullSafe(known["i"]) & (base["digest"] == known["d"]), "left")
+    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")))
     named = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.col("refers_to").cast("string").alias("refers_to"))
     index = named.mapInPandas(_write(folder), "page_id string, file string, frame int, at long, size long")
     return stored(index.withColumn("page_id", F.col("page_id").cast("long")), "warc-index")
@@ -169,7 +175,6 @@ def _read(folder: str):
         fs, root = pafs.FileSystem.from_uri(folder)
         for pdf in batches:
             for file in pdf["file"]:
-                out = []
                 with fs.open_input_file(f"{root}/{file}") as f:
 
                     def read(at, n):
@@ -177,6 +182,7 @@ def _read(folder: str):
                         return f.read(n)
 
                     for k, (at, packed, plain) in enumerate(read_table(read, f.size())):
+                        out = []
                         data = _unpack(read(at, packed), plain)
                         pos = 0
                         while pos < len(data):
@@ -190,8 +196,8 @@ def _read(folder: str):
                             size = len(body) if kind == "response" else int(head["X-Payload-Length"])
                             out.append((None if key == "null" else int(key), size, digest, kind, int(other) if other else None, file, k, pos, end - pos, head["WARC-Target-URI"]))
                             pos = end
-                made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "at", "size", "uri"])
-                yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        made = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "at", "size", "uri"])
+                        yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     return run
 
@@ -200,9 +206,10 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """All records of the bundles that the index names, read back frame by frame; digests are checked."""
+    """All records of the bundles that the index names, read back frame by frame, bundles in parallel; digests are
+    checked."""
     files = index.select("file").distinct()
-    return files.mapInPandas(_read(folder), READ)
+    return files.repartition(max(1, files.count())).mapInPandas(_read(folder), READ)
 
 
 def fetch(folder: str, file: str, frame: int, at: int, size: int) -> tuple[dict[str, str], bytes]:
