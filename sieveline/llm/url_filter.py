@@ -14,10 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BROADCAST_BYTES, mix, prepare
+from sieveline.llm.common import BROADCAST_BYTES, mix, prepare, stored
 
 BITS_A_KEY, WORDS, HASHES = 16, 8, 8  #: a block has 8 words of 64 bits; each key sets one bit in each word
-MAX_BYTES = 32 << 20  #: of a filter; a longer list is split over several, each with its own pass over the keys
+MAX_BYTES = 32 << 20  #: of a filter; a longer list is split over several, used one after the other
 
 
 def host_of(url: Column) -> Column:
@@ -96,23 +96,33 @@ def candidates(host: str, path: str, exact: str, lengths: list[int]) -> list[str
     return [f"r:{s}{path[:n]}\n{len(s)}" for s in suffixes for n in lengths if n <= len(path)] + [f"u:{exact}"]
 
 
-def _probe(blooms: list[BlockedBloom], lengths: list[int]):
+def _probe(bloom: BlockedBloom, lengths: list[int]):
     def run(batches):
         for pdf in batches:
             keys = [candidates(h, p, e, lengths) for h, p, e in zip(pdf["host"], pdf["path"], pdf["exact"])]
-            sizes = np.array([len(k) for k in keys], np.int64)
+            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             flat = [k for x in keys for k in x]
-            h = key_hash(flat)
-            hit = np.zeros(len(flat), bool)
-            for bloom in blooms:
-                hit |= bloom.may_hold(h)
-            ends = np.cumsum(sizes)
-            maybe = [[flat[i] for i in range(e - n, e) if hit[i]] for e, n in zip(ends, sizes)]
-            yield pd.DataFrame({"url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "maybe": maybe})
+            hit = np.flatnonzero(bloom.may_hold(key_hash(flat)))
+            urls = pdf["url"].tolist()
+            yield pd.DataFrame({"url": [urls[i] for i in owner[hit].tolist()], "key": [flat[i] for i in hit.tolist()]}, columns=["url", "key"], dtype=object)
 
     return run
 
 
+def possible_hits(urls: DataFrame, entries: DataFrame, total: int, lengths: list[int]) -> DataFrame:
+    """(url, key) of urls(url, host, path, exact): the keys that a filter lets pass. A list that fills several filters
+    is dealt over them by hash; each is built, sent, used and dropped before the next, its hits being stored."""
+    parts = max(1, -(-total * BITS_A_KEY // 8 // MAX_BYTES))
+    found = None
+    for i in range(parts):
+        some = entries.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == i)
+        hits = urls.mapInPandas(_probe(build_filter(some, -(-total // parts)), lengths), "url string, key string")
+        if parts > 1:
+            hits = stored(hits, "hits")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) for each row of pages(page_id, url, ...).
 
@@ -128,15 +138,13 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     entries = kind.groupBy("key", "rule", "n", "depth").agg(F.min("verdict").alias("verdict"))
     entries = entries.unionByName(exact.withColumn("verdict", F.lit("block")), allowMissingColumns=True)
     total, width, lengths = entries.agg(F.count("*"), F.coalesce(F.max(F.octet_length("key")), F.lit(0)), F.sort_array(F.collect_set("depth"))).first()
-    parts = max(1, -(-total * BITS_A_KEY // 8 // MAX_BYTES))
-    hashed = entries.select("key", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
-    blooms = [build_filter(hashed.where(F.col("part") == i), -(-total // parts)) for i in range(parts)]
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # each distinct url is probed once; a hot host is many urls, a hot url one row a task
-    probed = urls.select("url", "host", "path", canonical(F.col("host"), F.col("path")).alias("exact")).distinct().mapInPandas(_probe(blooms, lengths), "url string, host string, path string, maybe array<string>")
+    probed = urls.select("url", "host", "path", canonical(F.col("host"), F.col("path")).alias("exact")).distinct()
+    hits = possible_hits(probed.where("url is not null"), entries, total, lengths)
     side = F.broadcast(entries) if total * (3 * width + 64) <= BROADCAST_BYTES else entries
     order = F.struct(F.char_length("rule").alias("size"), "n", "rule", "verdict")
-    found = probed.select("url", F.explode("maybe").alias("key")).join(side, "key").groupBy("url").agg(F.max(F.when(F.col("rule").isNotNull(), order)).alias("best"), F.max(F.col("rule").isNull()).alias("in_list"))
+    found = hits.join(side, "key").groupBy("url").agg(F.max(F.when(F.col("rule").isNotNull(), order)).alias("best"), F.max(F.col("rule").isNull()).alias("in_list"))
     out = urls.join(found, "url", "left")
     rule, hit = F.col("best.rule"), F.coalesce("in_list", F.lit(False))
     verdict = F.coalesce("best.verdict", F.when(hit, "block").otherwise("allow"))
