@@ -162,14 +162,18 @@ def _total(parts: int):
 def _elsewhere(keys: np.ndarray, doc: np.ndarray, totals: np.ndarray, others: bool) -> np.ndarray:
     """Corpus count of each n-gram of a block, less its occurrences in its own document; totals are by distinct key."""
     at = np.argsort(keys, kind="stable")  # so documents are in order within a key
-    keys, doc = keys[at], doc[at]
+    keys = keys[at]
     new = np.append(True, keys[1:] != keys[:-1])
-    value = totals[np.cumsum(new) - 1]
+    del keys
+    value = totals[np.cumsum(new, dtype=np.int32) - 1]
+    del totals
     if others:
-        run = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))
-        sizes = np.diff(np.append(run, len(keys)))
-        value = value - np.repeat(sizes, sizes)
-    out = np.empty(len(keys), np.int64)
+        doc = doc[at]
+        new[1:] |= doc[1:] != doc[:-1]
+        run = np.flatnonzero(new)
+        sizes = np.diff(np.append(run, len(new))).astype(np.int32)
+        value -= np.repeat(sizes, sizes)
+    out = np.empty(len(value), np.int64)
     out[at] = value
     return out
 
@@ -190,23 +194,27 @@ def _score(order: int, alpha: float, others: bool):
             if not per.any():
                 break
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), per)
-            count = _elsewhere(_grams(hashes, n), doc, np.concatenate([unpack_counts(t) for t in replies[n]]), others)
+            count = _elsewhere(_grams(hashes, n), doc, np.concatenate([unpack_counts(t) for t in replies.pop(n)]), others)
             starts = np.cumsum(per) - per
             seen = count > 0
             if n == 1:
                 left = np.maximum(corpus - (sizes if others else 0), 0)
-                prob = np.where(seen, count / np.maximum(left, 1)[doc], (alpha / (left + 1))[doc])
+                prob = (alpha / (left + 1))[doc]
+                np.divide(count, np.maximum(left, 1)[doc], out=prob, where=seen)
                 level = seen.astype(np.int8)
             else:
                 place = np.arange(len(doc)) - starts[doc]
-                to = words[doc] + place + n - 1  # the word that the n-gram ends with
-                before = context[base[doc] + place]
-                prob[to] = np.where(seen, count / np.maximum(before, 1), alpha * prob[to])
-                level[to] = np.where(seen, n, level[to])
+                context = context[base[doc] + place]
+                place += words[doc] + n - 1  # the word that the n-gram ends with
+                longer = prob[place] * alpha
+                np.divide(count, np.maximum(context, 1, out=context), out=longer, where=seen)
+                prob[place] = longer
+                level[place[seen]] = n
+                del place, longer
             context, base = count, starts
         if sizes.any():
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            total = np.bincount(doc, np.log(prob), len(sizes))
+            total = np.bincount(doc, np.log(prob, out=prob), len(sizes))
             full, unseen = (np.bincount(doc, level == x, len(sizes)).astype(np.int64) for x in (order, 0))
         return made.assign(n_full=full, n_unseen=unseen, log_prob=total)
 
