@@ -15,6 +15,9 @@ import numpy as np
 DIM, WIDTHS, EACH = 6, (2, 3, 4), 16  #: embedding size, filter widths, filters of each width
 LENGTH = 256  #: bytes of a window
 ROWS = 64  #: windows in one matrix product
+MOST = 1024  #: windows of a training batch, beyond those of one bag
+#: Texts beyond so many bytes are not learned from; those learned from are read whole. Predictions read any text.
+TRAIN_BYTES = 1 << 15
 
 
 @dataclass
@@ -97,59 +100,83 @@ def predict(net: Net, texts: list[bytes], stride: int, group: int = 2048) -> np.
     return softmax(np.concatenate(out)) if out else np.empty((0, len(net.out)))
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, classes: int, weights: np.ndarray | None = None, both: bool = False, epochs: int = 6, least: int = 500, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Net:
-    """Adam on the cross entropy; bags[i] holds the windows of example i. Few examples get `least` steps anyway."""
-    epochs = max(epochs, -(-least // -(-len(bags) // batch)))
-    rng = np.random.Generator(np.random.PCG64(seed))
-    wide, filters = max(WIDTHS), EACH * len(WIDTHS)
-    mask = np.concatenate([np.repeat([1.0] * w * DIM + [0.0] * (wide - w) * DIM, EACH).reshape(wide * DIM, EACH) for w in WIDTHS], axis=1).astype(np.float32)
-    net = Net(
+def gradients(net: Net, win: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean cross entropy of bags of windows (sizes of them, one after the other), and its gradients by
+    emb, conv, bias, dense and out."""
+    filters, wide = len(net.bias), max(WIDTHS)
+    starts = np.cumsum(sizes) - sizes
+    patches = _patches(net, win)
+    n = win.shape[1] - wide + 1
+    z = (patches @ net.conv).reshape(len(win), n, filters)
+    at = z.argmax(axis=1)
+    pre = np.take_along_axis(z, at[:, None], axis=1)[:, 0] + net.bias
+    feats = np.maximum(pre, 0)
+    x = combine(net, feats, starts)
+    p = softmax(x @ net.dense + net.out)
+    own, share = np.arange(len(sizes)), weights / weights.sum()
+    loss = float(-(share * np.log(np.maximum(p[own, labels], 1e-30))).sum())
+    p[own, labels] -= 1
+    g = (p * share[:, None]).astype(net.dense.dtype)
+    back = g @ net.dense.T
+    owner = np.repeat(own, sizes)
+    df = back[owner, :filters] / sizes[owner, None]
+    if net.both:
+        df = df + back[owner, filters:] * (x[:, filters:][owner] == feats)
+    df = (df * (pre > 0)).astype(net.dense.dtype)
+    chosen = patches[np.arange(len(win))[:, None] * n + at]  # windows x filters x wide * DIM
+    dconv = np.einsum("nfk,nf->kf", chosen, df) * _mask()
+    demb = np.zeros_like(net.emb)
+    inner = (df[:, :, None] * net.conv.T[None]).reshape(len(win), filters, wide, DIM)
+    where = win[np.arange(len(win))[:, None, None], at[:, :, None] + np.arange(wide)]
+    for d in range(DIM):
+        demb[:, d] = np.bincount(where.ravel(), inner[..., d].ravel(), 256)
+    return loss, [demb, dconv, df.sum(axis=0), x.T.astype(g.dtype) @ g, g.sum(axis=0)]
+
+
+def _mask() -> np.ndarray:
+    """Which rows of the filter matrix each filter has: those of its own width."""
+    wide = max(WIDTHS)
+    return np.concatenate([np.repeat([1.0] * w * DIM + [0.0] * (wide - w) * DIM, EACH).reshape(wide * DIM, EACH) for w in WIDTHS], axis=1).astype(np.float32)
+
+
+def start(classes: int, both: bool, rng: np.random.Generator) -> Net:
+    filters, mask = EACH * len(WIDTHS), _mask()
+    return Net(
         rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
-        (rng.normal(0, 1, (wide * DIM, filters)) * np.sqrt(1 / mask.sum(axis=0))).astype(np.float32) * mask,
+        (rng.normal(0, 1, mask.shape) * np.sqrt(1 / mask.sum(axis=0))).astype(np.float32) * mask,
         np.zeros(filters, np.float32),
-        (rng.normal(0, 0.1, (filters * (1 + both), classes))).astype(np.float32),
+        rng.normal(0, 0.1, (filters * (1 + both), classes)).astype(np.float32),
         np.zeros(classes, np.float32),
         both,
     )
+
+
+def _batches(order: np.ndarray, sizes: np.ndarray, batch: int):
+    """Runs of order with at most `batch` bags and, beyond one bag, MOST windows."""
+    i = 0
+    while i < len(order):
+        total = np.cumsum(sizes[order[i : i + batch]])
+        n = max(1, int(np.searchsorted(total, MOST, "right")))
+        yield i, order[i : i + n]
+        i += n
+
+
+def train(bags: list[np.ndarray], labels: np.ndarray, classes: int, weights: np.ndarray | None = None, both: bool = False, epochs: int = 6, least: int = 500, batch: int = 32, rate: float = 0.004, seed: int = 7) -> Net:
+    """Adam on the cross entropy; bags[i] holds the windows of example i. Few examples get `least` steps anyway."""
+    epochs = max(epochs, -(-least // -(-len(bags) // batch)))
+    rng = np.random.Generator(np.random.PCG64(seed))
+    net = start(classes, both, rng)
     params = [net.emb, net.conv, net.bias, net.dense, net.out]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weights = np.ones(len(bags)) if weights is None else weights
-    total = epochs * -(-len(bags) // batch)
-    for _ in range(epochs):
+    every = np.array([len(b) for b in bags])
+    for epoch in range(epochs):
         order = rng.permutation(len(bags))
-        for i in range(0, len(order), batch):
-            take = order[i : i + batch]
-            win = np.concatenate([bags[j] for j in take])
-            sizes = np.array([len(bags[j]) for j in take])
-            starts = np.cumsum(sizes) - sizes
-            patches = _patches(net, win)
-            n = win.shape[1] - wide + 1
-            z = (patches @ net.conv).reshape(len(win), n, filters)
-            at = z.argmax(axis=1)
-            pre = np.take_along_axis(z, at[:, None], axis=1)[:, 0] + net.bias
-            feats = np.maximum(pre, 0)
-            x = combine(net, feats, starts)
-            p = softmax(x @ net.dense + net.out)
-            p[np.arange(len(take)), labels[take]] -= 1
-            g = (p * weights[take, None] / weights[take].sum()).astype(np.float32)
-            back = g @ net.dense.T
-            owner = np.repeat(np.arange(len(take)), sizes)
-            df = back[owner, :filters] / sizes[owner, None]
-            if both:
-                top = x[:, filters:][owner] == feats
-                df = df + back[owner, filters:] * top
-            df = (df * (pre > 0)).astype(np.float32)
-            rows = np.arange(len(win))[:, None] * n + at
-            chosen = patches[rows]  # windows x filters x wide * DIM
-            dconv = np.einsum("nfk,nf->kf", chosen, df) * mask
-            demb = np.zeros_like(net.emb)
-            inner = (df[:, :, None] * net.conv.T[None]).reshape(len(win), filters, wide, DIM)
-            where = win[np.arange(len(win))[:, None, None], at[:, :, None] + np.arange(wide)]
-            for d in range(DIM):
-                demb[:, d] = np.bincount(where.ravel(), inner[..., d].ravel(), 256)
+        for i, take in _batches(order, every, batch):
+            _, slopes = gradients(net, np.concatenate([bags[j] for j in take]), every[take], labels[take], weights[take])
             step += 1
-            lr = rate * min(1.0, 2 * (1 - (step - 1) / total))
-            for q, dq, m, v in zip(params, [demb, dconv, df.sum(axis=0), x.T.astype(np.float32) @ g, g.sum(axis=0)], first, second):
+            lr = rate * min(1.0, 2 * (1 - (epoch + i / len(order)) / epochs))
+            for q, dq, m, v in zip(params, slopes, first, second):
                 m *= 0.9
                 m += 0.1 * dq
                 v *= 0.99

@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: Python workers hold one batch of texts at a time.
@@ -22,7 +22,8 @@ _made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session; smaller settings stay."""
+    """Bounds the Arrow batches of this session; smaller settings stay. What operators return is computed later, so the
+    bounds are not taken back."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -30,20 +31,28 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local session may name none (tests): it gets a temporary one,
+    while elsewhere executors would not see the driver's folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.sparkContext.setCheckpointDir(where)
     if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", where):  # as Spark would read it, so that Python reads the same place
-        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        where = path.getFileSystem(hadoop).makeQualified(path).toString()
+        where = _place(spark, where)[0].makeQualified(_place(spark, where)[1]).toString()
     return re.sub("^file:/(?!/)", "file:///", where).rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path as Spark reads it."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(hadoop), at
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by discard() or when the driver ends."""
     path = f"{shared_dir(spark)}/sieveline-{what}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clear)
@@ -51,6 +60,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing still to be computed reads."""
+    for path in list(paths):
+        fs, at = _place(spark, path)
+        fs.delete(at, True)
+        _made.remove(path)
+
+
+def mark() -> int:
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, begin: int) -> None:
+    """Removes what was stored since mark() gave begin; what is to stay has a path from scratch() from before."""
+    discard(spark, *_made[begin:])
+
+
 def _clear() -> None:
     for path in _made:
         try:
@@ -60,10 +86,10 @@ def _clear() -> None:
             pass
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, outlives executors."""
     spark = df.sparkSession
-    path = scratch(spark, what)
+    path = path or scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -108,29 +134,25 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """About per_label rows of each label, or all of a rarer one: those whose key hashes under a threshold.
-
-    Counts first (label and key columns only); the rows that pass number about 1.25 * per_label + 40 a label whatever
-    the size of the input, the same ones on every run. first_of() trims them to the bound.
-    """
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def share_of(df: DataFrame, label: str, rank: Column, per_label: int, labels: int) -> DataFrame:
+    """About per_label rows of each of the `labels` commonest labels of df (all of a rarer one): those whose rank, a
+    64-bit hash, is low enough. Counts first; what passes is about 1.25 * per_label + 40 rows a label at every size of
+    the input, the same ones on every run, but for rows of equal rank, which come or stay away together."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(labels)
     top = 2.0**63
-    limit = F.lit(None).cast("double")
-    for value, n in sorted(sizes.items(), key=lambda x: str(x[0])):
-        share = min(1.0, (1.25 * per_label + 40) / n)
-        limit = F.when(F.col(label) == F.lit(value), F.lit(-top + 2 * top * share)).otherwise(limit)
-    return df.where(_rank(key).cast("double") <= limit)
+    limit = -top + 2 * top * F.least(F.lit(1.0), F.lit(1.25 * per_label + 40) / F.col("count"))
+    bound = sizes.select(F.col(label).alias("sieve_label"), limit.alias("sieve_limit"))
+    found = df.join(F.broadcast(bound), F.col(label) == F.col("sieve_label"))
+    return found.where(rank.cast("double") <= F.col("sieve_limit")).drop("sieve_label", "sieve_limit")
 
 
-def _rank(key: str) -> Column:
-    return F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
+def rank_of(key: str, *more: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"), *[F.col(c) for c in more], F.lit("sample"))
 
 
-def first_of(df: DataFrame, label: str, key: str, per_label: int, payload: Column) -> list:
-    """Rows (label, h, x) of a bounded sample, sorted: the per_label smallest hashes of each label."""
-    rows = df.select(F.col(label).alias("label"), _rank(key).alias("h"), payload.alias("x")).collect()
-    by: dict = {}
-    for r in sorted(rows, key=lambda r: (r["h"], str(r["x"]))):
-        by.setdefault(r["label"], []).append(r)
-    return [r for v in sorted(by, key=str) for r in by[v][:per_label]]
+def smallest(df: DataFrame, label: str, rank: Column, payload: str, per_label: int) -> list:
+    """Rows (label, h, x) with the per_label smallest ranks of each label, sorted. Rows of equal rank count once, which
+    the tasks see to before anything is sent, so many equal rows don't meet."""
+    rows = df.select(F.col(label).alias("label"), rank.alias("h"), F.col(payload).alias("x")).groupBy("label", "h").agg(F.first("x").alias("x"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return rows.withColumn("place", place).where(F.col("place") <= per_label).orderBy("label", "h").select("label", "h", "x").collect()

@@ -8,34 +8,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import byte_cnn
-from sieveline.llm.common import bounded_sample, first_of, prepare
+from sieveline.llm.common import prepare, rank_of, share_of, smallest
 
-#: Labelled rows of a language that the training reads at most; the bound holds at every size of the input.
-PER_LANGUAGE = 1500
-#: Characters of a training excerpt, cut from the text at a place drawn from its key.
-EXCERPT = 300
+#: Labelled rows of a language that the training reads at most, and languages; both hold at every size of the input.
+PER_LANGUAGE, LANGUAGES = 400, 250
 #: Windows overlap by the widest filter less one, so that no byte sequence is cut apart.
 STRIDE = byte_cnn.LENGTH - max(byte_cnn.WIDTHS) + 1
+#: Bytes of the additional examples of a row, so that short texts are learned too.
+SHORT = (40, 128)
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(docs: DataFrame, key: str = "doc_id", label: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], byte_cnn.Net | None]:
-    """Learned languages, sorted, and the network; docs(key, label, text) are the rows to learn from."""
-    docs = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    at = F.lit(1) + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("at")), F.greatest(F.lit(1), F.char_length("text") - EXCERPT))
-    sample = bounded_sample(docs, label, key, per_language)
-    rows = first_of(sample, label, key, per_language, F.substr(F.col("text"), at.cast("int"), F.lit(EXCERPT)))
-    rng = np.random.Generator(np.random.PCG64(11))
-    lengths = rng.choice([byte_cnn.LENGTH, byte_cnn.LENGTH, 128, 40], len(rows))
+def fit(docs: DataFrame, key: str = "doc_id", label: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, most: int = byte_cnn.TRAIN_BYTES) -> tuple[list[str], byte_cnn.Net | None]:
+    """Learned languages, sorted, and the network; docs(key, label, text) are the rows to learn from.
+
+    Learned are the `languages` commonest ones, from per_language rows each, drawn by a hash of key and text from those
+    of at most `most` bytes; of these rows all windows are examples, and one short cut of each length in SHORT.
+    """
+    docs = docs.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    docs = docs.where(F.octet_length("text") <= most)
+    rank = rank_of("key", "text")
+    rows = smallest(share_of(docs, "label", rank, per_language, languages), "label", rank, "text", per_language)
     rows = [r for r in rows if any(map(str.isalpha, r["x"]))]
     names = sorted({r["label"] for r in rows})
     if not names:
         return [], None
-    bags = [byte_cnn.cut(r["x"].encode("utf-8")[:n], STRIDE)[:1] for r, n in zip(rows, lengths)]
-    return names, byte_cnn.train(bags, np.array([names.index(r["label"]) for r in rows]), len(names))
+    rng = np.random.Generator(np.random.PCG64(11))
+    windows, of, weights = [], [], []
+    for r in rows:
+        raw = r["x"].encode("utf-8", "surrogatepass")
+        own = list(byte_cnn.cut(raw, STRIDE)[:, None])
+        for n in SHORT:
+            at = int(rng.integers(max(1, len(raw) - n + 1)))
+            own.append(byte_cnn.cut(raw[at : at + n], STRIDE)[:1])
+        windows += own
+        of += [names.index(r["label"])] * len(own)
+        weights += [1 / np.sqrt(len(own))] * len(own)  # a long text counts for more than a short one, but not in proportion
+    return names, byte_cnn.train(windows, np.array(of), len(names), weights=np.array(weights), epochs=3)
 
 
 def _predict(names: list[str], net: byte_cnn.Net | None, columns: list[str], out: tuple[str, str]):

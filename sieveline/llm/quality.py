@@ -8,40 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import byte_cnn
-from sieveline.llm.common import bounded_sample, first_of, prepare
+from sieveline.llm.common import prepare, rank_of, share_of, smallest
 from sieveline.llm.language_id import held_out
 
 #: Labelled rows of a class that the training reads at most; the bound holds at every size of the input.
-PER_CLASS = 2000
+PER_CLASS = 1500
 #: Bytes from one chunk to the next; chunks of 256 bytes overlap by 64.
 STRIDE = 192
-#: Chunks of a training document that the training reads at most (scoring reads all), drawn over the whole document.
-CHUNKS = 6
-#: Characters read of a training document at most, from a place drawn from its key.
-EXCERPT = 16_000
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> byte_cnn.Net | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = byte_cnn.TRAIN_BYTES) -> byte_cnn.Net | None:
     """The network learned from docs(doc_id, text) with labels(doc_id, quality in 0, 1); None without both classes.
 
-    Of several labels of a document the smallest holds. The labels are sampled first, so only the sampled documents
-    (about 1.25 * per_class + 40 a class) meet them in a broadcast join, and no text is shuffled.
+    Learned from are per_class rows a class, drawn by hash from the labelled rows of at most `most` bytes, with all
+    their chunks. Of several labels of a document the smallest holds. The labels are drawn first, so only the drawn
+    documents (about 1.5 * per_class + 40 a class) meet them in a broadcast join, and no text of others is shuffled.
     """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = F.broadcast(bounded_sample(marks, "quality", "doc_id", per_class))
-    at = F.lit(1) + F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("at")), F.greatest(F.lit(1), F.char_length("text") - EXCERPT))
-    text = F.substr(F.col("text"), at.cast("int"), F.lit(EXCERPT))
-    found = first_of(docs.where("text is not null").join(some, "doc_id"), "quality", "doc_id", per_class, text)
-    labels = np.array([int(r["label"]) for r in found])
-    if len(set(labels)) < 2:
+    some = F.broadcast(share_of(marks, "quality", rank_of("doc_id"), -(-per_class * 6 // 5), 2))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most)
+    found = smallest(texts.join(some, "doc_id"), "quality", rank_of("doc_id", "text"), "text", per_class)
+    marks = np.array([int(r["label"]) for r in found])
+    if len(set(marks)) < 2:
         return None
-    rng = np.random.Generator(np.random.PCG64(5))
-    bags = []
-    for r in found:
-        w = byte_cnn.cut(r["x"].encode("utf-8"), STRIDE)
-        bags.append(w if len(w) <= CHUNKS else w[np.sort(rng.choice(len(w), CHUNKS, replace=False))])
-    share = np.bincount(labels, minlength=2) / len(labels)
-    return byte_cnn.train(bags, labels, 2, weights=0.5 / share[labels], epochs=5)
+    bags = [byte_cnn.cut(r["x"].encode("utf-8", "surrogatepass"), STRIDE) for r in found]
+    share = np.bincount(marks, minlength=2) / len(marks)
+    return byte_cnn.train(bags, marks, 2, weights=0.5 / share[marks], epochs=4)
 
 
 def _score(net: byte_cnn.Net | None, columns: list[str], out: str):

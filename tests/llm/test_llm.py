@@ -13,7 +13,7 @@ import sentencepiece
 from conftest import SF, plain
 from pyspark.sql import functions as F
 
-from sieveline.llm import byte_cnn, chat, decontam, language_id, lm_score, near_dup, pieces, quality, queries, rules, url_filter, warc
+from sieveline.llm import byte_cnn, chat, common, decontam, language_id, lm_score, near_dup, pieces, quality, queries, rules, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, word string"
 
@@ -349,7 +349,7 @@ def test_windows_cover_all_bytes():
             assert bytes(out[:n]) == raw and not any(out[n : (len(w) - 1) * stride + 256])
 
 
-def test_gradients():
+def test_training_separates_classes():
     rng = np.random.default_rng(0)
     bags = [byte_cnn.cut(bytes(rng.integers(97, 99 + i % 2 * 8, 300, dtype=np.uint8)), 192) for i in range(60)]
     y = np.arange(60) % 2
@@ -361,6 +361,72 @@ def test_gradients():
         assert np.allclose(byte_cnn.predict(net, raw, 192, group=5), byte_cnn.predict(net, raw, 192), atol=1e-4)
 
 
+def random_net(classes, both, kind=np.float64):
+    rng = np.random.default_rng(12)
+    net = byte_cnn.start(classes, both, rng)
+    made = [np.asarray(x, kind) for x in (net.emb, net.conv, net.bias, net.dense, net.out)]
+    made[2] += rng.normal(0, 0.1, made[2].shape)
+    made[4] += rng.normal(0, 0.1, made[4].shape)
+    return byte_cnn.Net(*made, both)
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_predictions_are_those_of_plain_loops(both):
+    net = random_net(3, both)
+    rng = random.Random(2)
+    raw = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 200, 256, 257, 900)]
+    got = byte_cnn.predict(net, raw, 192)
+    for x, p in zip(raw, got):
+        feats = []
+        at = 0
+        while True:
+            win = x[at : at + 256].ljust(256, b"\0")
+            own = []
+            for f in range(len(net.bias)):
+                width = byte_cnn.WIDTHS[f // byte_cnn.EACH]
+                sums = [sum(net.emb[win[i + j], d] * net.conv[j * byte_cnn.DIM + d, f] for j in range(width) for d in range(byte_cnn.DIM)) for i in range(0, 256 - max(byte_cnn.WIDTHS) + 1)]
+                own.append(max(0.0, max(sums) + net.bias[f]))
+            feats.append(own)
+            if at + 256 >= len(x):
+                break
+            at += 192
+        mean = [sum(c) / len(c) for c in zip(*feats)]
+        use = mean + [max(c) for c in zip(*feats)] if both else mean
+        z = [sum(u * net.dense[i, k] for i, u in enumerate(use)) + net.out[k] for k in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert np.allclose(p, np.array(e) / sum(e), atol=1e-4)
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_gradients_are_finite_differences(both):
+    net = random_net(3, both)
+    rng = np.random.default_rng(9)
+    win = rng.integers(0, 256, (7, 256)).astype(np.uint8)
+    case = (win, np.array([3, 1, 3]), np.array([0, 2, 1]), np.array([1.0, 0.5, 2.0]))
+    _, slopes = byte_cnn.gradients(net, *case)
+    for q, dq in zip((net.emb, net.conv, net.bias, net.dense, net.out), slopes):
+        found = np.flatnonzero(np.abs(dq) > 1e-6)
+        for i in rng.choice(found, min(12, len(found)), replace=False):
+            keep = q.flat[i]
+            q.flat[i] = keep + 1e-6
+            up, _ = byte_cnn.gradients(net, *case)
+            q.flat[i] = keep - 1e-6
+            down, _ = byte_cnn.gradients(net, *case)
+            q.flat[i] = keep
+            assert (up - down) / 2e-6 == pytest.approx(dq.flat[i], rel=1e-3, abs=1e-7)
+
+
+def test_samples_are_bounded_and_hold_no_repeats(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 50 == 0, "rare").otherwise("often").alias("l"), F.concat(F.lit("t"), F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))).alias("t"))
+    odd = spark.range(3000).select(F.lit(None).cast("long").alias("k"), F.concat(F.lit("x"), "id").alias("l"), F.lit("z").alias("t"))
+    df = rows.unionByName(odd)
+    rank = common.rank_of("k", "t")
+    got = common.smallest(common.share_of(df, "l", rank, 100, 2), "l", rank, "t", 100)
+    sizes = Counter(r.label for r in got)
+    assert set(sizes) == {"often", "rare"} and all(70 <= n <= 100 for n in sizes.values())
+    assert len({(r.label, r.h) for r in got}) == len(got)
+
+
 def test_language_id(spark, docs, empty):
     got = language_id.predict_languages(docs).collect()
     assert len(got) == docs.count()
