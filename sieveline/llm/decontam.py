@@ -31,7 +31,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BROADCAST_BYTES, stored
+from sieveline.llm.common import BROADCAST_BYTES, discard_since, mark, scratch, stored
 
 #: A word [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of a text whose bytes are lower-cased Latin-1 characters.
 WORD = r"[0-9a-z\x80-\xFF]++"
@@ -76,7 +76,7 @@ def _parts(bare: DataFrame, shingle: int) -> tuple[DataFrame, int]:
             return parts, seed
 
 
-def _probe(keyed: DataFrame, tokens: DataFrame, lengths: list[int], seed: int, shingle: int) -> DataFrame:
+def _probe(keyed: DataFrame, tokens: DataFrame, lengths: list[int], seed: int) -> DataFrame:
     """(doc_id, fp, n_words, at, found) in one pass over keyed(doc_id, fp, w): the positions where tokens start, and
     for each row one with at = n_words; found has the hashes by length."""
     size = F.size("w")
@@ -106,6 +106,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     """
     also = ["fp"] if fingerprint else []
     keyed = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("fp"), words_of(F.col("text")).alias("w"))
+    spark = docs.sparkSession
+    kept = [scratch(spark, what) for what in ("probed", "marks")]
+    begin = mark()
     wins = stored(windows(items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), window), "windows")
     parts, seed = _parts(wins.select("win", "words").distinct(), shingle)
     lengths = [r[0] for r in parts.select("k").distinct().orderBy("k").collect()]  # at most `shingle` values
@@ -113,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
         return keyed.select("doc_id", *also, F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     tokens = parts.select("k", "h", "token").distinct()
-    passes = [stored(_probe(keyed, block, lengths, seed, shingle), "probed") for block in _blocks(tokens, F.octet_length(F.array_join("token", " ")) + 16 * F.col("k"))]
+    passes = [stored(_probe(keyed, block, lengths, seed), "probed", None if i else kept[0]) for i, block in enumerate(_blocks(tokens, F.octet_length(F.array_join("token", " ")) + 16 * F.col("k")))]
     sizes = passes[0].where("at = n_words").select("doc_id", "fp", F.col("n_words").cast("long").alias("n_words"))
     hits = reduce(DataFrame.unionByName, passes).select("doc_id", "fp", "n_words", "at", F.explode("found").alias("h"))
 
@@ -144,7 +147,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     which = which.groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     which = which.select("key", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     marks = cover.alias("c").join(sets.drop("wins").alias("s"), (F.col("c.fp") == F.col("s.fp")) & F.col("c.doc_id").eqNullSafe(F.col("s.doc_id"))).join(which, "key")
-    marks = stored(marks.select(F.col("c.doc_id").alias("d"), F.col("c.fp").alias("f"), "n_hit", "n_items", "items_sha256"), "marks")
+    marks = stored(marks.select(F.col("c.doc_id").alias("d"), F.col("c.fp").alias("f"), "n_hit", "n_items", "items_sha256"), "marks", kept[1])
+    discard_since(spark, begin)
     side = F.broadcast(marks) if marks.count() * ROW_BYTES <= BROADCAST_BYTES else marks
     out = sizes.join(side, sizes["doc_id"].eqNullSafe(side["d"]) & (sizes["fp"] == side["f"]), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")

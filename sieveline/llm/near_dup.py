@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import BROADCAST_BYTES, grams, mix, prepare, stored, word_hashes
+from sieveline.llm.common import BROADCAST_BYTES, discard, discard_since, grams, mark, mix, prepare, scratch, stored, word_hashes
 
 BANDS, ROWS = 40, 4  #: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^40 < 1e-9
 MISS = 1e-9  #: posterior probability under which a pair is pruned
@@ -267,16 +267,22 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps on a stored edge table: the number of rounds grows with the
     logarithm of the graph, and each is two aggregations by node. Stops when a round changes nothing.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    spark = edges.sparkSession
+    path = scratch(spark, "cc")
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", path)
     seen = None
     while True:
+        after, begin = scratch(spark, "cc"), mark()
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = stored(small.where("u <> v").distinct(), "cc")
+        e = stored(small.where("u <> v").distinct(), "cc", after)
+        discard_since(spark, begin)
+        discard(spark, path)
+        path = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first())
         if now == seen:  # a star forest: every node points at its smallest
             break
@@ -292,14 +298,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     - Null or empty text, or one without words: an empty set, linked with nothing.
     - Null doc_id: linked with nothing, component_id null, kept true.
     - Rows that repeat a doc_id are one document: what any of them is linked with, all are.
-    - Extra columns are ignored; an empty table gives an empty result.
+    - Extra columns are ignored; an empty table gives an empty result. doc_id is a whole number, or a string of one.
+    - A very long text is held with its shingles by one task, and again by those that verify its pairs.
+    - Shingles are told apart by 64-bit hashes, of full sets as elsewhere: of m distinct ones about m / 2^64 share
+      theirs with another, so a pair of sets of a million shingles each is misjudged by one shingle in 10^7 cases.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "sketch")
+    kept = [scratch(spark, what) for what in ("sketch", "classes", "final")]
+    begin = mark()
+    made = stored(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>"), "sketch", kept[0])
     full = made.where("fp is not null and doc_id is not null")
-    classes = stored(full.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    classes = stored(full.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes", kept[1])
     reps = full.select("doc_id", "fp", "sig", "bands", "n_shingles").join(classes.select("fp", F.col("node").alias("doc_id")), ["fp", "doc_id"])
     # a class whose smallest id comes in several rows has that many equal rows here
     reps = stored(reps.groupBy("fp").agg(F.first("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")).drop("fp"), "reps")
@@ -342,8 +353,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = stored(more.distinct(), "more")
     final = components(links.unionByName(more).unionByName(first.select(F.col("comp").alias("a"), F.col("node").alias("b")))) if not more.isEmpty() else first
 
-    size = final.count()
-    final = stored(final, "final") if size * 32 > BROADCAST_BYTES else F.broadcast(final)
+    final = stored(final, "final", kept[2])
+    discard_since(spark, begin)
+    if final.count() * 32 <= BROADCAST_BYTES:
+        final = F.broadcast(final)
     label = classes.join(final, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
     out = made.select("doc_id", "n_shingles", "fp").join(label, (made["fp"] == label["fp"]) & made["doc_id"].isNotNull(), "left")
     component = F.coalesce("comp", "doc_id")
