@@ -615,6 +615,67 @@ def test_divergence_tells_noise(spark):
     assert sum(not r.kept for r in rows if r.quality == 0) >= 0.8 * sum(1 - r.quality for r in rows)
 
 
+def test_divergence_is_that_of_plain_counts(spark):
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(900_001, words(90, 1), "xx"), (900_002, "ÀÉ é € \U0001f600 !!! \t\r\n #*$ 12 " * 30, "en"), (900_003, words(90, 2), None), (900_004, words(49, 3), "en"), (900_005, "", "en")]
+    df = real.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect() if r.text is not None]
+
+    def kind(c):
+        if ord(c) > 0x7F:
+            return 8 if ord(c) < 0x280 else 9
+        return next((i for i, group in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\n\x0b\x0c\r", ".,;:?'\"-()", "!"]) if c in group), 7)
+
+    def split(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", t)
+
+    def folded(chars):
+        out = Counter()
+        for c, n in chars.items():
+            out["a" if c in (0, 1, 8, 9) else c] += n
+        return out
+
+    def far(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        total = 0.0
+        for k in {*p, *q}:
+            x, y = p[k] / a, q[k] / b
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+        return math.sqrt(max(0.0, total / 2))
+
+    chars, common_words, sizes, every = {}, {}, Counter(), Counter()
+    for _, t, lang in rows:
+        sizes[lang] += 1
+        own = Counter(map(kind, t))
+        every.update(own)
+        chars.setdefault(lang, Counter()).update(own)
+        common_words.setdefault(lang, Counter()).update(split(t))
+    top = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:50]] for lang, c in common_words.items()}
+    got = {r.doc_id: r for r in rules.quality_rules(df).collect()}
+    seen = 0
+    for i, t, lang in rows:
+        r, w = got[i], split(t)
+        char = word = None
+        good = True
+        if len(w) >= 50:
+            own = Counter(map(kind, t))
+            if lang is not None and sizes[lang] >= 20:
+                char = far(own, chars[lang])
+                class_of = lambda c, lang=lang: Counter({k: n for k, n in c.items() if k in top[lang]}) + Counter({"": sum(n for k, n in c.items() if k not in top[lang])})
+                word = far(class_of(Counter(w)), class_of(common_words[lang]))
+                good = word <= 0.27 + 1.4 / math.sqrt(len(w))
+            else:
+                char = far(folded(own), folded(every))
+            good = good and char <= 0.24 + 0.8 / math.sqrt(len(t))
+            seen += 1
+        assert (r.char_distance is None) == (char is None) and (r.word_distance is None) == (word is None)
+        assert char is None or r.char_distance == pytest.approx(char, abs=1e-6)
+        assert word is None or r.word_distance == pytest.approx(word, abs=1e-6)
+        assert r.kept == (good and not r.base_failed)
+    assert seen > 100
+
+
 def prose(i, mark, common=("the", "of", "and", "to", "in"), n=150):
     rng = random.Random(f"{mark}{i}")
     return " ".join(rng.choice(common) + mark if rng.random() < 0.6 else "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
