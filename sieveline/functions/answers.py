@@ -21,8 +21,6 @@ from pyspark.sql import types as T
 LABELS = "Dap so|Đáp số|Ket qua|Kết quả|Answer"
 LABEL = rf"(?i)(?:{LABELS})[ \t]*[:=][ \t]*([^\n]+)"
 NUMBER = r"-?\d+(?:[.,]\d+)?"
-#: \boxed{...} with braces nested up to three deep; deeper ones go through boxed_any.
-BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 
 
 def _last(text: Column, pattern: str, group: int = 1) -> Column:
@@ -31,28 +29,17 @@ def _last(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def boxed(text: Column) -> Column:
-    """The content of the last \\boxed{}, or null; an unbalanced last one is null."""
-    last = F.regexp_extract(text, r"(?s)^.*(\\boxed\{.*)$", 1)
-    found = F.regexp_extract(last, rf"^{BOXED}", 1)
-    return F.when(last.rlike(rf"^{BOXED}"), F.trim(found))
-
-
-@F.pandas_udf(T.StringType())
-def boxed_any(text: pd.Series) -> pd.Series:
-    """The same at any depth of braces."""
-    return text.map(_boxed)
-
-
-def _boxed(text: str | None) -> str | None:
-    at = text.rfind("\\boxed{") if text else -1
-    if at < 0:
-        return None
-    depth, start = 1, at + 7
-    for i in range(start, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
-        if not depth:
-            return text[start:i].strip()
-    return None
+    """The content of the last \\boxed{}, braces nested to any depth, or null; an unbalanced last one is null. One scan
+    of the characters after the last box, in the JVM."""
+    tail = F.when(text.contains("\\boxed{"), F.regexp_extract(text, r"(?s)^.*\\boxed\{(.*)$", 1))
+    step = lambda s, c: F.struct(
+        (s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
+        (s["at"] + 1).alias("at"),
+        F.when((s["end"] < 0) & (s["depth"] == 1) & (c == "}"), s["at"]).otherwise(s["end"]).alias("end"),
+    )
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+    found = F.aggregate(F.split(tail, ""), start, step, lambda s: s["end"])
+    return F.get(F.transform(F.array(found), lambda end: F.when(end >= 0, F.trim(F.substring(tail, F.lit(1), end)))), 0)
 
 
 def extract_answer(text: Column, mode: str = "lenient") -> Column:
@@ -92,6 +79,11 @@ def decimal_text(answer: Column) -> Column:
     return F.when(number == "", F.lit(None)).otherwise(F.when(thousands, F.regexp_replace(number, ",", "")).otherwise(F.regexp_replace(number, ",", ".")))
 
 
+def constant_text(answer: Column) -> Column:
+    """As decimal_text, but a letter right after the digits is a free symbol, not a unit, and gives null."""
+    return F.when(~F.trim(answer).rlike(r"\d[A-Za-z]$"), decimal_text(answer))
+
+
 # values: a sum {(radicand, power of pi): coefficient}
 
 

@@ -35,7 +35,7 @@ def _shape(text: str | None) -> tuple[str, int, str | None]:
     if text is None or not text.strip():
         return "missing", 0, None
     try:
-        value = json.loads(text, parse_int=str)
+        value = json.loads(text, parse_int=float)  # of any length
     except ValueError:
         return "malformed", 0, None
     sides = [value.get(k) for k in ("inputs", "outputs")] if isinstance(value, dict) else [None]

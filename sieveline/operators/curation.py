@@ -153,7 +153,7 @@ def nearest(df: DataFrame, key: str, tokens: str, bank: DataFrame, bank_key: str
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("l").alias(key), F.col("r").alias(bank_key), "similarity", "rank")
 
 
-def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def families(edges: DataFrame) -> DataFrame:
     """(node, family) of an edge table (a, b): the smallest node of each connected component.
 
     Each round every node takes the smallest label among its neighbours and then that label's own label, so long
@@ -161,15 +161,14 @@ def families(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("family", F.col("node")))
-    for _ in range(rounds):
+    while True:
         low = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("family").alias("low"))
         step = labels.join(low, F.col("node") == F.col("a")).select("node", F.least("family", "low").alias("family"), F.col("family").alias("was"))
         jump = step.select(F.col("node").alias("family"), F.col("family").alias("above"))
         new = checkpoint(step.join(jump, "family", "left").select("node", F.coalesce("above", "family").alias("family"), "was"))
         labels = new.select("node", "family")
         if new.where("family <> was").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def disjointness(df: DataFrame, key: str, split: str) -> DataFrame:

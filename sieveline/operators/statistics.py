@@ -14,27 +14,26 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     p = k / n
     center = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(center - half, F.lit(0.0)), F.least(center + half, F.lit(1.0))
+    return F.when(k == 0, center * 0).otherwise(F.greatest(center - half, F.lit(0.0))), F.when(k == n, center * 0 + 1).otherwise(F.least(center + half, F.lit(1.0)))
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n! as a sum; n may be large, the sequence is as long as n."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double")))
+def _binomial_tail(n: Column, m: Column) -> Column:
+    """P(at most m of n) at one half, as one sum over m + 1 terms: ln C(n, i + 1) = ln C(n, i) + ln(n - i) - ln(i + 1)."""
+    half = n * F.ln(F.lit(2.0))
+    step = lambda s, i: F.struct((s["tail"] + F.exp(s["log"] - half)).alias("tail"), (s["log"] + F.ln((n - i).cast("double")) - F.ln((i + 1).cast("double"))).alias("log"))
+    return F.aggregate(F.sequence(F.lit(0), m), F.struct(F.lit(0.0).alias("tail"), F.lit(0.0).alias("log")), step, lambda s: s["tail"])
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
     """Exact two-sided binomial p of wins against losses at one half; 1 without any."""
     n, m = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    term = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + term(i))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.when(wins == losses, 1.0).otherwise(2 * tail)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.when(wins == losses, 1.0).otherwise(2 * _binomial_tail(n, m))))
 
 
 def sign_test_one_sided(wins: Column, losses: Column) -> Column:
     """P(at least so many wins) at one half; 1 without any."""
     n = (wins + losses).cast("int")
-    term = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(wins.cast("int"), n), F.lit(0.0), lambda s, i: s + term(i))))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), _binomial_tail(n, losses.cast("int"))))
 
 
 def holm(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session may name none (tests): it gets a temporary one, while
+    elsewhere executors would not see the driver's folder."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
     if not context.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-")
         context.setCheckpointDir(where)
+    return where
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path, with its scheme, in the folder that driver and executors share."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_shared(spark)}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/(?!/)", "file:///", fs.makeQualified(path).toString())
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

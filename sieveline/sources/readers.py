@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +25,12 @@ def json_document(spark: SparkSession, path: str, schema: T.StructType | str | N
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def json_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def json_tree(spark: SparkSession, root: str, lines: str = "*.jsonl", documents: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(values, errors) of all .json and .jsonl files under a folder: (file, value VARIANT, text), and unparseable texts.
-    A .jsonl file gives a value a line, a .json file one; nothing is fatal."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    both = lines.unionByName(whole).where(F.trim("text") != "").withColumn("value", F.try_parse_json("text"))
+    A file of the one name pattern gives a value a line, one of the other a single value; nothing is fatal."""
+    each = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", lines).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", documents).option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    both = each.unionByName(whole).where(F.trim("text") != "").withColumn("value", F.try_parse_json("text"))
     return both.where("value is not null"), both.where("value is null").select("file", "text")
 
 
@@ -79,10 +79,14 @@ def array_archive(spark: SparkSession, path: str, name: str = "arr") -> DataFram
 def file_hashes(spark: SparkSession, path: str, normalize_newlines: bool = False) -> DataFrame:
     """(file, bytes, sha256) of files; with CRLF read as LF on demand."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    content = F.col("content")
+    return df.select(F.col("path").alias("file"), F.col("length").alias("bytes"), content_hash(F.col("content"), normalize_newlines).alias("sha256"))
+
+
+def content_hash(content: Column, normalize_newlines: bool = False) -> Column:
+    """SHA-256 of bytes; with CRLF read as LF on demand."""
     if normalize_newlines:
         content = F.encode(F.replace(F.decode(content, "UTF-8"), F.lit("\r\n"), F.lit("\n")), "UTF-8")
-    return df.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2(content, 256).alias("sha256"))
+    return F.sha2(content, 256)
 
 
 def profile(df: DataFrame, by: list[str], distinct: list[str]) -> DataFrame:

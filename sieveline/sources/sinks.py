@@ -49,7 +49,10 @@ def markdown(df: DataFrame, title: str, digits: int = 3, limit: int = 1000) -> s
 
 
 def latex(df: DataFrame, digits: int = 3, limit: int = 1000) -> str:
-    rows = df.limit(limit).collect()
+    """The same as a LaTeX table."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
     show = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("_", r"\_").replace("%", r"\%")
     body = " \\\\\n".join(" & ".join(map(show, r)) for r in rows)
     return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{' & '.join(c.replace('_', chr(92) + '_') for c in df.columns)} \\\\\n\\hline\n{body} \\\\\n\\end{{tabular}}\n"

@@ -27,7 +27,8 @@ def test_extraction(spark):
         (r"so \boxed{1} then \boxed{\frac{1}{2}} done", r"\frac{1}{2}"), ("Answer: 12 apples\nthen 5", "12 apples"), ("we get 3, then 4.5", "4.5"), ("none", None), (r"\boxed{\boxed{", None), ("Đáp số:\nĐáp số: 15", "15"),
     ]
     assert one(spark, rows, "t string, want string", "want", answers.extract_answer(F.col("t"))) == [(w, w) for _, w in rows]
-    assert one(spark, rows[:5], "t string, want string", answers.boxed_any(F.col("t")))[0] == (r"\frac{1}{2}",)
+    deep = r"\boxed{\frac{\sqrt{\frac{a_{1_{2}}}{b}}}{c}} and 7 more"
+    assert one(spark, [(deep,)], "t string", answers.extract_answer(F.col("t"))) == [(r"\frac{\sqrt{\frac{a_{1_{2}}}{b}}}{c}",)]
     strict = one(spark, rows, "t string, want string", answers.extract_answer(F.col("t"), "strict"))
     assert strict[2] == (None,)
     assert one(spark, rows, "t string, want string", answers.extract_answer(F.col("t"), "rescued"))[1] == ("12",)
