@@ -318,10 +318,20 @@ def verify(reference: Column, text: Column) -> Column:
     return F.struct(same_answer(got, want).alias("passed"), detail.alias("detail"))
 
 
-def edit_gate(text: Column) -> Column:
+#: Reasons of the gate that send a lesson back.
+HARD = ("forbidden_number", "protected_ngram", "empty", "committed_side_remains", "no_rule", "no_template")
+
+
+def edit_gate(text: Column, forbidden: Column | None = None, protected: list[str] | None = None) -> Column:
     """struct(text, action, reasons) of a self-written lesson: list markers become dashes, a last line that commits to
-    one side goes if the body names no other side; then accept (nothing done), normalize, or retry where no rule or no
-    template of eight words is left or a committed side remains."""
+    one side goes if the body names no other side; then accept (nothing done), normalize, or retry where one of the
+    forbidden numbers (an array) or eight words in a row of a protected text occur, no rule or no template of eight
+    words is left, or a committed side remains."""
+    from sieveline.functions.text import word_grams, words
+
+    def values(found: Column) -> Column:
+        return F.transform(found, lambda n: F.regexp_replace(n, ",", "").try_cast("decimal(38,10)"))
+
     verdict = r"(?i)verdict:\s*solution\s*([AB])\b"
     clean = F.regexp_replace(F.trim(text), r"(?im)^([ \t]*)(?:step[ \t]+)?\d{1,2}[.):][ \t]+", "$1- ")
     lines = F.split(clean, "\n")
@@ -333,17 +343,22 @@ def edit_gate(text: Column) -> Column:
     sides = F.array_distinct(F.transform(F.regexp_extract_all(chosen, F.lit(verdict), F.lit(1)), F.upper))
     n_words = lambda t: F.regexp_count(t, F.lit(r"(?U)\w+"))
     halves = F.split(chosen, "(?i)ideal response template|\n[ \t]*\n", 2)
+    leaked = F.lit(False) if forbidden is None else F.coalesce(F.arrays_overlap(values(F.regexp_extract_all(chosen, F.lit(r"-?\d[\d,]*(?:\.\d+)?"), F.lit(0))), values(forbidden)), F.lit(False))
+    grams = [word_grams(words(F.lit(p), r"(?U)\w+"), 8, "empty") for p in protected or []]
+    overlaps = F.arrays_overlap(word_grams(words(chosen, r"(?U)\w+"), 8, "empty"), F.flatten(F.array(*grams))) if grams else F.lit(False)
     reasons = F.array_compact(
         F.array(
             F.when(clean != F.trim(text), F.lit("list_markers")),
             F.when(commits, F.lit("committed_side")),
+            F.when(leaked, F.lit("forbidden_number")),
+            F.when(overlaps, F.lit("protected_ngram")),
             F.when(chosen == "", F.lit("empty")),
             F.when(F.size(sides) == 1, F.lit("committed_side_remains")),
             F.when(n_words(F.get(halves, 0)) < 8, F.lit("no_rule")),
             F.when(F.coalesce(n_words(F.get(halves, 1)), F.lit(0)) < 8, F.lit("no_template")),
         )
     )
-    bad = F.arrays_overlap(reasons, F.array(*map(F.lit, ("empty", "committed_side_remains", "no_rule", "no_template"))))
+    bad = F.arrays_overlap(reasons, F.array(*map(F.lit, HARD)))
     act = F.when(bad, "retry").when(F.size(reasons) > 0, "normalize").otherwise("accept")
     return F.struct(chosen.alias("text"), act.alias("action"), reasons.alias("reasons"))
 

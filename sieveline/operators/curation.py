@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sieveline.functions.hashing import sha256
 from sieveline.session import checkpoint
 
+#: A side is broadcast only below this many bytes (an upper bound worked out before the join).
+BROADCAST_BYTES = 64 << 20
+
 
 def first_reason(guards: list[tuple[str, Column]]) -> Column:
     """The name of the first guard that holds, null if none: a row is charged to one reason. Their order matters."""
@@ -82,9 +85,10 @@ def quota_shortfall(df: DataFrame, strata: list[str], quotas: DataFrame) -> Data
     return quotas.join(n, strata, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("missing", F.col("quota") - F.col("n")).where("missing > 0")
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """df with `turn`: one row of each group in turn, in the group's own order, then by group."""
-    return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def round_robin(df: DataFrame, group: str, namespace: str, key: str) -> DataFrame:
+    """df with `turn`: one row of each group in turn, in hash order inside the group; a group of any size is numbered by
+    ranges of the hash."""
+    return hash_ranked(df, namespace, key, [group]).withColumnRenamed("hash_rank", "turn")
 
 
 def balanced(df: DataFrame, label: str, namespace: str, key: str) -> DataFrame:
@@ -138,16 +142,34 @@ def similarity_join(df: DataFrame, key: str, tokens: str, threshold: float) -> D
     return full.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def similarity_classes(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
+    """(a, b, similarity): rows with equal token sets form a class, whose smallest id a links to each other member b with
+    similarity 1; pairs between the smallest ids of classes follow from similarity_join(). A group of g copies thus
+    costs g - 1 links, not g * g / 2 pairs, and its sets are compared once. Empty sets match nothing."""
+    base = df.select(F.col(key).alias("id"), F.array_distinct(F.col(tokens)).alias("s")).where(F.size("s") > 0)
+    known = base.select("id", F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), " "), 256).alias("k"))
+    first = first_ids(known, "k", "id")
+    star = known.join(first, "k").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    some = base.join(first.select(F.col("first").alias("id")), "id", "left_semi")
+    return star.unionByName(similarity_join(some, "id", "s", threshold))
+
+
 def nearest(df: DataFrame, key: str, tokens: str, bank: DataFrame, bank_key: str, bank_tokens: str, k: int) -> DataFrame:
     """(key, bank_key, similarity, rank): the k bank rows with the highest Jaccard for each row; zero never counts.
 
-    Joined on shared tokens, so rows without a common token never meet; counts give the intersections.
+    A bank under BROADCAST_BYTES is sent to the rows, each of which is compared with all of it where it lies: a word
+    that all rows have costs nothing more. Beyond that rows meet on shared tokens, and counts give the intersections.
     """
-    left = df.select(F.col(key).alias("l"), F.array_distinct(F.col(tokens)).alias("s"))
-    right = bank.select(F.col(bank_key).alias("r"), F.array_distinct(F.col(bank_tokens)).alias("s"))
-    a = left.select("l", F.size("s").alias("nl"), F.explode("s").alias("t"))
-    b = right.select("r", F.size("s").alias("nr"), F.explode("s").alias("t"))
-    both = a.join(b, "t").groupBy("l", "r", "nl", "nr").agg(F.count("*").alias("c"))
+    left = df.select(F.col(key).alias("l"), F.array_distinct(F.col(tokens)).alias("sl"))
+    right = bank.select(F.col(bank_key).alias("r"), F.array_distinct(F.col(bank_tokens)).alias("sr"))
+    size = right.agg(F.sum(F.octet_length(F.array_join("sr", " ")) + 16 * F.size("sr") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        pairs = left.crossJoin(F.broadcast(right)).withColumn("c", F.size(F.array_intersect("sl", "sr"))).where("c > 0")
+        both = pairs.select("l", "r", F.size("sl").alias("nl"), F.size("sr").alias("nr"), "c")
+    else:
+        a = left.select("l", F.size("sl").alias("nl"), F.explode("sl").alias("t"))
+        b = right.select("r", F.size("sr").alias("nr"), F.explode("sr").alias("t"))
+        both = a.join(b, "t").groupBy("l", "r", "nl", "nr").agg(F.count("*").alias("c"))
     scored = both.withColumn("similarity", F.col("c") / (F.col("nl") + F.col("nr") - F.col("c")))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("similarity"), "r"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("l").alias(key), F.col("r").alias(bank_key), "similarity", "rank")
@@ -225,3 +247,100 @@ def greedy_length_match(df: DataFrame, stratum: str, schema_key: str = "id") ->
         return pd.DataFrame(out, columns=[stratum, "target", "candidate", "gap"])
 
     return df.groupBy(stratum).applyInPandas(match, f"{stratum} string, target long, candidate long, gap long")
+
+
+def shortlist(df: DataFrame, text: Column, wanted: list[str], unwanted: list[str]) -> DataFrame:
+    """Rows whose text has all wanted patterns and none of the unwanted ones."""
+    keep = F.lit(True)
+    for p in wanted:
+        keep = keep & text.rlike(p)
+    for p in unwanted:
+        keep = keep & ~text.rlike(p)
+    return df.where(keep)
+
+
+def level_reasons(df: DataFrame, level: str, allowed: list[str], key: str, prior: DataFrame, prior_key: str) -> DataFrame:
+    """df with `reason`: `level` where the level is not allowed, `prior` where the key was used before, else null."""
+    used = prior.select(F.col(prior_key).alias("sieve_k")).distinct().withColumn("sieve_used", F.lit(True))
+    rows = df.join(used, F.col(key) == F.col("sieve_k"), "left")
+    return rows.withColumn("reason", first_reason([("level", ~F.coalesce(F.col(level).isin(allowed), F.lit(False))), ("prior", F.col("sieve_used").isNotNull())])).drop("sieve_k", "sieve_used")
+
+
+def allowed_split(split: str, allowed: list[str]) -> str:
+    """The split, if it may be read; an error before any job runs if not."""
+    if split not in allowed:
+        raise ValueError(f"split {split!r} is not one of {allowed}")
+    return split
+
+
+def missing_of(present: Column, required: list[str]) -> Column:
+    """The required values that an array lacks, in their order; empty if required is a subset."""
+    return F.array_except(F.array(*map(F.lit, required)), present)
+
+
+def union_of(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """All rows of all parts, with the part's name; columns that a part lacks are null."""
+    out = None
+    for part, df in parts.items():
+        rows = df.withColumn(name, F.lit(part))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+#: Reasons for which a pair is rejected, and details that tell of no wrong meaning.
+NON_SEMANTIC = r"(?i)syntax|indentation|nameerror|importerror|timeout"
+
+
+def pair_quality(right: Column, wrong: Column, detail: Column) -> Column:
+    """struct(reasons, ratio, similarity, tier) of a right and a wrong program: wrong is short, the same, of another
+    length, unlike, fails for other than its meaning, or shares no function name. The tier says how alike they are."""
+    from sieveline.functions.text import sequence_ratio
+
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?m)^\s*(?:def|class)\s+(\w+)"), F.lit(1)))
+    ratio = F.least(F.length(right), F.length(wrong)) / F.greatest(F.length(right), F.length(wrong), F.lit(1))
+    alike = sequence_ratio(right, wrong)
+    tests = {
+        "empty_or_too_short": F.length(wrong) < 30,
+        "identical": F.trim(right) == F.trim(wrong),
+        "length_ratio_below_0.5": ratio < 0.5,
+        "similarity_too_low": alike < 0.4,
+        "non_semantic_code_failure": detail.rlike(NON_SEMANTIC),
+        "interface_mismatch": (F.size(names(right)) > 0) & ~F.arrays_overlap(names(right), names(wrong)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    tier = F.when(alike >= 0.8, "hard").when(alike >= 0.4, "medium").otherwise("easy")
+    return F.struct(reasons.alias("reasons"), ratio.alias("ratio"), alike.alias("similarity"), tier.alias("tier"))
+
+
+def build_episodes(rows: list[tuple]) -> list[tuple]:
+    """(teaching, probe, probe, control) ids of rows (id, grams, erred, control) in order: a teaching row takes the first
+    two unused erred rows that share no gram with it, and the first unused control, if that shares none either; where
+    one is lacking, the teaching row is passed over. Each id is used once."""
+    order = [(i, set(g)) for i, g, erred, _ in rows if erred]
+    controls = [(i, set(g)) for i, g, _, control in rows if control]
+    used, out = set(), []
+    for i, grams in order:
+        if i in used:
+            continue
+        used.add(i)
+        # a row leaks or not by itself, so the first pair that fits is the first two that do
+        free = [j for j, g in order if j not in used and not g & grams][:2]
+        control = next(((j, g) for j, g in controls if j not in used and j not in free), None)
+        if len(free) == 2 and control is not None and not control[1] & grams:
+            used |= {*free, control[0]}
+            out.append((i, *free, control[0]))
+    return out
+
+
+def episodes(df: DataFrame, grams: Column) -> DataFrame:
+    """(error_type, episode, teaching, probe_1, probe_2, control) of df(id, error_type, erred, control): one task takes
+    an error type, as each episode depends on those before it."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        found = build_episodes(list(zip(pdf["id"].tolist(), pdf["g"], pdf["erred"], pdf["control"])))
+        return pd.DataFrame([(pdf["error_type"].iat[0], n, *e) for n, e in enumerate(found)], columns=["error_type", "episode", "teaching", "probe_1", "probe_2", "control"])
+
+    hashed = F.transform(grams, lambda g: F.xxhash64(g))
+    return df.select("id", "error_type", "erred", "control", hashed.alias("g")).groupBy("error_type").applyInPandas(run, "error_type string, episode long, teaching long, probe_1 long, probe_2 long, control long")

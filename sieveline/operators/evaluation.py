@@ -174,3 +174,59 @@ def resolve_references(refs: DataFrame, reference: str, rows: DataFrame, path: s
     r = refs.withColumn("sieve_p", F.regexp_extract(reference, "^(.*)#id=(.*)$", 1)).withColumn("sieve_k", F.regexp_extract(reference, "^(.*)#id=(.*)$", 2))
     known = rows.select(F.col(path).alias("sieve_p"), F.col(key).cast("string").alias("sieve_k")).distinct().withColumn("found", F.lit(True))
     return r.join(known, ["sieve_p", "sieve_k"], "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("sieve_p", "sieve_k")
+
+
+def checked_strategies(scored: DataFrame, verdict: Column, flagged: Column) -> DataFrame:
+    """scored (of strategies()) with self_check (where the first two disagree: what the judge's verdict names, `first`
+    or `other`, else maj3), probe_blind (the second attempt where the probe flags the first), and expectations:
+    judge_or_random (a random one of the first two where the judge is inconsistent) and random_first_two."""
+    number = lambda c: F.col(c).cast("double")
+    half = (number("keep") + number("blind1")) / 2
+    first = F.col("agree") | (F.col("v") == "first")
+    rows = scored.withColumn("v", verdict).withColumn("flagged", flagged)
+    return rows.select(
+        "*",
+        F.when(first, F.col("keep")).when(F.col("v") == "other", F.col("blind1")).otherwise(F.col("maj3")).alias("self_check"),
+        F.when(F.col("flagged"), F.col("blind1")).otherwise(F.col("keep")).alias("probe_blind"),
+        F.when(first, number("keep")).when(F.col("v") == "other", number("blind1")).otherwise(half).alias("judge_or_random"),
+        half.alias("random_first_two"),
+    )
+
+
+def expected_table(rows: DataFrame, names: list[str], base: str = "keep") -> DataFrame:
+    """(strategy, n, accuracy, gain): means of (expected) correctness, and the gain over the base strategy."""
+    mean = {s: F.avg(F.col(s).cast("double")) for s in [*names, base]}
+    row = rows.agg(F.count("*").alias("n"), *[F.round(mean[s], 6).alias(s) for s in names], *[F.round(mean[s] - mean[base], 6).alias(f"{s}__g") for s in names])
+    items = F.array(*[F.struct(F.lit(s).alias("strategy"), "n", F.col(s).alias("accuracy"), F.col(f"{s}__g").alias("gain")) for s in names])
+    return row.select(F.explode(items).alias("x")).select("x.*")
+
+
+def detectors(rows: DataFrame, detector: str, flag: str, right: str) -> DataFrame:
+    """(detector, flagged, wrong_recall, precision, correct_preservation) of flags against right answers."""
+    f, ok = F.col(flag), F.col(right)
+    rate = lambda a, b: F.round(F.try_divide(F.count_if(a), F.count_if(b)), 6)
+    return rows.groupBy(detector).agg(F.count_if(f).alias("flagged"), rate(f & ~ok, ~ok).alias("wrong_recall"), rate(f & ~ok, f).alias("precision"), rate(~f & ok, ok).alias("correct_preservation"))
+
+
+def cost_table(rows: DataFrame, costs: dict[str, Column], always: str) -> DataFrame:
+    """(strategy, mean_tokens, reduction): mean cost of each strategy, and what it saves against `always`."""
+    row = rows.agg(*[F.avg(c).alias(s) for s, c in costs.items()])
+    items = F.array(*[F.struct(F.lit(s).alias("strategy"), F.round(s, 4).alias("mean_tokens"), F.round(1 - F.col(s) / F.col(always), 6).alias("reduction")) for s in costs])
+    return row.select(F.explode(items).alias("x")).select("x.*")
+
+
+def position_preference(picks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, net_second, first_rate, lo, hi) of picks A, B or other: the mean of +1 for B and -1 for A, and the rate
+    of A among A and B with its score interval."""
+    from sieveline.operators.statistics import wilson
+
+    a, b = F.count_if(F.col("pick") == "A"), F.count_if(F.col("pick") == "B")
+    per = picks.groupBy(*by).agg(F.count("*").alias("n"), a.alias("a"), b.alias("b"))
+    lo, hi = wilson(F.col("a"), F.col("a") + F.col("b"))
+    return per.select(*by, "n", F.round((F.col("b") - F.col("a")) / F.col("n"), 6).alias("net_second"), F.round(F.try_divide(F.col("a"), F.col("a") + F.col("b")), 6).alias("first_rate"), lo.alias("lo"), hi.alias("hi"))
+
+
+def rolled_up(cells: DataFrame, by: list[str], passed: str, majority: int) -> DataFrame:
+    """(by, of, passed, verdict): general from `majority` passing cells on, conditional with any, else not supported."""
+    n = F.count_if(passed)
+    return cells.groupBy(*by).agg(F.count("*").alias("of"), n.alias("passed"), F.when(n >= majority, "general").when(n > 0, "conditional").otherwise("not supported").alias("verdict"))

@@ -168,3 +168,62 @@ def recall_estimate(flagged: Column, precision_k: Column, precision_n: Column, u
 def non_inferior(lower: Column, margin: float) -> Column:
     """Whether the lower end of an interval of the difference lies above the margin."""
     return lower > margin
+
+
+def logit(p: Column, least: float = 1e-6) -> Column:
+    """Log-odds of a probability, clipped away from 0 and 1."""
+    q = F.least(F.greatest(p, F.lit(least)), F.lit(1 - least))
+    return F.ln(q / (1 - q))
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def shapley_factors(counts: DataFrame, by: list[str], groups: dict[str, list[str]]) -> DataFrame:
+    """(by, factor, part): what position bias and each group of invalid outcomes take from a judge's accuracy.
+
+    counts(by..., r, o, n): judgments by the place of the right solution, A or B, and the outcome, A, B or an invalid
+    kind; groups name the kinds of each factor. The model picks A with probability logistic(beta + delta) if A is right
+    and logistic(beta - delta) if B is, unless the outcome is invalid; removing the bias sets beta to 0 and evens the
+    invalid shares over the places, removing a group sets its shares to 0. A part is the mean gain of removing the
+    factor over all orders, so the parts sum to the whole gap. Counts meet in one aggregation, with 0.5 smoothing.
+    """
+    from itertools import combinations
+    from math import factorial
+
+    def count(side: str, kinds: list[str]) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("r") == side) & F.col("o").isin(kinds), F.col("n"))), F.lit(0))
+
+    shares = [F.try_divide(count(s, kinds), F.sum(F.when(F.col("r") == s, F.col("n")))).alias(f"{g}_{s}") for g, kinds in groups.items() for s in "AB"]
+    rates = [((count(s, ["A"]) + 0.5) / (count(s, ["A", "B"]) + 1)).alias(f"rate_{s}") for s in "AB"]
+    fitted = counts.groupBy(*by).agg(*rates, *shares)
+    odds = {s: F.ln(F.col(f"rate_{s}") / (1 - F.col(f"rate_{s}"))) for s in "AB"}
+    fitted = fitted.withColumn("beta", (odds["A"] + odds["B"]) / 2).withColumn("delta", (odds["A"] - odds["B"]) / 2)
+    factors = ["bias", *groups]
+
+    def value(removed: frozenset) -> Column:
+        def valid(side: str) -> Column:
+            lost = F.lit(0.0)
+            for g in groups:
+                if g not in removed:
+                    lost = lost + ((F.col(f"{g}_A") + F.col(f"{g}_B")) / 2 if "bias" in removed else F.col(f"{g}_{side}"))
+            return 1 - lost
+
+        beta = F.lit(0.0) if "bias" in removed else F.col("beta")
+        return 0.5 * (valid("A") * logistic(beta + F.col("delta")) + valid("B") * logistic(F.col("delta") - beta))
+
+    every = [frozenset(s) for m in range(len(factors) + 1) for s in combinations(factors, m)]
+    names = {s: f"v{i}" for i, s in enumerate(every)}
+    valued = fitted.select(*by, *[value(s).alias(names[s]) for s in every])
+
+    def part(f: str) -> Column:
+        out = F.lit(0.0)
+        for s in every:
+            if f not in s:
+                weight = factorial(len(s)) * factorial(len(factors) - len(s) - 1) / factorial(len(factors))
+                out = out + weight * (F.col(names[s | {f}]) - F.col(names[s]))
+        return out
+
+    rows = F.array(*[F.struct(F.lit(f).alias("factor"), part(f).alias("part")) for f in factors])
+    return valued.select(*by, F.explode(rows).alias("x")).select(*by, "x.factor", "x.part")

@@ -2,5 +2,5 @@
 
 import importlib
 
-for _name in ("corpus", "answers", "evaluation", "streams", "sources", "models"):
+for _name in ("corpus", "answers", "evaluation", "audits", "streams", "sources", "models"):
     importlib.import_module(f"sieveline.plans.{_name}")

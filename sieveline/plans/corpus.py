@@ -96,29 +96,18 @@ def cross_source_duplicates(spark, sf_dir):
     return pairs.groupBy("key").agg(F.count("*").alias("n_sources"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("sources")).where("n_sources > 1")
 
 
-@query(rf"""WITH a AS (SELECT doc_id, {KEY} AS k1, lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS k2 FROM documents
-), b AS (SELECT item_id, {KEY} AS k1, lower(regexp_extract(text, '^[A-Za-z]+', 0)) AS k2 FROM benchmark
-), m AS (SELECT doc_id, item_id, 'head' AS kind FROM a JOIN b ON a.k2 = b.k2 AND a.k2 <> '' UNION ALL SELECT doc_id, item_id, 'text' FROM a JOIN b USING (k1))
-SELECT doc_id, count(DISTINCT item_id) AS matches, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM m GROUP BY 1""")
-def benchmark_or_overlap(spark, sf_dir):
-    """Documents that share the whole text or the first word with a benchmark item."""
-
-    def keyed(name):
-        head = F.lower(F.regexp_extract("text", r"^[A-Za-z]+", 0))
-        return t(spark, sf_dir, name).withColumn("head", F.when(head != "", head)).withColumn("text", text.dedup_key(F.col("text")))
-
-    return curation.overlap_by_keys(keyed("documents"), keyed("benchmark"), ["text", "head"], "doc_id", "item_id")
-
-
-@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents
-), s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({GRAM5})) AS g FROM d
+@query(f"""WITH d AS (SELECT doc_id, list_distinct(g) AS g FROM (SELECT doc_id, {GRAM5} AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) WHERE len(g) > 0
+), k AS MATERIALIZED (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY list_sort(g)) AS f FROM d
+), s AS MATERIALIZED (SELECT doc_id, unnest(g) AS g FROM k WHERE doc_id = f
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
 ), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8 - 1e-12""")
+SELECT a, b, round(c / (p.n + q.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8 - 1e-12
+UNION ALL SELECT f, doc_id, 1 FROM k WHERE f <> doc_id""")
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of documents with 5-gram Jaccard of at least 0.8, exact, by a prefix-filtered join."""
+    """5-gram Jaccard of at least 0.8, exact, by a prefix-filtered join: links from the first document of
+    each set of equal ones to the others, and pairs between the first ones."""
     docs = t(spark, sf_dir, "documents").select("doc_id", F.transform(text.word_grams(text.words(F.col("text")), 5), lambda g: F.xxhash64(g)).alias("grams"))
-    return curation.similarity_join(docs, "doc_id", "grams", 0.8).withColumn("similarity", F.round("similarity", 6))
+    return curation.similarity_classes(docs, "doc_id", "grams", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT doc_id, {KEY} AS k FROM documents) x JOIN (SELECT doc_id, {KEY} AS k FROM documents) y USING (k)
@@ -199,7 +188,7 @@ SELECT doc_id, lang, turn::BIGINT AS turn, ((turn - 1) % 6)::BIGINT AS template,
 def round_robin_templates(spark, sf_dir):
     """Turns of an interleave by language, templates assigned modulo 6, sequential labels."""
     docs = t(spark, sf_dir, "documents")
-    turned = curation.round_robin(docs, "lang", [hashing.sha256("rr", F.col("doc_id")), F.col("doc_id")])
+    turned = curation.round_robin(docs, "lang", "rr", "doc_id")
     return turned.select("doc_id", "lang", F.col("turn").cast("long").alias("turn"), ((F.col("turn") - 1) % 6).cast("long").alias("template"), F.format_string("pool_%05d", F.col("turn")).alias("label"))
 
 
