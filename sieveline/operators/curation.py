@@ -225,26 +225,48 @@ def constraints(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("x")).select("x.rule", "x.violations")
 
 
+def match_lengths(targets: list, candidates: list) -> list[tuple[int, int, int]]:
+    """(target, candidate, gap) of rows (length, id): targets by length take the nearest free candidate, the shorter of
+    two as near, and of equal lengths the smallest id."""
+    import bisect
+
+    pool = sorted(map(tuple, candidates))
+    left, right = list(range(len(pool) + 1)), list(range(len(pool) + 1))  # left: shifted by one, 0 is none
+
+    def free(link: list[int], i: int) -> int:
+        root = i
+        while link[root] != root:
+            root = link[root]
+        while link[i] != root:
+            link[i], i = root, link[i]
+        return root
+
+    out = []
+    for length, t in sorted(map(tuple, targets)):
+        at = bisect.bisect_left(pool, (length,))
+        near = [i for i in (free(left, at) - 1, free(right, at)) if 0 <= i < len(pool)]
+        if not near:
+            break
+        best = min(near, key=lambda i: (abs(pool[i][0] - length), pool[i]))
+        if best < at:  # of equal shorter lengths the smallest id that is free
+            first = free(right, bisect.bisect_left(pool, (pool[best][0],)))
+            best = first if first <= best else best
+        left[best + 1], right[best] = best, best + 1
+        out.append((t, pool[best][1], abs(pool[best][0] - length)))
+    return out
+
+
 def greedy_length_match(df: DataFrame, stratum: str, schema_key: str = "id") -> DataFrame:
     """(stratum, target, candidate, gap): for each target in order of length the nearest unused candidate.
 
-    df(stratum, id, length, is_target). Sequential by definition inside a stratum, so one task takes a stratum.
+    df(stratum, id, length, is_target). Sequential by definition inside a stratum, so one task takes a stratum; used
+    candidates are passed over by links to the next free one, so a stratum of n rows takes about n log n steps.
     """
-    import bisect
-
     import pandas as pd
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(zip(pdf.loc[~pdf["is_target"], "length"], pdf.loc[~pdf["is_target"], schema_key]))
-        out = []
-        for length, t in sorted(zip(pdf.loc[pdf["is_target"], "length"], pdf.loc[pdf["is_target"], schema_key])):
-            if not pool:
-                break
-            i = bisect.bisect_left(pool, (length, -1))
-            best = min((j for j in (i - 1, i) if 0 <= j < len(pool)), key=lambda j: (abs(pool[j][0] - length), pool[j]))
-            n, c = pool.pop(best)
-            out.append((pdf[stratum].iat[0], t, c, abs(n - length)))
-        return pd.DataFrame(out, columns=[stratum, "target", "candidate", "gap"])
+        out = match_lengths(pdf.loc[pdf["is_target"], ["length", schema_key]].values.tolist(), pdf.loc[~pdf["is_target"], ["length", schema_key]].values.tolist())
+        return pd.DataFrame([(pdf[stratum].iat[0], *row) for row in out], columns=[stratum, "target", "candidate", "gap"])
 
     return df.groupBy(stratum).applyInPandas(match, f"{stratum} string, target long, candidate long, gap long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.hashing import hash_int
+from sieveline.session import checkpoint
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -45,27 +46,58 @@ def holm(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:
     return raw.withColumn("p_holm", F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("raw")
 
 
+def running_before(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """df with `before`: the sum of value over the rows of its group that come before it in order (a total order inside
+    a group). Rows are dealt by ranges of (by, order), summed up inside each range, and each range starts after those
+    before it in its group, so a group of any size is many tasks."""
+    placed = checkpoint(df.repartitionByRange(*by, order).withColumn("sieve_part", F.spark_partition_id()))
+    upto = Window.unboundedPreceding
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "sieve_part").orderBy(order).rowsBetween(upto, -1)), F.lit(0))
+    sums = placed.groupBy(*[F.col(c).alias(f"sieve_{i}") for i, c in enumerate(by)], F.col("sieve_part").alias("sieve_p")).agg(F.sum(value).alias("sieve_sum"))
+    start = F.coalesce(F.sum("sieve_sum").over(Window.partitionBy(*[f"sieve_{i}" for i in range(len(by))]).orderBy("sieve_p").rowsBetween(upto, -1)), F.lit(0))
+    sums = sums.withColumn("sieve_start", start).drop("sieve_sum")
+    same = F.col("sieve_part") == F.col("sieve_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"sieve_{i}"))
+    return placed.withColumn("sieve_in", inside).join(sums, same).withColumn("before", F.col("sieve_in") + F.col("sieve_start")).select(*df.columns, "before")
+
+
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Exact area under the ROC curve with half credit for ties; null with one class. Ranks come from counts of distinct
     scores, so equal scores are one row."""
     per = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / F.lit(2.0))), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    ranked = running_before(per, by, "s", "neg")
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("before") + F.col("neg") / F.lit(2.0))), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, rank): the rank of each distinct value, ties averaged, from counts of the values."""
+    counts = df.groupBy(*by, value).agg(F.sum("sieve_n").alias("sieve_n"))
+    return running_before(counts, by, value, "sieve_n").select(*by, value, (F.col("before") + (F.col("sieve_n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    ranked = df.withColumn("rx", average_rank(by, x)).withColumn("ry", average_rank(by, y))
-
-    def corr(a: str, b: str) -> Column:  # corr() fails on a constant column under ANSI; here it is null
-        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-    return ranked.groupBy(*by).agg(corr("rx", "ry").alias("spearman"), corr(x, y).alias("pearson"))
+    """(by, spearman, pearson); null on a constant column. Equal rows are counted first, and ranks come from counts."""
+    cells = df.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("sieve_n"))
+    rows = cells
+    for c in ("x", "y"):
+        ranks = average_ranks(cells, by, c).select(*[F.col(b).alias(f"sieve_b{i}") for i, b in enumerate(by)], F.col(c).alias("sieve_v"), F.col("rank").alias(f"r{c}"))
+        same = F.col(c).eqNullSafe(F.col("sieve_v"))
+        for i, b in enumerate(by):
+            same = same & F.col(b).eqNullSafe(F.col(f"sieve_b{i}"))
+        rows = rows.join(ranks, same).drop("sieve_v", *[f"sieve_b{i}" for i in range(len(by))])
+    n, names = F.col("sieve_n"), ("x", "y", "rx", "ry")
+    means = rows.groupBy(*[F.col(b).alias(f"sieve_b{i}") for i, b in enumerate(by)]).agg(*[(F.sum(F.col(c) * n) / F.sum(n)).alias(f"mean_{c}") for c in names])
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"sieve_b{i}"))
+    centered = rows.join(means, same).select(*by, "sieve_n", *[(F.col(c) - F.col(f"mean_{c}")).alias(c) for c in names])
+
+    def corr(a: str, b: str) -> Column:
+        a, b = F.col(a), F.col(b)
+        return F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)))
+
+    return centered.groupBy(*by).agg(corr("rx", "ry").alias("spearman"), corr("x", "y").alias("pearson"))
 
 
 def calibration(df: DataFrame, p: str, y: str, by: list[str], bins: int = 5) -> DataFrame:

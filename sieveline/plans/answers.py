@@ -176,13 +176,15 @@ def output_texts(spark, sf_dir):
     return x.select("o", "k", text.same_output(got, want).alias("same"), text.without_thinking(thought).alias("bare"), text.substantive(long).alias("substantive"), text.abbreviated(long, 30).alias("short"))
 
 
-@query(LINES + """ SELECT k % 7 AS form, CASE k % 7 WHEN 0 THEN 'none' WHEN 1 THEN 'timeout' WHEN 2 THEN 'syntax' WHEN 3 THEN 'interface' WHEN 4 THEN 'assertion' WHEN 5 THEN 'runtime' ELSE 'other' END AS kind,
-  CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Timed out after 5 s' WHEN 2 THEN 'File "<tmp>", SyntaxError' WHEN 3 THEN 'f is not defined' WHEN 4 THEN 'AssertionError: 1 != 2' WHEN 5 THEN 'ZeroDivisionError in <tmp>:3' ELSE 'killed' END AS clean, count(*) AS n FROM x GROUP BY 1""")
+@query(LINES + """ SELECT k % 7 AS form, CASE k % 7 WHEN 0 THEN 'verified_correct' WHEN 1 THEN 'timeout' WHEN 2 THEN 'compile_or_syntax' WHEN 3 THEN 'runtime_error' WHEN 5 THEN 'runtime_error' WHEN 6 THEN 'wrong_math_answer' ELSE 'executable_test_failure' END AS kind,
+  CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Timeout after 5 s' WHEN 2 THEN 'File "<tmp>", SyntaxError' WHEN 3 THEN 'NameError: f is not defined' WHEN 4 THEN 'AssertionError: 1 != 2' WHEN 5 THEN 'exception in <tmp>:3' ELSE 'killed' END AS clean, count(*) AS n FROM x GROUP BY 1""")
 def error_kinds(spark, sf_dir):
     """Failures by kind, with temporary paths masked."""
-    forms = [None, "Timed out after 5 s", said('File "/tmp/run@/a.py", SyntaxError'), "f is not defined", "AssertionError: 1 != 2", said("ZeroDivisionError in /tmp/x@.py:3"), "killed"]
+    forms = [None, "Timeout after 5 s", said('File "/tmp/run@/a.py", SyntaxError'), "NameError: f is not defined", "AssertionError: 1 != 2", said("exception in /tmp/x@.py:3"), "killed"]
     x = lines(spark, sf_dir).withColumn("d", by_template(7, forms))
-    return x.groupBy((F.col("k") % 7).alias("form"), text.error_type(F.col("d")).alias("kind"), text.sanitized(F.col("d")).alias("clean")).agg(F.count("*").alias("n"))
+    form = F.col("k") % 7
+    kind = text.error_type(F.col("d"), F.when(form == 0, "KEEP").otherwise("REVISE"), F.when(form == 6, "math").otherwise("code"))
+    return x.groupBy(form.alias("form"), kind.alias("kind"), text.sanitized(F.col("d")).alias("clean")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT page_id, 'strasse fi ' || page_id AS folded FROM pages""")

@@ -110,14 +110,15 @@ def near_duplicate_pairs(spark, sf_dir):
     return curation.similarity_classes(docs, "doc_id", "grams", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT doc_id, {KEY} AS k FROM documents) x JOIN (SELECT doc_id, {KEY} AS k FROM documents) y USING (k)
-  UNION SELECT x.doc_id, y.doc_id FROM (SELECT doc_id, lower(text[1:60]) AS k FROM documents) x JOIN (SELECT doc_id, lower(text[1:60]) AS k FROM documents) y USING (k)
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, {KEY} AS k1, nullif(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' '), '') AS k2 FROM documents
+), e AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y USING (k1) UNION SELECT x.doc_id, y.doc_id FROM k x JOIN k y USING (k2)
 ), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), f AS (SELECT a AS node, min(b) AS family FROM r GROUP BY 1)
 SELECT family, count(*) AS members FROM f GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_families(spark, sf_dir):
-    """Components of documents linked by equal texts or equal first 60 characters; links are stars, not pairs."""
-    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("k1"), F.lower(F.substring("text", 1, 60)).alias("k2"))
-    stars = [docs.join(curation.first_ids(docs, k, "doc_id"), k).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b") for k in ("k1", "k2")]
+    """Components of documents linked by equal whole texts or equal words in order; links are stars, not pairs."""
+    w = text.words(F.col("text"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("k1"), F.when(F.size(w) > 0, F.sha2(F.array_join(w, " "), 256)).alias("k2"))
+    stars = [docs.join(curation.first_ids(docs.where(F.col(k).isNotNull()), k, "doc_id"), k).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b") for k in ("k1", "k2")]
     return curation.families(stars[0].unionByName(stars[1])).groupBy("family").agg(F.count("*").alias("members"))
 
 
@@ -249,13 +250,17 @@ def json_props_profile(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.try_parse_json("props").isNotNull()).alias("valid"), F.sum(k.cast("long")).alias("total"), F.count_distinct(k).alias("kinds"))
 
 
-@query(r"""SELECT doc_id, round(ln(1 + length(text)), 6) AS log_chars, round(ln(1 + len(regexp_extract_all(text, '[^ \t\r\n]+'))), 6) AS log_words,
-  round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[0-9]')) / length(text)::DOUBLE ELSE 0 END, 6) AS digit_share,
-  round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[A-Z]')) / length(text)::DOUBLE ELSE 0 END, 6) AS upper_share, contains(text, '```') AS has_fence FROM documents""")
+_COUNT = r"len(regexp_extract_all(text, '{}'))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, greatest(length(text), 1)::DOUBLE AS n, {_COUNT.format('[\p{L}\p{N}_]+')} AS w FROM documents)
+SELECT doc_id, round(ln(1 + n), 6) AS log_chars, round(ln(1 + w), 6) AS log_words, round(ln(2 + {_COUNT.format(chr(10))}), 6) AS log_lines, round({_COUNT.format(r'\p{Nd}')} / n, 6) AS digit_share,
+  round({_COUNT.format(r'\p{Lu}')} / n, 6) AS upper_share, round({_COUNT.format(r'[^\p{L}\p{N}\s]')} / n, 6) AS punct_share,
+  round(len(regexp_extract_all(lower(text), '\b(?:clearly|obviously|therefore|thus|certainly|correct|final)\b')) / greatest(w, 1)::DOUBLE, 6) AS confident_share, contains(text, '```') AS has_fence FROM d""")
 def surface_features(spark, sf_dir):
-    """Logs of sizes, shares of classes, flags."""
+    """Logs of sizes, shares of classes and of confident words, a flag."""
     f = text.surface_features(F.col("text"))
-    return t(spark, sf_dir, "documents").select("doc_id", *[F.round(f[n], 6).alias(n) for n in ("log_chars", "log_words", "digit_share", "upper_share")], f["has_fence"].alias("has_fence"))
+    return t(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) if n == "has_fence" else F.round(c, 6).alias(n) for n, c in f.items()])
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l FROM documents), c AS (SELECT doc_id, l, count(*) AS n FROM l WHERE length(l) >= 15 GROUP BY 1, 2)

@@ -91,3 +91,41 @@ def test_nearest_beyond_a_broadcast(spark, monkeypatch):
     whole = sorted(map(tuple, curation.nearest(rows, "id", "w", bank, "item", "v", 4).collect()))
     monkeypatch.setattr(curation, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, curation.nearest(rows, "id", "w", bank, "item", "v", 4).collect())) == whole
+
+
+def test_length_matching():
+    rng = random.Random(7)
+    for _ in range(300):
+        rows = [(rng.randrange(30), i, rng.random() < 0.4) for i in range(rng.randrange(30))]
+        free = sorted((n, i) for n, i, target in rows if not target)
+        want = []
+        for n, i in sorted((n, i) for n, i, target in rows if target):
+            if not free:
+                break
+            best = min(free, key=lambda c: (abs(c[0] - n), c))
+            free.remove(best)
+            want.append((i, best[1], abs(best[0] - n)))
+        assert curation.match_lengths([(n, i) for n, i, t in rows if t], [(n, i) for n, i, t in rows if not t]) == want
+
+
+def test_isotonic_out_of_fold(spark):
+    from sieveline.operators import models
+
+    rng = random.Random(2)
+    rows = [(p, int(rng.random() < p), i % 3) for i, p in enumerate(round(rng.random(), 2) for _ in range(200))]
+    got = models.isotonic(spark.createDataFrame(rows, "p double, y int, fold int"), "p", "y", "fold", 3).collect()
+    assert len(got) == len(rows)
+    for k in range(3):
+        by = {}
+        for p, y, f in rows:
+            if f != k:
+                by.setdefault(p, []).append(y)
+        xs = sorted(by)
+        mean = lambda a, b, xs=xs, by=by: sum(sum(by[x]) for x in xs[a : b + 1]) / sum(len(by[x]) for x in xs[a : b + 1])
+        fit = [max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in range(len(xs))]
+        for r in got:
+            if r.fold == k:
+                i = sum(x <= r.p for x in xs) - 1
+                inside = 0 <= i < len(xs) - 1
+                want = fit[i] + (fit[i + 1] - fit[i]) * (r.p - xs[i]) / (xs[i + 1] - xs[i]) if inside else fit[max(i, 0)]
+                assert abs(r.calibrated - want) < 1e-9

@@ -87,7 +87,7 @@ def test_text(spark):
     assert one(spark, [("x" * 40,), ("the cat. " * 3,), ("fine",)], "t string", text.degeneration(F.col("t"), F.lit(False))) == [("c",), ("a",), ("a",)]
     assert one(spark, [("1 2.0000001", "1 2", True), ("1 2", "1 3", False), ("a", "a b", False)], "a string, b string, w boolean", "w", text.same_output(F.col("a"), F.col("b"))) == [(True, True), (False, False), (False, False)]
     assert one(spark, [("a<thinking>x\ny</thinking>b",)], "t string", text.without_thinking(F.col("t"))) == [("ab",)]
-    assert one(spark, [("NameError: x is not defined",), ("timed out",), (None,)], "t string", text.error_type(F.col("t"))) == [("interface",), ("timeout",), ("none",)]
+    assert one(spark, [("NameError: x is not defined",), ("timed out",), (None,)], "t string", text.error_type(F.col("t"), F.lit("REVISE"), F.lit("code"))) == [("runtime_error",), ("executable_test_failure",), ("executable_test_failure",)]
     assert one(spark, [("abcd", "abcd")], "a string, b string", text.sequence_ratio(F.col("a"), F.col("b")), text.text_similarity(F.col("a"), F.col("b"))) == [(1.0, 1.0)]
 
 
