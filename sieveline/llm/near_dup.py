@@ -36,6 +36,7 @@ BLOCK = 1024  #: members of a bucket compared with each other in one task at mos
 PACK = 1_000_000  #: shingles of the members of a pack at most, beyond two members
 PAIRS = 500_000  #: pairs of rows held at a time
 ROWS_A_TASK = 8000  #: rows of mixed buckets compared in one task, about
+HOT, HOT_CLASSES = 10_000, 100_000  #: a class of more rows, or of more than that share of all, is labelled by broadcast
 
 _seed = np.random.Generator(np.random.PCG64(20240229))
 _A = (_seed.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -357,7 +358,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     discard_since(spark, begin)
     if final.count() * 32 <= BROADCAST_BYTES:
         final = F.broadcast(final)
-    label = classes.join(final, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
-    out = made.select("doc_id", "n_shingles", "fp").join(label, (made["fp"] == label["fp"]) & made["doc_id"].isNotNull(), "left")
+    label = classes.join(final, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"), "n")
+    # rows without a set meet nothing, and those of the largest classes, of which there are few, are not shuffled
+    hot = max(HOT, made.count() // HOT_CLASSES)
+    few = F.broadcast(label.where(F.col("n") > hot).select("fp", F.col("comp").alias("known")))
+    rows = made.select("doc_id", "n_shingles", "fp").join(few, "fp", "left")
+    open_rows = F.col("known").isNull() & F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
+    done = rows.where(~open_rows).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("known")).alias("comp"))
+    out = rows.where(open_rows).join(label.where(F.col("n") <= hot), "fp").select("doc_id", "n_shingles", "comp").unionByName(done)
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -126,6 +126,13 @@ def test_bayes_prunes_only_the_unlikely():
         assert cdf(m) >= near_dup.MISS and (m == 0 or cdf(m - 1) < near_dup.MISS)
 
 
+def test_near_duplicates_with_hot_classes(docs, monkeypatch):
+    whole = Counter(map(tuple, near_dup.near_duplicates(docs, 5, 80).collect()))
+    monkeypatch.setattr(near_dup, "HOT", 1)
+    monkeypatch.setattr(near_dup, "HOT_CLASSES", 1000)
+    assert Counter(map(tuple, near_dup.near_duplicates(docs, 5, 80).collect())) == whole
+
+
 def test_near_duplicates_empty(empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
@@ -771,6 +778,20 @@ def test_pipeline_edge_rows(docs, empty, spark):
         assert out.count() <= df.count()
 
 
+def test_pipeline_without_labels_or_benchmark(docs, spark, tmp_path):
+    import corpus_pipeline as c
+
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = c.run(spark, str(tmp_path))
+    assert got.where("not lossless").count() == 0
+    links = brute_components([(r.doc_id, r.text) for r in rows.collect()], 5, 80)
+    found = {r.doc_id for r in got.collect()}
+    assert found <= {i for i, _, low in links if i is None or i == low} and len(found) > 5
+
+
 def test_pipeline_decontaminates_rows_not_ids(spark):
     import corpus_pipeline as c
 
