@@ -74,6 +74,9 @@ class Lattice:
         for p, (i, w) in rank.items():
             self.piece[nodes[p]], self.logw[nodes[p]] = i, w
         self.mark = self.kind[ord(MARK)]
+        self.root = np.zeros(self.kinds, np.int32)  # the first step, which every character takes; 0 is none
+        some = self.keys < self.kinds
+        self.root[self.keys[some]] = self.next[some]
 
     def _go(self, state: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = state.astype(np.int64) * self.kinds + kind
@@ -100,7 +103,8 @@ class Lattice:
         unit = np.repeat(np.arange(len(length)), length)
         pos = np.arange(len(code)) - begin[unit]
         left, mine = length[unit] - pos, rank[unit]
-        i, (state, ok) = np.arange(len(code)), self._go(np.zeros(len(code), np.int64), kind)
+        i, state = np.arange(len(code)), self.root[kind]
+        ok = state > 0
         found = []
         alone = ~ok | (self.piece[state] < 0)
         who = i[alone]
@@ -210,11 +214,10 @@ class Lattice:
         for _, _, spaced, part in group:
             out = []
             for word in part.split(" "):
-                at = heads.get(word) if spaced else None
-                if at is None:
-                    out += [heads.setdefault(u, len(heads)) if after else -1 - bare.setdefault(u, len(bare)) for after, u in units(word, spaced)]
+                if spaced and (word in heads or ("\n" not in word and len(word) <= UNIT)):
+                    out.append(heads.setdefault(word, len(heads)))
                 else:
-                    out.append(at)
+                    out += [heads.setdefault(u, len(heads)) if after else -1 - bare.setdefault(u, len(bare)) for after, u in units(word, spaced)]
                 spaced = True
             lists.append(out)
         seeds = [seed_of[row] for row, *_ in group]
