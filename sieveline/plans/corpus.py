@@ -253,7 +253,7 @@ def json_props_profile(spark, sf_dir):
 _COUNT = r"len(regexp_extract_all(text, '{}'))"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, text, greatest(length(text), 1)::DOUBLE AS n, {_COUNT.format('[\p{L}\p{N}_]+')} AS w FROM documents)
+@query(rf"""WITH d AS (SELECT doc_id, text, greatest(length(text), 1)::DOUBLE AS n, {_COUNT.format(r'[\p{L}\p{N}_]+')} AS w FROM documents)
 SELECT doc_id, round(ln(1 + n), 6) AS log_chars, round(ln(1 + w), 6) AS log_words, round(ln(2 + {_COUNT.format(chr(10))}), 6) AS log_lines, round({_COUNT.format(r'\p{Nd}')} / n, 6) AS digit_share,
   round({_COUNT.format(r'\p{Lu}')} / n, 6) AS upper_share, round({_COUNT.format(r'[^\p{L}\p{N}\s]')} / n, 6) AS punct_share,
   round(len(regexp_extract_all(lower(text), '\b(?:clearly|obviously|therefore|thus|certainly|correct|final)\b')) / greatest(w, 1)::DOUBLE, 6) AS confident_share, contains(text, '```') AS has_fence FROM d""")
