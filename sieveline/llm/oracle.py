@@ -134,3 +134,46 @@ WITH RECURSIVE a AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
 FROM g JOIN f USING (conv_id)
 """
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {TERMS.format("coalesce(text, '')")} AS w FROM documents
+), i AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({TERMS.format("coalesce(text, '')")}) AS t FROM benchmark) GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL
+), c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d
+), v AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY t
+), s AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM i JOIN f USING (t) JOIN v USING (t), c GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+
+def _rounds(n: int) -> str:
+    """Each round's assignment and centroids as tables of their own, since an aggregate may not recur."""
+    near = "SELECT v.vec_id, v.q, min_by(c.k, (list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.k)) AS k FROM v, c{0} c GROUP BY v.vec_id, v.q"
+    each = f"""a{{0}} AS MATERIALIZED ({near}
+), c{{1}} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.q, c.q) AS q FROM c{{0}} c LEFT JOIN (
+    SELECT k, list(s ORDER BY j) AS q FROM (
+      SELECT k, j, floor_div(sum(x), count(*)) AS s FROM (SELECT k, unnest(range(1, 65)) AS j, unnest(q) AS x FROM a{{0}}) GROUP BY k, j) GROUP BY k) m USING (k)
+), """
+    return "".join(each.format(i, i + 1) for i in range(n)) + f"z AS MATERIALIZED ({near.format(n)})"
+
+
+OP13 = rf"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, q FROM (SELECT q, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8)
+), {_rounds(10).replace("floor_div(sum(x), count(*))", "((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT")},
+o AS (SELECT z.vec_id, z.k, c.q AS center, list_sum(list_transform(list_zip(z.q, c.q), lambda y: (y[1] - y[2]) * (y[1] - y[2])))::BIGINT AS far FROM z JOIN c10 c USING (k))
+SELECT vec_id, k::INTEGER AS cluster, far AS distance, (sum(far) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(center, ',')) AS centroid_sha256 FROM o
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import oracle
 from sieveline.llm.chat import digest, format_chats
+from sieveline.llm.clusters import weighted_clusters
 from sieveline.llm.common import table
 from sieveline.llm.decontam import decontaminate
 from sieveline.llm.language_id import predict_languages
@@ -17,6 +18,7 @@ from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pieces import encode
 from sieveline.llm.quality import score_quality
 from sieveline.llm.rules import quality_rules
+from sieveline.llm.search import ranked_search
 from sieveline.llm.url_filter import judge
 from sieveline.llm.warc import archive_pages
 
@@ -81,6 +83,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_clusters(table(spark, sf_dir, "embeddings"), dim=64, k=8, rounds=10, scale=1024, salt="3")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_warc,
         op10_quality_classifier,
+        op12_ranked_search,
+        op13_centroid_clusters,
     )
 }
 ORACLE: dict[str, str] = {
@@ -103,4 +115,6 @@ ORACLE: dict[str, str] = {
     "op6_minhash_near_dedup": oracle.OP6,
     "op7_url_filter": oracle.OP7,
     "op9_warc": oracle.OP9,
+    "op12_ranked_search": oracle.OP12,
+    "op13_centroid_clusters": oracle.OP13,
 }
