@@ -12,6 +12,7 @@ from sieveline.llm.chat import digest, format_chats
 from sieveline.llm.clusters import weighted_clusters
 from sieveline.llm.common import table
 from sieveline.llm.decontam import decontaminate
+from sieveline.llm.gram_join import gram_join
 from sieveline.llm.language_id import predict_languages
 from sieveline.llm.lm_score import stupid_backoff
 from sieveline.llm.near_dup import near_duplicates
@@ -83,6 +84,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1)
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_join(table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_warc,
         op10_quality_classifier,
+        op11_ngram_jaccard_join,
         op12_ranked_search,
         op13_centroid_clusters,
     )
@@ -115,6 +121,7 @@ ORACLE: dict[str, str] = {
     "op6_minhash_near_dedup": oracle.OP6,
     "op7_url_filter": oracle.OP7,
     "op9_warc": oracle.OP9,
+    "op11_ngram_jaccard_join": oracle.OP11,
     "op12_ranked_search": oracle.OP12,
     "op13_centroid_clusters": oracle.OP13,
 }
