@@ -76,11 +76,11 @@ def test_every_order_passes_similar_sets():
             both = len(np.intersect1d(x, y))
             if 100 * both < 80 * (len(x) + len(y) - both):
                 continue
-            a = {p[:2]: p for p in gram_join.prefixes(x, levels, 80)}
-            b = {p[:2]: p for p in gram_join.prefixes(y, levels, 80)}
+            a = {p[0]: p for p in gram_join.prefixes(x, levels, 80)}
+            b = {p[0]: p for p in gram_join.prefixes(y, levels, 80)}
             parts = min(gram_join.tier(len(x)), gram_join.tier(len(y)))
             assert any(
-                c[0] == parts and all(len(np.intersect1d(a[c][o], b[c][o])) for o in (3, 4, 5)) and 100 * min(a[c][2], b[c][2]) >= 80 * max(a[c][2], b[c][2])
+                a[c][1] == parts and all(len(np.intersect1d(a[c][o], b[c][o])) for o in (3, 4, 5)) and 100 * min(a[c][2], b[c][2]) >= 80 * max(a[c][2], b[c][2])
                 for c in set(a) & set(b)
             )
 
