@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.answers import perturbed, reward
 from sieveline.functions.hashing import hash_int
-from sieveline.operators import curation, evaluation, statistics
+from sieveline.operators import curation, evaluation, resampling, statistics
 from sieveline.plans.corpus import t
 from sieveline.plans.registry import query
 
@@ -239,7 +239,7 @@ def leave_one_group_out(spark, sf_dir):
 ), s AS (SELECT arm, b, sum(num) / sum(den)::DOUBLE AS stat FROM d JOIN n USING (arm, j) GROUP BY 1, 2)
 SELECT arm, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi, count(*) AS replicates FROM s GROUP BY 1""")
 def clustered_bootstrap(spark, sf_dir):
-    """Source-clustered bootstrap intervals of a rate, by hashed draws over pre-aggregated clusters."""
+    """A bootstrap whose draws are hashes that SQL repeats, of 200 replicates; see bootstrap_intervals for 10,000."""
     g = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("arm"), (F.col("o_custkey") % 97).alias("j0")).agg(F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("num"), F.count("*").alias("den"))
     out = statistics.clustered_bootstrap(g, ["arm"], "j0", "num", "den", 200, "boot")
     return out.select("arm", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.lit(200).cast("long").alias("replicates"))
@@ -351,3 +351,44 @@ def greedy_matches(spark, sf_dir):
 
 
 query()(greedy_matches)
+
+
+#: Ends of the intervals are held against those of large samples, rate -+ 1.96 standard errors, the error being that of a
+#: ratio of cluster sums: by at most so many standard errors. A quantile of 10,000 replicates errs by 0.03.
+NEAR = 0.25
+RATIO = """, r AS (SELECT {0} AS arm, sum(num) / sum(den)::DOUBLE AS rate, count(*) AS clusters FROM g GROUP BY 1
+), e AS (SELECT r.arm, sqrt(sum(pow(num - rate * den, 2))) / sum(den) AS se FROM g JOIN r ON r.arm = {0} GROUP BY 1)
+SELECT r.arm, r.clusters, round(rate, 6) AS rate, round(se, 6) AS se, 10000::BIGINT AS replicates, TRUE AS lo_near, TRUE AS hi_near FROM r JOIN e USING (arm)"""
+
+
+def _against_large_samples(g, ends):
+    """(arm, clusters, rate, se, replicates, lo_near, hi_near) of clusters g(arm, num, den) and their interval's ends."""
+    rate = g.groupBy("arm").agg((F.sum("num") / F.sum("den")).alias("rate"), F.count("*").alias("clusters"))
+    se = g.join(F.broadcast(rate), "arm").groupBy("arm").agg((F.sqrt(F.sum(F.pow(F.col("num") - F.col("rate") * F.col("den"), F.lit(2.0)))) / F.sum("den")).alias("se"))
+    both = rate.join(se, "arm").join(ends, "arm")
+    near = lambda end, z: F.abs(F.try_divide(F.col(end) - F.col("rate"), F.col("se")) - z) < NEAR
+    return both.select("arm", "clusters", F.round("rate", 6).alias("rate"), F.round("se", 6).alias("se"), F.col("defined").alias("replicates"), near("lo", -1.959964).alias("lo_near"), near("hi", 1.959964).alias("hi_near"))
+
+
+@query("WITH g AS (SELECT o_orderpriority AS arm, o_custkey, sum((o_orderstatus = 'F')::INT) AS num, count(*) AS den FROM orders GROUP BY 1, 2)" + RATIO.format("g.arm"))
+def bootstrap_intervals(spark, sf_dir):
+    """10,000 replicates over all customers of each arm, by a tree of binomials."""
+    g = t(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("arm"), "o_custkey").agg(F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("num"), F.count("*").alias("den"))
+    return _against_large_samples(g, resampling.intervals(g, ["arm"], "o_custkey", ["num", "den"], F.try_divide("num", "den")))
+
+
+@query("""WITH g AS (SELECT l_returnflag AS arm, o_custkey, o_orderstatus AS st, sum(l_discount) AS num, count(*) AS den FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+), h AS (SELECT arm, st, count(*) AS n, avg(num) AS mn, avg(den) AS md FROM g GROUP BY ALL), r AS (SELECT arm, sum(num) / sum(den)::DOUBLE AS rate, count(*) AS clusters FROM g GROUP BY 1
+), e AS (SELECT arm, sqrt(sum(pow((num - mn) - rate * (den - md), 2))) / sum(den) AS se FROM g JOIN h USING (arm, st) JOIN r USING (arm) GROUP BY 1)
+SELECT arm, clusters, round(rate, 6) AS rate, round(se, 6) AS se, 10000::BIGINT AS replicates, TRUE AS lo_near, TRUE AS hi_near FROM r JOIN e USING (arm)""")
+def stratified_intervals(spark, sf_dir):
+    """10,000 replicates of customers resampled inside the order status, of each return flag."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("st"))
+    g = t(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_returnflag").alias("arm"), "o_custkey", "st").agg(F.sum("l_discount").alias("num"), F.count("*").alias("den"))
+    ends = resampling.intervals(g, ["arm"], "o_custkey", ["num", "den"], F.try_divide("num", "den"), seed="strata", strata=["st"])
+    means = g.groupBy("arm", "st").agg(F.avg("num").alias("mn"), F.avg("den").alias("md"))
+    rate = g.groupBy("arm").agg((F.sum("num") / F.sum("den")).alias("rate"), F.count("*").alias("clusters"))
+    off = F.col("num") - F.col("mn") - F.col("rate") * (F.col("den") - F.col("md"))
+    se = g.join(F.broadcast(means), ["arm", "st"]).join(F.broadcast(rate), "arm").groupBy("arm").agg((F.sqrt(F.sum(off * off)) / F.sum("den")).alias("se"))
+    near = lambda end, z: F.abs(F.try_divide(F.col(end) - F.col("rate"), F.col("se")) - z) < NEAR
+    return rate.join(se, "arm").join(ends, "arm").select("arm", "clusters", F.round("rate", 6).alias("rate"), F.round("se", 6).alias("se"), F.col("defined").alias("replicates"), near("lo", -1.959964).alias("lo_near"), near("hi", 1.959964).alias("hi_near"))
