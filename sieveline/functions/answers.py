@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import Counter
 from fractions import Fraction
-from math import isqrt
+from math import gcd, isqrt
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,16 +98,82 @@ def _mul(x: dict, y: dict) -> dict:
     return {k: v for k, v in out.items() if v}
 
 
+#: Bases that tell all primes below 3.3 * 10^24 (Sorenson and Webster).
+PRIME_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
+#: Numbers under roots beyond so many bits, once small factors are gone, have no value here (the answer is read as null).
+ROOT_BITS = 80
+
+
+def _is_prime(n: int) -> bool:
+    if n < 43:
+        return n in PRIME_BASES
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for base in PRIME_BASES:
+        x = pow(base, odd, n)
+        if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
+def _factor(n: int) -> int:
+    """A proper factor of an odd composite number that is no square: Pollard's rho, products of 64 steps at a time."""
+    for c in range(1, 1000):
+        x = y = start = 2
+        g = 1
+        while g == 1:
+            product, start = 1, (x, y)
+            for _ in range(64):
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                product = product * (x - y) % n
+            g = gcd(product, n)
+        if g == n:  # the factors met within these steps: one by one
+            x, y = start
+            g = 1
+            while g == 1:
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                g = gcd(x - y, n)
+        if g != n:
+            return g
+    raise ValueError("no factor found")
+
+
+def _primes(n: int) -> list[int]:
+    """Prime factors of an odd number, with repeats."""
+    if n == 1:
+        return []
+    s = isqrt(n)
+    if s * s == n:
+        return 2 * _primes(s)
+    if _is_prime(n):
+        return [n]
+    f = _factor(n)
+    return _primes(f) + _primes(n // f)
+
+
 def _root(n: int) -> tuple[int, int]:
-    """sqrt(n) = c * sqrt(root), root free of squares."""
-    c, d = 1, 2
-    while d * d <= n and d < 10_000:
-        while n % (d * d) == 0:
-            n //= d * d
-            c *= d
-        d += 1
+    """sqrt(n) = c * sqrt(root), root free of squares: small factors first, the rest by its primes."""
+    c, root = 1, 1
+    for d in range(2, 1000):
+        if d * d > n:
+            break
+        k = 0
+        while n % d == 0:
+            n, k = n // d, k + 1
+        c, root = c * d ** (k // 2), root * d ** (k % 2)
     s = isqrt(n)
-    return (1, c * s) if s * s == n else (n, c)
+    if s * s == n:
+        return root, c * s
+    if n.bit_length() > ROOT_BITS:
+        raise ValueError("root of a number too large to factor")
+    for prime, k in Counter(_primes(n)).items():
+        c, root = c * prime ** (k // 2), root * prime ** (k % 2)
+    return root, c
 
 
 def _value(node: ast.AST):

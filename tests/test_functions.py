@@ -124,3 +124,28 @@ def test_verdict_log_probs(spark):
     assert tuple(got[0][0]) == (3, -1.5, -0.2) and tuple(got[1][0]) == (None, None, None)
     r = spark.range(1).select(recall_estimate(F.lit(100), F.lit(9), F.lit(10), F.lit(900), F.lit(1), F.lit(90)).alias("r")).first().r
     assert abs(r.recall - 0.9) < 1e-9 and r.low < r.recall < r.high
+
+
+def test_roots_are_reduced_by_all_their_primes():
+    import random
+    import time
+
+    from sieveline.functions import answers
+
+    read = answers.read_value
+    assert read("sqrt(300420147)") == read("10007*sqrt(3)") is not None
+    assert read("sqrt(1000003)*sqrt(1000003)") == read("1000003")
+    assert read(f"sqrt({1000003**2 * 1000033 * 5})") == read(f"1000003*sqrt({1000033 * 5})") is not None
+    assert read(f"sqrt({2**200})") == read(f"{2**100}") is not None
+    assert read(f"sqrt({(10**30 + 57) ** 2})") == read(f"{10**30 + 57}") is not None
+    for n in range(1, 3000):
+        root, c = answers._root(n)
+        assert c * c * root == n and all(root % (d * d) for d in range(2, 60))
+    rng = random.Random(1)
+    start = time.time()
+    for _ in range(30):
+        p, q = (rng.choice([1009, 10007, 999983, 1000003, 16777259, 1048583]) for _ in range(2))
+        root, c = answers._root(p * p * q)
+        assert (root, c) == ((q, p) if p != q else (p, p))
+    assert time.time() - start < 10
+    assert read(f"sqrt({(2**61 - 1) * (2**89 - 1)})") is None  # beyond what is factored: no value rather than a wrong one
