@@ -114,6 +114,41 @@ def overlap_by_keys(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     return both.groupBy(F.col("l").alias(left_id)).agg(F.count_distinct("r").alias("matches"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 
+def shared_keys(df: DataFrame, id: str, keys: list[str]) -> DataFrame:
+    """(id, matches, kinds): for each row that shares any of the keys with other rows, how many these are, and by which
+    keys. No pair is made: rows with the same keys are first put together with their number, and as a row matches by any
+    key, its matches are the sums over one key, less those over two, and so on (at most four keys), less itself. A null
+    key matches nothing; rows count, so ids should be unique; an empty table gives none."""
+    from itertools import combinations
+
+    if not 0 < len(keys) <= 4:
+        raise ValueError("one to four keys")
+    rows = df.select(F.col(id).alias("sieve_id"), *[F.col(k).alias(f"sieve_k{i}") for i, k in enumerate(keys)])
+    names = [f"sieve_k{i}" for i in range(len(keys))]
+    cells = rows.groupBy(*names).agg(F.count("*").alias("sieve_n")).where(F.coalesce(*names).isNotNull())
+    total, kinds = -F.lit(1).cast("long"), []
+    out = cells
+    for size in range(1, len(keys) + 1):
+        for some in combinations(range(len(keys)), size):
+            on, n = [names[i] for i in some], f"sieve_n{'_'.join(map(str, some))}"
+            # all keys: the cell itself, which no other cell equals
+            full = F.lit(True)
+            for k in on:
+                full = full & F.col(k).isNotNull()
+            if size == len(keys):
+                out = out.withColumn(n, F.when(full, F.col("sieve_n")))
+            else:
+                out = out.join(cells.where(full).groupBy(*on).agg(F.sum("sieve_n").alias(n)), on, "left")
+            total = total + (1 if size % 2 else -1) * F.coalesce(F.col(n), F.lit(0))
+            if size == 1:
+                kinds.append(F.when(F.col(n) > 1, F.lit(keys[some[0]])))
+    found = out.select(*[F.col(k).alias(f"{k}c") for k in names], total.alias("matches"), F.array_join(F.array_sort(F.array_compact(F.array(*kinds))), ",").alias("kinds")).where("matches > 0")
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}c"))
+    return rows.join(found, same).select(F.col("sieve_id").alias(id), "matches", "kinds")
+
+
 def gram_leaks(rows: DataFrame, grams: Column, protected: DataFrame, protected_grams: Column, row_id: str) -> DataFrame:
     """The ids of rows that hold any n-gram of a protected set: a semi-join of hashed n-grams, then exact."""
     keep = protected.select(F.explode(protected_grams).alias("g")).distinct()

@@ -8,7 +8,7 @@ from math import factorial
 from pyspark.sql import functions as F
 
 from sieveline.functions import answers, hashing, text, web
-from sieveline.operators import curation, evaluation, statistics
+from sieveline.operators import curation, evaluation, lineage, statistics
 from sieveline.plans.answers import LINES, by_template, lines, said
 from sieveline.plans.corpus import t
 from sieveline.plans.evaluation import JUDGE, SCORED, STRATEGY, attempts, judgments, scored
@@ -289,6 +289,32 @@ def page_or_overlap(spark, sf_dir):
     return curation.overlap_by_keys(pages.where("page_id % 100 = 0"), pages.where("page_id % 100 <> 0"), ["text", "url"], "page_id", "page_id")
 
 
+@query(r"""WITH k AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\r\n]+', ' ', 'g'))) AS t, CASE WHEN len(w) >= 12 THEN array_to_string(w[1:12], ' ') END AS o
+  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[^ \t\r\n]+') AS w FROM documents)
+), c AS (SELECT doc_id, CASE WHEN t IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY t) END AS nt, CASE WHEN o IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY o) END AS n_o, CASE WHEN t IS NULL OR o IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY t, o) END AS nb FROM k)
+SELECT doc_id, (nt + n_o - nb - 1)::BIGINT AS matches, concat_ws(',', CASE WHEN n_o > 1 THEN 'opening' END, CASE WHEN nt > 1 THEN 'text' END) AS kinds FROM c WHERE nt + n_o - nb > 1""")
+def text_or_opening_overlap(spark, sf_dir):
+    """How many other documents share the normalized text or the first twelve words, and by which of the two; all
+    documents against all, groups counted and never paired."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\r\n]+"), F.lit(0))
+    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("text"), F.when(F.size(w) >= 12, F.sha2(F.array_join(F.slice(w, 1, 12), " "), 256)).alias("opening"))
+    return curation.shared_keys(docs, "doc_id", ["text", "opening"])
+
+
+@query(r"""WITH RECURSIVE n AS (SELECT doc_id AS id, CASE WHEN doc_id % 1000 = 501 THEN doc_id + 1 WHEN doc_id % 1000 = 502 THEN doc_id - 1 WHEN doc_id % 97 = 5 THEN -1 - doc_id WHEN doc_id > 0 THEN doc_id // 3 END AS p,
+  coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')) >= 20, FALSE) AS ok FROM documents
+), walk AS (SELECT id, 0::BIGINT AS hops, p IS NOT NULL AS lost, CASE WHEN NOT ok THEN id END AS bad FROM n WHERE p IS NULL OR p NOT IN (SELECT id FROM n)
+  UNION ALL SELECT n.id, hops + 1, lost, CASE WHEN NOT ok THEN n.id ELSE bad END FROM walk JOIN n ON n.p = walk.id)
+SELECT id AS doc_id, CASE WHEN w.id IS NULL THEN 'cycle' WHEN lost THEN 'missing' WHEN bad IS NOT NULL THEN 'broken' ELSE 'holds' END AS state, hops, CASE WHEN NOT lost THEN bad END AS first_broken FROM n LEFT JOIN walk w USING (id)""")
+def lineage_gates(spark, sf_dir):
+    """F16: a document's claim (20 words or more) holds only if those of all it is derived from do; some parents are
+    missing, some links form cycles. The SQL walks down from the ends of chains, the operator doubles pointers upwards."""
+    i = F.col("doc_id")
+    parent = F.when(i % 1000 == 501, i + 1).when(i % 1000 == 502, i - 1).when(i % 97 == 5, -1 - i).when(i > 0, F.floor(i / 3))
+    docs = t(spark, sf_dir, "documents").select("doc_id", parent.cast("long").alias("parent"), (F.regexp_count("text", F.lit(r"[^ \t\r\n]+")) >= 20).alias("ok"))
+    return lineage.held_claims(docs, "doc_id", "parent", F.col("ok"))
+
+
 @query()
 def episodes(spark, sf_dir):
     """Episodes of a teaching row, two probes and a control, each id used once, greedy in order; the rows are the
