@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions import text
+from sieveline.functions import hashing, text
 from sieveline.plans.corpus import t
 from sieveline.plans.registry import query
 from sieveline.plans.streams import stream_of
 from sieveline.session import shared_folder
-from sieveline.sources import readers, sinks
+from sieveline.sources import lookup, readers, sinks
 from sieveline.streaming import logs
 
 
@@ -199,3 +199,40 @@ def hash_ordered_budget(spark, sf_dir):
 
     docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("key"))
     return docs.orderBy(sha256("take", F.col("doc_id")), "doc_id").limit(100)
+
+
+@query("""WITH a AS (SELECT item_id, j, ('0x' || substr(sha256('ask|' || item_id::VARCHAR || '|' || j::VARCHAR), 1, 8))::BIGINT % (SELECT 2 * count(*) FROM documents) AS id FROM benchmark, range(0, 5) r(j)
+), d AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY 1), x AS (SELECT item_id, j, id, doc_id IS NOT NULL AS there, coalesce(text, '') AS text FROM a LEFT JOIN d ON doc_id = id)
+SELECT item_id, count(*) AS n_asked, count(*) FILTER (NOT there) AS n_missing, coalesce(string_agg(id::VARCHAR, ',' ORDER BY j) FILTER (NOT there), '') AS missing, sha256(coalesce(string_agg(text, chr(10) ORDER BY j) FILTER (there), '')) AS patch_sha256 FROM x GROUP BY 1""")
+def listed_documents(spark, sf_dir):
+    """The texts of each item's list of document ids, in its order, out of a layout by hash of the id; about half of
+    the ids are no document's and are reported."""
+    folder = shared_folder(spark, "lookup")
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    lookup.store(docs, "doc_id", folder, 4096)
+    span = 2 * docs.count()
+    asked = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: hashing.hash_int("ask", F.col("item_id"), j) % F.lit(max(span, 1)))
+    lists = t(spark, sf_dir, "benchmark").select("item_id", asked.alias("ids"))
+    found = lookup.fetch(spark, folder, lists.select(F.explode("ids").alias("doc_id")), "doc_id", ["text"])
+    rows = lookup.in_list_order(lists, "item_id", "ids", found, "doc_id", "text")
+    return rows.select("item_id", "n_asked", "n_missing", "missing", F.sha2("patch", 256).alias("patch_sha256"))
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (lang = 'en') AS kept, count(DISTINCT doc_id) AS ids, TRUE AS stopped_by_rule, TRUE AS resumed FROM documents")
+def stopped_scan(spark, sf_dir):
+    """S08 ST02 ST03: a streaming scan of eight files with a funnel of counters, which ends with the batch that brings
+    the kept rows to a third of all, and later takes up the remainder; no row is lost or read twice."""
+    folder = shared_folder(spark, "scan")
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs.repartition(8).write.parquet(f"{folder}/landed")
+    stream = lambda: spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    size = docs.agg(F.count("*").alias("n"), F.count_if(english).alias("k")).first()
+    quota = size.k // 3 + 1
+    counters = {"scanned": F.count("*"), "kept": F.count_if(english)}
+    first = logs.scan_until(stream(), counters, lambda c: c["kept"] >= quota, f"{folder}/rows", f"{folder}/checkpoint")
+    rest = logs.scan_until(stream(), counters, lambda c: False, f"{folder}/rows", f"{folder}/checkpoint")
+    by_rule = first[-1]["kept"] >= quota and (len(first) < 2 or first[-2]["kept"] < quota) and first[-1]["scanned"] < size.n
+    on = len(rest) > len(first) and rest[: len(first)] == first and rest[-1]["scanned"] == size.n
+    back = spark.read.schema("doc_id long, lang string").parquet(f"{folder}/rows")
+    return back.agg(F.count("*").alias("scanned"), F.count_if(english).alias("kept"), F.count_distinct("doc_id").alias("ids"), F.lit(bool(by_rule)).alias("stopped_by_rule"), F.lit(bool(on)).alias("resumed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
     try:
         have = spark.read.parquet(path).select(*keys).distinct()
         new = df.join(have, keys, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         new = df
     new = new.dropDuplicates(keys)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,33 +28,78 @@ def new_rows(batch: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     return batch.dropDuplicates(keys).join(ledger.select(*keys).distinct(), keys, "left_anti")
 
 
+def _until(stream: DataFrame, step: Callable[[DataFrame, int], bool], checkpoint: str) -> None:
+    """Runs step(batch, id) over all that is there and ends before the batch that follows a step that says so. That batch
+    is refused by an error of its own, so its offsets are not committed and a later run starts with it; a batch that
+    ended well is never run again. Any other failure is raised."""
+    refusal = f"stopped by rule {uuid.uuid4().hex}"
+    over = []
+
+    def guarded(batch: DataFrame, i: int) -> None:
+        if over:
+            raise StopIteration(refusal)
+        if step(batch, i):
+            over.append(i)
+
+    query = stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if refusal not in str(e):
+            raise
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a Parquet folder, none if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def drain_once(stream: DataFrame, keys: list[str], path: str, checkpoint: str, stop: Callable[[DataFrame], bool] | None = None) -> int:
     """Appends rows with unseen keys, batch by batch, and returns how many batches ran. A batch that is tried again
     after a failure adds nothing twice, as its keys are in the target then. stop(rows so far) ends the query after the
     batch in which it first holds; the rest stays for a later run."""
     spark = stream.sparkSession
-    state = {"batches": 0, "stopped": False}
-
-    def step(batch: DataFrame, _: int) -> None:
-        if state["stopped"]:
-            raise StopIteration
-        try:
-            have = spark.read.schema(batch.schema).parquet(path)
-            new_rows(batch, have, keys).write.mode("append").parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            batch.dropDuplicates(keys).write.mode("append").parquet(path)
-        state["batches"] += 1
-        state["stopped"] = bool(stop and stop(spark.read.parquet(path)))
-
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    except Exception:
-        if not state["stopped"]:
-            raise
-    return state["batches"]
+    ran = []
+
+    def step(batch: DataFrame, i: int) -> bool:
+        new_rows(batch, _stored(spark, path, batch.schema), keys).write.mode("append").parquet(path)
+        ran.append(i)
+        return bool(stop and stop(spark.read.parquet(path)))
+
+    _until(stream, step, checkpoint)
+    return len(ran)
+
+
+def scan_until(stream: DataFrame, counters: dict[str, Column], done: Callable[[dict[str, int]], bool], path: str, checkpoint: str) -> list[dict[str, int]]:
+    """Scans a stream into a folder a batch until done(counters so far) holds, and returns the counters after each batch
+    of this and of earlier runs with the same folder and checkpoint. Counters are aggregates that add up; each batch's are
+    stored beside its rows (one row a batch), so no earlier row is read again. A batch tried again replaces its own
+    folder. If the rule holds at the start, nothing is read."""
+    spark = stream.sparkSession
+    counts, schema = f"{path}-counters", T.StructType([T.StructField(c, T.LongType()) for c in ("batch", *counters)])
+
+    def totals() -> list[dict[str, int]]:
+        out: list[dict[str, int]] = []
+        for r in sorted(_stored(spark, counts, schema).collect(), key=lambda r: r["batch"]):
+            out.append({c: (r[c] or 0) + (out[-1][c] if out else 0) for c in counters})
+        return out
+
+    def step(batch: DataFrame, i: int) -> bool:
+        folder = f"{path}/part={i}"
+        batch.write.mode("overwrite").parquet(folder)
+        row = spark.read.schema(batch.schema).parquet(folder).agg(*[c.cast("long").alias(n) for n, c in counters.items()])
+        row.coalesce(1).withColumn("batch", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{counts}/part={i}")
+        return done(totals()[-1])
+
+    so_far = totals()
+    if not so_far or not done(so_far[-1]):
+        _until(stream, step, checkpoint)
+    return totals()
 
 
 def deduplicated(stream: DataFrame, key: str, time: str | None = None, delay: str = "1 hour") -> DataFrame:
