@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,6 +210,37 @@ def logit(p: Column, least: float = 1e-6) -> Column:
     return F.ln(q / (1 - q))
 
 
+#: Wichura's AS 241 (1988), coefficients of the normal quantile, highest power first: numerator and
+#: denominator of the middle, of the tails, and of the far tails.
+AS241 = {
+    "middle": (
+        (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+        (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+    ),
+    "tail": (
+        (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+        (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+    ),
+    "far": (
+        (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+        (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+    ),
+}
+
+
+def probit(p: Column) -> Column:
+    """The quantile of the normal distribution, to about 1e-15 of its size; null outside of 0 to 1, both ends included."""
+
+    def ratio(part: str, r: Column) -> Column:
+        up, down = (reduce(lambda acc, c: acc * r + F.lit(c), rest, F.lit(first)) for first, *rest in AS241[part])
+        return up / down
+
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.when(q <= 0, p).otherwise(1 - p)))
+    tail = F.when(r <= 5, ratio("tail", r - 1.6)).otherwise(ratio("far", r - 5))
+    return F.when((p <= 0) | (p >= 1), F.lit(None)).when(F.abs(q) <= 0.425, q * ratio("middle", 0.180625 - q * q)).otherwise(F.when(q < 0, -tail).otherwise(tail))
+
+
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

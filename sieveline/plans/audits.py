@@ -111,11 +111,26 @@ def output_flag_counts(spark, sf_dir):
     return x.groupBy((F.col("k") % 4).alias("form"), flags.alias("flags")).agg(F.count("*").alias("n"))
 
 
-@query(SCORED + " SELECT doc_id, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS back FROM d")
+def _probit_sql(p: str) -> str:
+    def ratio(part: str, r: str) -> str:
+        sides = []
+        for first, *rest in statistics.AS241[part]:
+            text = f"{first!r}::DOUBLE"
+            for c in rest:
+                text = f"({text} * ({r}) + {c!r}::DOUBLE)"
+            sides.append(text)
+        return f"{sides[0]} / {sides[1]}"
+
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {ratio('tail', f'{r} - 1.6')} ELSE {ratio('far', f'{r} - 5')} END"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio('middle', f'0.180625 - ({p} - 0.5) * ({p} - 0.5)')} ELSE {tail} END"
+
+
+@query(SCORED + f" SELECT doc_id, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-ln(p / (1 - p)))), 6) AS back, round({_probit_sql('p')}, 6) AS probit FROM d")
 def link_functions(spark, sf_dir):
-    """Logit and logistic of clipped probabilities."""
+    """Logit, logistic and probit of clipped probabilities."""
     p = statistics.logit(F.col("p"))
-    return scored(spark, sf_dir).select("doc_id", F.round(p, 6).alias("logit"), F.round(statistics.logistic(p), 6).alias("back"))
+    return scored(spark, sf_dir).select("doc_id", F.round(p, 6).alias("logit"), F.round(statistics.logistic(p), 6).alias("back"), F.round(statistics.probit(F.col("p")), 6).alias("probit"))
 
 
 @query("SELECT event_type, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last FROM events GROUP BY 1")

@@ -10,7 +10,7 @@ from sieveline.plans.corpus import t
 from sieveline.plans.registry import query
 from sieveline.plans.streams import stream_of
 from sieveline.session import shared_folder
-from sieveline.sources import lookup, readers, sinks
+from sieveline.sources import lookup, readers, shards, sinks
 from sieveline.streaming import logs
 
 
@@ -236,3 +236,25 @@ def stopped_scan(spark, sf_dir):
     on = len(rest) > len(first) and rest[: len(first)] == first and rest[-1]["scanned"] == size.n
     back = spark.read.schema("doc_id long, lang string").parquet(f"{folder}/rows")
     return back.agg(F.count("*").alias("scanned"), F.count_if(english).alias("kept"), F.count_distinct("doc_id").alias("ids"), F.lit(bool(by_rule)).alias("stopped_by_rule"), F.lit(bool(on)).alias("resumed"))
+
+
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, 'missing' AS without_last, 'repeated' AS with_one_twice FROM documents GROUP BY 1")
+def merged_shards(spark, sf_dir):
+    """Partial sums of six ranges of documents, each stored by a run of its own, merged after a check against the
+    plan; with a shard left out or stored twice the same merge is refused."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    plan = shards.plan_of(docs, "doc_id", 6)
+    folder, listed = shared_folder(spark, "shards"), plan.orderBy("shard").collect()  # six rows at most
+    refused = None
+    for r in listed:
+        if r is listed[-1]:
+            try:
+                shards.merge(spark, folder, plan, ["lang"], ["chars"])
+            except ValueError as e:
+                refused = str(e).rsplit(" ", 1)[1]
+        part = docs.where((F.col("doc_id") >= r.lo) & (F.col("doc_id") < r.hi))
+        shards.write_shard(part, r.shard, r.lo, r.hi, ["lang"], {"chars": F.sum("n_chars")}, folder)
+    stored = shards.manifest(spark, folder)
+    twice = shards.problems(plan, stored.unionByName(stored.where(F.col("shard") == listed[0].shard))).first()
+    merged = shards.merge(spark, folder, plan, ["lang"], ["chars"])
+    return merged.select("lang", "n", "chars", F.lit(refused).alias("without_last"), F.lit(twice.problem).alias("with_one_twice"))

@@ -46,15 +46,25 @@ def streamed_totals(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT count(*) AS n, TRUE AS is_prefix FROM events")
+@query("""WITH p AS (SELECT event_id - (SELECT min(event_id) FROM events) AS i, event_type AS key, (SELECT count(*) FROM events) AS n FROM events
+), l AS (SELECT 'all' AS log, i, key, key AS want FROM p UNION ALL SELECT 'first half', i, key, key FROM p WHERE 2 * i < n
+  UNION ALL SELECT 'with a hole', i, key, key FROM p WHERE 2 * i < n AND i <> 3 UNION ALL SELECT 'other keys', i, CASE WHEN i % 5 = 2 THEN 'other' ELSE key END, key FROM p WHERE 2 * i < n)
+SELECT log, count(*) AS n, count(*) = max(i) + 1 AND count(*) FILTER (key <> want) = 0 AS is_prefix FROM l GROUP BY 1""")
 def resumable_prefix(spark, sf_dir):
-    """ST01 W09 A33: finished rows must be the first ones of the plan. The log of all events, written shard by shard, is
-    checked against the plan, the events numbered in order."""
+    """ST01 W09: finished rows must be the first ones of the plan, the events numbered in order. Four logs, written and
+    read back, are checked: all of it, its first half, that with a hole, and that with other keys."""
     folder = shared_folder(spark, "log")
     e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("key"))
-    plan = e.select((F.col("event_id") - F.lit(e.agg(F.min("event_id")).first()[0])).alias("i"), "key")
-    plan.repartition("key").write.parquet(folder)
-    return logs.prefix_check(spark.read.parquet(folder), plan, "i", "key")
+    ends = e.agg(F.min("event_id").alias("least"), F.count("*").alias("n")).first()
+    plan = e.select((F.col("event_id") - F.lit(ends.least)).alias("i"), "key")
+    half = plan.where(F.col("i") * 2 < ends.n)
+    written = {"all": plan, "first half": half, "with a hole": half.where("i <> 3"), "other keys": half.withColumn("key", F.when(F.col("i") % 5 == 2, "other").otherwise(F.col("key")))}
+    out = None
+    for k, (name, rows) in enumerate(written.items()):
+        rows.repartition("key").write.parquet(f"{folder}/{k}")
+        one = logs.prefix_check(spark.read.parquet(f"{folder}/{k}"), plan, "i", "key").select(F.lit(name).alias("log"), "n", "is_prefix")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT CASE WHEN event_id % 3 = 0 THEN 'hit' WHEN event_id % 3 = 1 THEN 'stale' ELSE 'miss' END AS state, count(*) AS n FROM events GROUP BY 1")

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import curation, lineage
+from sieveline.operators import curation, lineage, statistics
 from sieveline.session import shared_folder
-from sieveline.sources import lookup
+from sieveline.sources import lookup, shards
 from sieveline.streaming import logs
 
 
@@ -109,3 +109,47 @@ def test_other_failures_are_raised(spark):
 
     with pytest.raises(Exception, match="a fault of the rule"):
         logs.scan_until(stream, {"n": F.count("*")}, rule, f"{folder}/rows", f"{folder}/state")
+
+
+def test_shards_merge_only_as_planned(spark):
+    folder = shared_folder(spark, "shards")
+    df = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(100) if i not in range(40, 60)] + [(None, "a", 7)], "at long, g string, v long")
+    plan = shards.plan_of(df, "at", 5)
+    ranges = {r.shard: (r.lo, r.hi, r.n) for r in plan.collect()}
+    assert ranges == {0: (0, 20, 20), 1: (20, 40, 20), 3: (60, 80, 20), 4: (80, 100, 20)}
+
+    def put(shard, lo, hi, where):
+        rows = df.where((F.col("at") >= lo) & (F.col("at") < hi))
+        shards.write_shard(rows, shard, lo, hi, ["g"], {"v": F.sum("v")}, where)
+
+    for k, (lo, hi, _) in ranges.items():
+        if k == 4:
+            with pytest.raises(ValueError, match="4 missing"):
+                shards.merge(spark, folder, plan, ["g"], ["v"])
+        put(k, lo, hi, folder)
+    got = {r.g: (r.n, r.v) for r in shards.merge(spark, folder, plan, ["g"], ["v"]).collect()}
+    want = {g: [i for i in range(100) if "ab"[i % 2] == g and i not in range(40, 60)] for g in "ab"}
+    assert got == {g: (len(v), sum(v)) for g, v in want.items()}
+    with pytest.raises(Exception, match="already exists"):
+        put(0, 0, 20, folder)
+    other = shared_folder(spark, "shards")
+    put(0, 0, 20, other)
+    put(1, 15, 40, other)  # overlaps the first
+    put(7, 90, 95, other)
+    assert {(r.shard, r.problem) for r in shards.problems(plan, shards.manifest(spark, other)).collect()} == {(1, "moved"), (3, "missing"), (4, "missing"), (7, "unplanned")}
+    rows = shards.manifest(spark, folder)
+    assert [(r.shard, r.problem) for r in shards.problems(plan, rows.unionByName(rows.where("shard = 3"))).collect()] == [(3, "repeated")]
+    assert [(r.shard, r.problem) for r in shards.problems(plan, rows.withColumn("n", F.col("n") - (F.col("shard") == 1).cast("int"))).collect()] == [(1, "short")]
+    assert shards.plan_of(df.limit(0), "at", 5).count() == 0
+
+
+def test_probit(spark):
+    from statistics import NormalDist
+
+    ps = [k / 997 for k in range(1, 997)] + [10.0**-k for k in range(1, 301, 13)] + [1 - 10.0**-k for k in range(1, 16)] + [0.0, 1.0, -1.0, 2.0, None]
+    df = spark.createDataFrame([(p,) for p in ps], "p double")
+    for r in df.select("p", statistics.probit(F.col("p")).alias("x")).collect():
+        if r.p is None or not 0 < r.p < 1:
+            assert r.x is None
+        else:
+            assert abs(r.x - NormalDist().inv_cdf(r.p)) < 1e-12 * max(1, abs(r.x))
