@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.hashing import sha256
-from sieveline.session import checkpoint
+from sieveline.session import checkpoint, shared_folder
 
 #: A side is broadcast only below this many bytes (an upper bound worked out before the join).
 BROADCAST_BYTES = 64 << 20
@@ -125,6 +125,9 @@ def shared_keys(df: DataFrame, id: str, keys: list[str]) -> DataFrame:
         raise ValueError("one to four keys")
     rows = df.select(F.col(id).alias("sieve_id"), *[F.col(k).alias(f"sieve_k{i}") for i, k in enumerate(keys)])
     names = [f"sieve_k{i}" for i in range(len(keys))]
+    folder = shared_folder(df.sparkSession, "keys")  # each key is worked out once, not once a count
+    rows.write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder)
     cells = rows.groupBy(*names).agg(F.count("*").alias("sieve_n")).where(F.coalesce(*names).isNotNull())
     total, kinds = -F.lit(1).cast("long"), []
     out = cells
