@@ -37,6 +37,20 @@ def first_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first"))
 
 
+def first_marks(df: DataFrame, keys: list[str], id: str) -> DataFrame:
+    """(id, kept): whether a row is the one with the smallest id of its keys; null keys are equal. Ids are unique and not
+    null. The smallest ids are aggregated and meet the rows by id, so a key that most rows have gathers in no task."""
+    first = df.groupBy(*keys).agg(F.min(id).alias("sieve_first")).select("sieve_first")
+    return df.select(id).join(first, F.col(id) == F.col("sieve_first"), "left").select(id, F.col("sieve_first").isNotNull().alias("kept"))
+
+
+def copy_members(df: DataFrame, key: str, id: str) -> DataFrame:
+    """(first, copies, id): each row of a key with two rows or more, beside the smallest id and the number of its group; a
+    row a member, as a group may be of any size. Null keys form no group."""
+    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("sieve_k")).agg(F.count("*").alias("copies"), F.min(id).alias("first")).where("copies > 1")
+    return df.join(groups, F.col(key) == F.col("sieve_k")).select("first", "copies", id)
+
+
 def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
     """(key, copies) of every key with two rows or more."""
     return df.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")

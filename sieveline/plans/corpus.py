@@ -76,17 +76,24 @@ def exact_duplicate_stats(spark, sf_dir):
 
 @query(f"SELECT {KEY} AS key, count(*) AS copies, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    """Groups of copies with their members."""
+    """Groups of copies with their members in one list each, for groups that fit a row; duplicate_members has any."""
     docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("key"))
     groups = docs.groupBy("key").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("doc_id")).alias("ids")).where("copies > 1")
     return groups.select("key", "copies", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
+@query(f"SELECT * FROM (SELECT min(doc_id) OVER w AS first, count(*) OVER w AS copies, doc_id FROM (SELECT doc_id, {KEY} AS key FROM documents) WHERE key IS NOT NULL WINDOW w AS (PARTITION BY key)) WHERE copies > 1")
+def duplicate_members(spark, sf_dir):
+    """Groups of copies as rows of representative and member, which hold a group of any size."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("key"))
+    return curation.copy_members(docs, "key", "doc_id")
+
+
 @query(f"SELECT doc_id, row_number() OVER (PARTITION BY source, {KEY} ORDER BY doc_id) = 1 AS kept FROM documents")
 def within_source_first(spark, sf_dir):
     """The first row of each text inside its source is kept."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", text.dedup_key(F.col("text")).alias("key"))
-    return curation.keep_first(docs, ["source", "key"], ["doc_id"]).select("doc_id", (F.col("rank_in_key") == 1).alias("kept"))
+    return curation.first_marks(docs, ["source", "key"], "doc_id")
 
 
 @query(f"SELECT {KEY} AS key, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")

@@ -153,3 +153,20 @@ def test_probit(spark):
             assert r.x is None
         else:
             assert abs(r.x - NormalDist().inv_cdf(r.p)) < 1e-12 * max(1, abs(r.x))
+
+
+def test_first_marks_and_members(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, "s", "t"]), rng.choice([None, "k", "k", "l", str(i)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, s string, k string").withColumn("copies", F.lit(1))
+    first = {}
+    for i, s, k in rows:
+        first.setdefault((s, k), i)
+    assert {r.id: r.kept for r in curation.first_marks(df, ["s", "k"], "id").collect()} == {i: first[s, k] == i for i, s, k in rows}
+    groups = {}
+    for i, _, k in rows:
+        if k is not None:
+            groups.setdefault(k, []).append(i)
+    want = sorted((g[0], len(g), i) for g in groups.values() if len(g) > 1 for i in g)
+    assert sorted(tuple(r) for r in curation.copy_members(df, "k", "id").collect()) == want
+    assert curation.copy_members(df.limit(0), "k", "id").count() == 0
