@@ -47,8 +47,9 @@ def first_marks(df: DataFrame, keys: list[str], id: str) -> DataFrame:
 def copy_members(df: DataFrame, key: str, id: str) -> DataFrame:
     """(first, copies, id): each row of a key with two rows or more, beside the smallest id and the number of its group; a
     row a member, as a group may be of any size. Null keys form no group."""
-    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("sieve_k")).agg(F.count("*").alias("copies"), F.min(id).alias("first")).where("copies > 1")
-    return df.join(groups, F.col(key) == F.col("sieve_k")).select("first", "copies", id)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("sieve_k"), F.col(id).alias("sieve_id"))
+    groups = rows.groupBy("sieve_k").agg(F.count("*").alias("copies"), F.min("sieve_id").alias("first")).where("copies > 1")
+    return rows.join(groups, "sieve_k").select("first", "copies", F.col("sieve_id").alias(id))
 
 
 def duplicate_groups(df: DataFrame, key: str) -> DataFrame:
