@@ -173,40 +173,6 @@ def gram_leaks(rows: DataFrame, grams: Column, protected: DataFrame, protected_g
     return rows.select(row_id, F.explode(grams).alias("g")).join(keep, "g", "left_semi").select(row_id).distinct()
 
 
-def similarity_join(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) for all pairs of rows whose token sets have Jaccard >= threshold; exact.
-
-    Prefix filter: tokens are ordered by rarity, and two sets of that similarity must share one of the first
-    |s| - ceil(threshold |s|) + 1 tokens of each. Only these are joined, within the length bound; a frequent token is
-    last in its sets and seldom among them. Survivors are verified on full sets. Empty sets match nothing.
-    """
-    base = df.select(F.col(key).alias("id"), F.array_distinct(F.col(tokens)).alias("s")).where(F.size("s") > 0)
-    count = base.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    ranked = base.select("id", F.size("s").alias("n"), F.explode("s").alias("t")).join(count, "t")
-    w = Window.partitionBy("id").orderBy("c", "t")
-    prefix = ranked.withColumn("p", F.row_number().over(w)).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "t")
-    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t")
-    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    near = (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    full = pairs.join(base.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(base.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    sim = both / (F.size("sa") + F.size("sb") - both)
-    return full.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-
-
-def similarity_classes(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
-    """(a, b, similarity): rows with equal token sets form a class, whose smallest id a links to each other member b with
-    similarity 1; pairs between the smallest ids of classes follow from similarity_join(). A group of g copies thus
-    costs g - 1 links, not g * g / 2 pairs, and its sets are compared once. Empty sets match nothing."""
-    base = df.select(F.col(key).alias("id"), F.array_distinct(F.col(tokens)).alias("s")).where(F.size("s") > 0)
-    known = base.select("id", F.sha2(F.array_join(F.transform(F.array_sort("s"), lambda x: x.cast("string")), " "), 256).alias("k"))
-    first = first_ids(known, "k", "id")
-    star = known.join(first, "k").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    some = base.join(first.select(F.col("first").alias("id")), "id", "left_semi")
-    return star.unionByName(similarity_join(some, "id", "s", threshold))
-
-
 def nearest(df: DataFrame, key: str, tokens: str, bank: DataFrame, bank_key: str, bank_tokens: str, k: int) -> DataFrame:
     """(key, bank_key, similarity, rank): the k bank rows with the highest Jaccard for each row; zero never counts.
 

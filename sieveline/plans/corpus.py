@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import answers, hashing, text, web
-from sieveline.operators import curation
+from sieveline.operators import curation, similarity
 from sieveline.plans.registry import query
 
 
@@ -114,7 +114,7 @@ def near_duplicate_pairs(spark, sf_dir):
     """5-gram Jaccard of at least 0.8, exact, by a prefix-filtered join: links from the first document of
     each set of equal ones to the others, and pairs between the first ones."""
     docs = t(spark, sf_dir, "documents").select("doc_id", F.transform(text.word_grams(text.words(F.col("text")), 5), lambda g: F.xxhash64(g)).alias("grams"))
-    return curation.similarity_classes(docs, "doc_id", "grams", 0.8).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similarity_classes(docs, "doc_id", "grams", 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, {KEY} AS k1, nullif(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' '), '') AS k2 FROM documents
@@ -140,14 +140,13 @@ def duplicate_families(spark, sf_dir):
 SELECT family, count(*) AS members FROM f GROUP BY 1 HAVING count(*) > 1""")
 def near_duplicate_families(spark, sf_dir):
     """Components of documents linked by equal texts or 5-gram Jaccard of at least 0.8 over whole texts; equal
-    texts and equal words are stars, and only the first document of each words is compared with others."""
-    w = text.words(F.col("text"))
-    docs = t(spark, sf_dir, "documents").select("doc_id", text.dedup_key(F.col("text")).alias("k1"), F.when(F.size(w) > 0, F.sha2(F.array_join(w, " "), 256)).alias("k2"), w.alias("w"))
-    stars = [docs.join(curation.first_ids(docs, k, "doc_id"), k).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b") for k in ("k1", "k2")]
-    firsts = docs.join(curation.first_ids(docs.where("k2 is not null"), "k2", "doc_id").select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    grams = firsts.select("doc_id", F.transform(text.word_grams(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("grams"))
-    near = curation.similarity_join(grams, "doc_id", "grams", 0.8).select("a", "b")
-    return curation.families(stars[0].unionByName(stars[1]).unionByName(near)).groupBy("family").agg(F.count("*").alias("members"))
+    texts and equal sets are stars, and near copies are compared between components only."""
+    docs = t(spark, sf_dir, "documents")
+    keys = docs.select("doc_id", text.dedup_key(F.col("text")).alias("k1"))
+    star = keys.join(curation.first_ids(keys, "k1", "doc_id"), "k1").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    grams = docs.select("doc_id", F.transform(text.word_grams(text.words(F.col("text")), 5), lambda g: F.xxhash64(g)).alias("grams"))
+    near = similarity.similarity_links(grams, "doc_id", "grams", 0.8)
+    return curation.families(star.unionByName(near)).groupBy("family").agg(F.count("*").alias("members"))
 
 
 @query(r"""WITH g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) >= 8

@@ -6,7 +6,7 @@ from math import exp, log
 
 from pyspark.sql import functions as F
 
-from sieveline.operators import curation, statistics
+from sieveline.operators import curation, similarity, statistics
 
 
 def brute_episodes(rows):
@@ -74,7 +74,7 @@ def test_similarity_classes_lose_no_link(spark):
         if rng.random() < 0.5:
             s[rng.randrange(20)] = rng.randrange(60, 70)
         rows.append((i, s if i % 20 else []))
-    links = {(r.a, r.b) for r in curation.similarity_classes(spark.createDataFrame(rows, "id long, s array<long>"), "id", "s", 0.8).collect()}
+    links = {(r.a, r.b) for r in similarity.similarity_classes(spark.createDataFrame(rows, "id long, s array<long>"), "id", "s", 0.8).collect()}
     first = {}
     for i, s in rows:
         first.setdefault(frozenset(s), i)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import curation, models
+from sieveline.operators import curation, models, similarity
 from sieveline.sources import readers, sinks
 from sieveline.streaming import logs
 
@@ -101,7 +101,7 @@ def test_similarity_join_is_exact(spark):
     sets += [(100 + i, s[:-1] if len(s) > 6 else s) for i, s in sets[:30]]
     want = {(a, b) for a, x in sets for b, y in sets if a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8}
     df = spark.createDataFrame(sets, "id long, s array<int>")
-    assert {(r.a, r.b) for r in curation.similarity_join(df, "id", "s", 0.8).collect()} == want
+    assert {(r.a, r.b) for r in similarity.similarity_join(df, "id", "s", 0.8).collect()} == want
 
 
 def test_models(spark):
