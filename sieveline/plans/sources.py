@@ -26,13 +26,20 @@ def jsonl_round_trip(spark, sf_dir):
     return readers.jsonl(spark, folder, "event_id long, event_type string, user_id long, props string").drop("_file")
 
 
+#: Bytes of text of one JSON document, about.
+JSON_BYTES = 4 << 20
+
+
 @query("SELECT conv_id, count(*) AS turns, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations GROUP BY 1")
 def json_documents(spark, sf_dir):
     """Whole-file JSON arrays, an element a row."""
     folder = shared_folder(spark, "json")
     rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    some = rows.withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(64))).groupBy("part").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "text")), {"pretty": "true"}).alias("value"))
-    some.select("value").repartition(64).write.text(folder)
+    n_bytes = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = max(64, -(-n_bytes // JSON_BYTES))
+    some = rows.withColumn("part", F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(parts))).groupBy("part").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "text")), {"pretty": "true"}).alias("value"))
+    # of a file with several documents only the first would be read
+    some.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     back = readers.json_document(spark, folder, "conv_id long, turn long, text string")
     return back.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 

@@ -109,3 +109,17 @@ def test_models(spark):
     dealt = models.permuted_labels(df, "y", "id", "s")
     assert dealt.agg(F.sum("y")).first()[0] == 20 and dealt.count() == 40
     assert models.platt(df, "x", "y").where("calibrated between 0 and 1").count() == 40
+
+
+@pytest.mark.parametrize("size", [4 << 20, 500])
+def test_json_documents_of_many_rows_lose_none(spark, tmp_path, monkeypatch, size):
+    from sieveline.plans import sources
+
+    monkeypatch.setattr(sources, "JSON_BYTES", size)
+    said = spark.range(3000, numPartitions=7).select((F.col("id") % 40).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 5 != 0, F.lit("é\n{[")).alias("text"))
+    said.write.parquet(str(tmp_path / "conversations.parquet"))
+    spread_out = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")  # rows dealt in turn by several tasks met in one file
+    got = {r.conv_id: (r.turns, r.chars) for r in sources.json_documents(spark, str(tmp_path)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", spread_out)
+    assert got == {i: (75, 0 if i % 5 == 0 else 300) for i in range(40)}
