@@ -178,7 +178,7 @@ GATES = {"has_number": "[0-9]", "has_license": "(?i)licensed? under", "has_email
 @query("SELECT lang, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {n}" for n, p in GATES.items()) + ", count(*) FILTER (" + " AND ".join(f"regexp_matches(text, '{p}')" for p in GATES.values()) + ") AS all_flags FROM documents GROUP BY lang")
 def regex_gates(spark, sf_dir):
     """Counts of named regex flags and of their conjunction."""
-    cols = curation.flags(GATES, F.col("text"))
+    cols = curation.flags(GATES | {"has_license": "(?i)licen[sſ]ed? under"}, F.col("text"))  # without case SQL takes the long s for s
     return t(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(c).alias(n) for n, c in cols.items()])
 
 

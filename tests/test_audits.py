@@ -129,3 +129,16 @@ def test_isotonic_out_of_fold(spark):
                 inside = 0 <= i < len(xs) - 1
                 want = fit[i] + (fit[i + 1] - fit[i]) * (r.p - xs[i]) / (xs[i + 1] - xs[i]) if inside else fit[max(i, 0)]
                 assert abs(r.calibrated - want) < 1e-9
+
+
+def test_shortlist_has_the_word_boundaries_and_cases_of_sql(spark, duck, tmp_path):
+    from sieveline.plans import registry
+
+    texts = ["1 lesè", "1 éel", "1 the", "1 thee", "1 leſ", "1 leſx", "1 _der", "1 el licenſe under", "1 el licenſed UNDER", "1 el abKſ!!", "1 el abK!!", "1 el AbCd!!", "el", None]
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = {r[0] for r in con.execute(registry.ORACLE["surface_shortlist"]).fetchall()}
+    assert {r.doc_id for r in registry.QUERIES["surface_shortlist"](spark, str(tmp_path)).collect()} == want
+    assert {0, 1, 2} <= want and not want & {3, 4, 12}
