@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.hashing import hash_int
 from sieveline.session import checkpoint
 
 
@@ -110,19 +112,79 @@ def calibration(df: DataFrame, p: str, y: str, by: list[str], bins: int = 5) ->
     return per.groupBy(*by).agg(F.sum("m").alias("n"), (F.sum("sn") / F.sum("m")).alias("nll"), (F.sum("sb") / F.sum("m")).alias("brier"), (F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("m")).alias("ece"))
 
 
+CHUNK = 1 << 18  #: draws of one row of work
+CLUSTERS = 1 << 16  #: clusters of one block
+
+
+def _numbered(groups: DataFrame, by: list[str], key: str) -> DataFrame:
+    """groups with j, its number in its cell by order of key from 0, counted by ranges of the order: no task sees a cell whole."""
+    ranges = checkpoint(groups.repartitionByRange(*by, key)).withColumn("sieve_p", F.spark_partition_id())
+    counts = ranges.groupBy(*by, "sieve_p").agg(F.count("*").alias("sieve_n"))
+    before = F.sum("sieve_n").over(Window.partitionBy(*by).orderBy("sieve_p")) - F.col("sieve_n")
+    inside = ranges.withColumn("j", F.row_number().over(Window.partitionBy(*by, "sieve_p").orderBy(key)))
+    return inside.join(F.broadcast(counts.withColumn("sieve_n", before)), [*by, "sieve_p"]).withColumn("j", F.col("j") + F.col("sieve_n") - 1).drop("sieve_p", "sieve_n")
+
+
+def _drawn(size: int, width: int):
+    """Rows (cell, prefix, n, b, chunk): the draws of a chunk of size, hash(prefix, i) mod n, as (cell, block, b, places
+    in the block of width clusters as 16-bit numbers)."""
+
+    def run(batches):
+        for pdf in batches:
+            for cell, prefix, n, b, chunk in zip(pdf["cell"], pdf["prefix"], pdf["n"], pdf["b"], pdf["chunk"]):
+                start = prefix.encode()
+                raw = b"".join([hashlib.sha256(start + b"%d" % i).digest()[:4] for i in range(chunk * size, min(n, (chunk + 1) * size))])
+                j = np.sort(np.frombuffer(raw, ">u4").astype(np.int64) % n)
+                blocks, at = np.unique(j // width, return_index=True)
+                parts = [p.astype(np.uint16).tobytes() for p in np.split(j % width, at[1:])]
+                yield pd.DataFrame({"cell": cell, "block": blocks, "b": b, "places": parts})
+
+    return run
+
+
+def _block_sums(width: int):
+    """(cell, b, num, den, how many of each are not null) over the clusters of a block that each replicate draws there."""
+
+    def run(key: tuple, clusters: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros((width, 4))
+        both = clusters[["num", "den"]].to_numpy(np.float64, na_value=np.nan)
+        values[clusters["j"].to_numpy() % width] = np.hstack([np.nan_to_num(both, nan=0.0), ~np.isnan(both)])
+        found = [(b, *values[np.frombuffer(p, np.uint16)].sum(axis=0)) for b, p in zip(draws["b"], draws["places"])]
+        out = pd.DataFrame(found, columns=["b", "num", "den", "n_num", "n_den"]).groupby("b", as_index=False).sum()
+        out.insert(0, "cell", key[0])
+        return out
+
+    return run
+
+
+def _replicates(groups: DataFrame, by: list[str], key: str, numerator: str, denominator: str, replicates: int, seed: list) -> DataFrame:
+    """(by, b, num, den): the sums of replicate b, in which draw i takes cluster number hash(seed, b, i) mod n of its cell.
+
+    No draw is a row: a task draws a chunk and sends each block of clusters the places drawn there, two bytes a draw; the
+    sums of a block leave its task as one row a replicate."""
+    cell = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"})
+    numbered = _numbered(groups.select(*by, key, F.col(numerator).cast("double").alias("num"), F.col(denominator).cast("double").alias("den")), by, key)
+    sizes = groups.groupBy(*by).agg(F.count("*").alias("n")).withColumn("cell", cell)
+    prefix = F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in [*seed, F.col("b")]], F.lit(""))
+    each = sizes.crossJoin(F.broadcast(groups.sparkSession.range(replicates).withColumnRenamed("id", "b")))
+    work = each.select("cell", prefix.alias("prefix"), "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"))
+    cores = groups.sparkSession.sparkContext.defaultParallelism
+    draws = work.repartition(4 * cores, "cell", "b", "chunk").mapInPandas(_drawn(CHUNK, CLUSTERS), "cell string, block long, b long, places binary")
+    clusters = numbered.select(cell.alias("cell"), F.floor(F.col("j") / CLUSTERS).alias("block"), F.col("j").cast("long").alias("j"), "num", "den")
+    blocks = clusters.groupBy("cell", "block").cogroup(draws.groupBy("cell", "block")).applyInPandas(_block_sums(CLUSTERS), "cell string, b long, num double, den double, n_num double, n_den double")
+    some = lambda c: F.when(F.sum(f"n_{c}") > 0, F.sum(c)).alias(c)
+    return blocks.groupBy("cell", "b").agg(some("num"), some("den")).join(F.broadcast(sizes.select("cell", *by)), "cell").drop("cell")
+
+
 def clustered_bootstrap(groups: DataFrame, by: list[str], key: str, numerator: str, denominator: str, replicates: int, seed: str) -> DataFrame:
     """Source-clustered bootstrap of a ratio of sums: (by, lo, hi, p_two_sided).
 
     groups has one pre-aggregated row a cluster: its sums of numerator and denominator. In replicate b draw i takes
     cluster number hash(seed, b, i) mod n of its cell, so a replicate is n draws with replacement. Clusters are
-    numbered once; the draws are joined to them by (cell, number). Undefined replicates are dropped.
+    numbered once, by key. Undefined replicates are dropped.
     """
-    spark = groups.sparkSession
-    numbered = groups.withColumn("j", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1)
-    sizes = groups.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = sizes.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "b"))).select(*by, "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    draws = draws.select(*by, "b", (hash_int(seed, F.col("b"), F.col("i")) % F.col("n")).alias("j"))
-    stat = draws.join(numbered, [*by, "j"]).groupBy(*by, "b").agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("stat")).where("stat is not null")
+    sums = _replicates(groups, by, key, numerator, denominator, replicates, [seed])
+    stat = sums.select(*by, F.try_divide("num", "den").alias("stat")).where("stat is not null")
     return stat.groupBy(*by).agg(
         F.percentile("stat", F.lit(0.025)).alias("lo"),
         F.percentile("stat", F.lit(0.975)).alias("hi"),
@@ -179,12 +241,8 @@ def classification(df: DataFrame, y: str, predicted: str, by: list[str]) -> Data
 def stratified_bootstrap(groups: DataFrame, strata: list[str], key: str, numerator: str, denominator: str, replicates: int, seed: str) -> DataFrame:
     """One row (lo, hi): a ratio of sums where clusters are resampled inside each stratum. The ends are order
     statistics, the floor(0.025 B)th and ceil(0.975 B) - 1th replicate from 0, not interpolated."""
-    spark = groups.sparkSession
-    numbered = groups.withColumn("j", F.row_number().over(Window.partitionBy(*strata).orderBy(key)) - 1)
-    sizes = groups.groupBy(*strata).agg(F.count("*").alias("n"))
-    draws = sizes.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "b"))).select(*strata, "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    draws = draws.select(*strata, "b", (hash_int(seed, *[F.col(s) for s in strata], F.col("b"), F.col("i")) % F.col("n")).alias("j"))
-    stat = draws.join(numbered, [*strata, "j"]).groupBy("b").agg(F.try_divide(F.sum(numerator), F.sum(denominator)).alias("stat")).where("stat is not null")
+    sums = _replicates(groups, strata, key, numerator, denominator, replicates, [seed, *[F.col(c) for c in strata]])
+    stat = sums.groupBy("b").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("stat")).where("stat is not null")
     ranked = stat.agg(F.array_sort(F.collect_list("stat")).alias("x"))  # one number a replicate
     n = F.size("x")
     return ranked.select(F.get("x", F.floor(n * 0.025).cast("int")).alias("lo"), F.get("x", (F.ceil(n * 0.975) - 1).cast("int")).alias("hi"))

@@ -85,3 +85,21 @@ def test_edges(spark):
     assert set(got) == {"a", "c"}  # b has no value in any replicate
     assert (got["a"].lo, got["a"].hi, got["a"].p, got["a"].defined) == (0.5, 0.5, 0.0, 400)
     assert abs(got["c"].defined / 400 - 0.75) < 0.1 and math.isclose(got["c"].lo, 1.0)
+
+
+def test_hashed_draws_over_blocks_and_chunks(spark, monkeypatch):
+    """Clusters and draws of several blocks and chunks, against draws one by one; a cell with null sums only has no ends."""
+    import hashlib
+
+    from sieveline.operators import statistics
+
+    monkeypatch.setattr(statistics, "CHUNK", 16)
+    monkeypatch.setattr(statistics, "CLUSTERS", 8)
+    rows = [("a", i * 7 % 101, None if i % 9 == 0 else i % 5 - 2, i % 4 + 1) for i in range(101)] + [(None, i, 1, 2) for i in range(3)] + [("n", i, None, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "arm string, key long, num long, den long")
+    got = {r.arm: r for r in statistics.clustered_bootstrap(df, ["arm"], "key", "num", "den", 50, "s").collect()}
+    draw = lambda b, i, n: int(hashlib.sha256(f"s|{b}|{i}".encode()).hexdigest()[:8], 16) % n
+    x = sorted((r for r in rows if r[0] == "a"), key=lambda r: r[1])
+    stat = [sum(x[j][2] or 0 for j in d) / sum(x[j][3] for j in d) for b in range(50) for d in [[draw(b, i, 101) for i in range(101)]]]
+    assert "n" not in got and np.allclose([got["a"].lo, got["a"].hi], np.quantile(stat, [0.025, 0.975]))
+    assert math.isclose(got["a"].p, min(1, 2 * min(np.mean(np.array(stat) <= 0), np.mean(np.array(stat) >= 0))))
