@@ -11,6 +11,7 @@ import ast
 import re
 from collections import Counter
 from fractions import Fraction
+from functools import lru_cache
 from math import gcd, isqrt
 
 import pandas as pd
@@ -64,7 +65,7 @@ def plain_latex(text: Column) -> Column:
         out = F.regexp_replace(out, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
     for command, plain in ((r"\\cdot", "*"), (r"\\times", "*"), (r"\\div", "/"), (r"\\pi", "pi")):
         out = F.regexp_replace(out, command, plain)
-    return F.trim(out)
+    return F.when(text.rlike(r"[\\;]"), F.trim(out)).otherwise(F.trim(text))  # without either no pattern fits
 
 
 def decimal_text(answer: Column) -> Column:
@@ -262,9 +263,25 @@ def read_value(answer: str | None) -> str | None:
         return _text({(1, 0): Fraction(lead[0])} if lead and Fraction(lead[0]) else {}) if lead else None
 
 
+#: Distinct texts whose values a task keeps at hand.
+KEPT = 1 << 14
+
+
+def _once(texts: pd.Series, value) -> pd.Series:
+    """value of each text, worked out once for equal ones of a batch; null stays null."""
+    codes, distinct = pd.factorize(texts)
+    found = pd.array([value(t) for t in distinct] + [None], dtype=object)  # -1, of null, is the last
+    return pd.Series(found[codes], index=texts.index, dtype=object)
+
+
+@lru_cache(KEPT)
+def _read(answer: str) -> str | None:
+    return read_value(answer)
+
+
 @F.pandas_udf(T.StringType())
 def _exact(answer: pd.Series) -> pd.Series:
-    return answer.map(read_value, na_action="ignore")
+    return _once(answer, _read)
 
 
 def exact_value(answer: Column) -> Column:
@@ -285,18 +302,19 @@ def gsm8k(answer: Column) -> Column:
     return F.struct(F.when(final != "", F.trim(final)).alias("final"), steps.alias("steps"))
 
 
+@lru_cache(KEPT)
+def _worked_out(e: str) -> str | None:
+    try:
+        v = parse_expression(e) if re.fullmatch(r"[\d\s.+*/()-]+", e) else None
+    except (ValueError, SyntaxError, ZeroDivisionError, TypeError, RecursionError, AttributeError):
+        return None
+    return None if v is None or isinstance(v, tuple) else _text(v)
+
+
 @F.pandas_udf(T.StringType())
 def arithmetic(expression: pd.Series) -> pd.Series:
     """Exact value of + - * / over rational numbers as `n` or `n/d`; null for any other form. Parsed, never run."""
-
-    def one(e: str | None):
-        try:
-            v = parse_expression(e) if e is not None and re.fullmatch(r"[\d\s.+*/()-]+", e) else None
-        except (ValueError, SyntaxError, ZeroDivisionError, TypeError, RecursionError, AttributeError):
-            return None
-        return None if v is None or isinstance(v, tuple) else _text(v)
-
-    return expression.map(one)
+    return _once(expression, _worked_out)
 
 
 def numbers(text: Column) -> Column:

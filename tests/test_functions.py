@@ -149,3 +149,12 @@ def test_roots_are_reduced_by_all_their_primes():
         assert (root, c) == ((q, p) if p != q else (p, p))
     assert time.time() - start < 10
     assert read(f"sqrt({(2**61 - 1) * (2**89 - 1)})") is None  # beyond what is factored: no value rather than a wrong one
+
+
+def test_equal_texts_are_read_once():
+    import pandas as pd
+
+    seen = []
+    got = answers._once(pd.Series(["1", None, "2", "1", "2"], index=[4, 3, 2, 1, 0]), lambda x: seen.append(x) or (None if x == "2" else x + "!"))
+    assert got.tolist() == ["1!", None, None, "1!", None] and got.index.tolist() == [4, 3, 2, 1, 0] and seen == ["1", "2"]
+    assert answers._once(pd.Series([], dtype=object), str).tolist() == []
