@@ -159,8 +159,8 @@ def degeneration_labels(spark, sf_dir):
         F.concat(F.lit(english), F.lit("0123456789 " * 4), F.lit(vietnamese)),
         said("A short and sound note about @ things."),
     ]
-    x = lines(spark, sf_dir).where("q > 25").select(text.degeneration(by_template(7, forms), F.lit(True)).alias("label"))
-    per = x.groupBy("label").agg(F.count("*").alias("n"))
+    x = lines(spark, sf_dir).where("q > 25").groupBy(by_template(7, forms).alias("a")).agg(F.count("*").alias("n"))  # equal outputs are judged once
+    per = x.groupBy(text.degeneration(F.col("a"), F.lit(True)).alias("label")).agg(F.sum("n").alias("n"))
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("all")))).select("label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 

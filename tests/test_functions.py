@@ -158,3 +158,13 @@ def test_equal_texts_are_read_once():
     got = answers._once(pd.Series(["1", None, "2", "1", "2"], index=[4, 3, 2, 1, 0]), lambda x: seen.append(x) or (None if x == "2" else x + "!"))
     assert got.tolist() == ["1!", None, None, "1!", None] and got.index.tolist() == [4, 3, 2, 1, 0] and seen == ["1", "2"]
     assert answers._once(pd.Series([], dtype=object), str).tolist() == []
+
+
+def test_equal_outputs_are_judged_once(spark):
+    """Outputs are counted by text before they are judged."""
+    from conftest import SF
+
+    from sieveline.plans.answers import degeneration_labels
+
+    plan = degeneration_labels(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 5  # by text and by label, in both sides of the shares, and their total
