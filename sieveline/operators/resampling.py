@@ -3,8 +3,10 @@
 A replicate of n clusters is a multinomial draw: how often each of them is taken, n in all. The counts come from a tree of
 binomials. Clusters lie in blocks by hash; a cell's draws are split over halves of its blocks, again and again, each split
 seeded by the cell and the node, so every task that walks from the root to its own block finds the same numbers without
-asking others. Inside a block, whose size is bounded, the draws that reached it are dealt among its clusters. No draw is a
-row, clusters are not numbered, and what leaves a task is one vector of `replicates` slots a cell and sum.
+asking others. Clusters of a cell with equal sums are interchangeable, so a block holds distinct sums, each with the number
+of its clusters, and the work grows with the distinct sums. Inside a block, whose size is bounded, the draws that reached it
+are dealt among its clusters, or among their sums by a multinomial draw where many clusters are alike. No draw is a row,
+clusters are not numbered, and what leaves a task is one vector of `replicates` slots a cell and sum.
 """
 
 from __future__ import annotations
@@ -16,7 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048  #: clusters of a block, about
+from sieveline.session import checkpoint
+
+BLOCK = 2048  #: distinct sums of a block, about
+ALIKE = 4  #: clusters a sum, on the mean, from which a block is dealt by multinomial draws
+DIGITS = 14  #: significant digits by which sums are told apart (whole numbers of so many are exact)
 SLOTS = 250  #: replicates of one slice of a vector, and of one matrix of counts
 
 
@@ -40,20 +46,28 @@ def reaching(cell: str, sizes: np.ndarray, block: int, replicates: int, seed: st
     return count
 
 
-def dealt(cell: str, block: int, count: np.ndarray, values: np.ndarray, seed: str) -> np.ndarray:
-    """Sums of values(cluster, sum) over count[b] draws of the block's clusters with replacement, for each replicate b."""
+def dealt(cell: str, block: int, count: np.ndarray, values: np.ndarray, seed: str, alike: np.ndarray | None = None) -> np.ndarray:
+    """Sums of values over count[b] draws of the block's clusters with replacement, for each replicate b; a row of values
+    stands for one cluster, or for alike of them."""
     out = np.empty((len(count), values.shape[1]))
     rng, n = _rng(seed, cell, "block", block), len(values)
+    ends = np.arange(1, n + 1) if alike is None else np.cumsum(alike)
     for a in range(0, len(count), SLOTS):
         some = count[a : a + SLOTS]
-        row = np.repeat(np.arange(len(some)), some)
-        taken = np.bincount(row * n + rng.integers(0, n, len(row)), minlength=len(some) * n).reshape(len(some), n)
+        if ends[-1] >= ALIKE * n:
+            taken = rng.multinomial(some, alike / ends[-1])
+        else:
+            row = np.repeat(np.arange(len(some)), some)
+            at = rng.integers(0, ends[-1], len(row))
+            if ends[-1] > n:
+                at = np.searchsorted(ends, at, side="right")
+            taken = np.bincount(row * n + at, minlength=len(some) * n).reshape(len(some), n)
         out[a : a + SLOTS] = taken @ values
     return out
 
 
 def _vectors(sizes: dict, sums: list[str], replicates: int, seed: str):
-    """Rows (cell, block, key, sums...), whole blocks together and sorted by key: (cell, slice, sums as bytes)."""
+    """Rows (cell, block, alike, sums...), whole blocks together and sorted: (cell, slice, sums as bytes)."""
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -62,7 +76,7 @@ def _vectors(sizes: dict, sums: list[str], replicates: int, seed: str):
             for (cell, block), mine in pdf.groupby(["cell", "block"], sort=False):
                 count = reaching(cell, sizes[cell], int(block), replicates, seed)
                 total.setdefault(cell, np.zeros((replicates, len(sums))))
-                total[cell] += dealt(cell, int(block), count, mine[sums].to_numpy(np.float64), seed)
+                total[cell] += dealt(cell, int(block), count, mine[sums].to_numpy(np.float64), seed, mine["alike"].to_numpy(np.int64))
 
         rest = None
         for pdf in batches:
@@ -101,25 +115,25 @@ def _added(sums: list[str]):
 def resampled_sums(clusters: DataFrame, by: list[str], key: str, sums: list[str], replicates: int = 10_000, seed: str = "boot") -> DataFrame:
     """(by, b, sums...): the sums over the clusters that replicate b takes; b from 0.
 
-    clusters has a row for each cluster of a cell, with its sums; cells are resampled apart. Null sums count as 0; a null
-    key is a cluster like any other; an empty table gives no rows. The same seed gives the same draws however the rows
+    clusters has a row for each cluster of a cell, named by key, with its sums; cells are resampled apart. Null sums count
+    as 0 and sums are taken to DIGITS digits; a null key is a cluster like any other; an empty table gives no rows. The same seed gives the same draws however the rows
     are partitioned (sums of doubles that are no integers may differ in the last bits).
     """
     spark = clusters.sparkSession
     cell = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(by)]), {"ignoreNullFields": "false"}) if by else F.lit("{}")
-    rows = clusters.select(cell.alias("cell"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("h"), *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)])
-    cells = [r.cell for r in rows.groupBy("cell").count().orderBy("cell").collect()]  # few: each returns all replicates
-    if not cells:
-        return spark.createDataFrame([], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in clusters.select(*by).schema] + ["b long"] + [f"`{s}` double" for s in sums]))
-    number = {r.cell: max(1, -(-r["count"] // BLOCK)) for r in rows.groupBy("cell").count().collect()}
-    blocks = F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(number[c]))])
-    rows = rows.withColumn("block", F.pmod("h", F.element_at(blocks, F.col("cell"))).cast("int"))
-    sizes = {c: np.zeros(number[c], np.int64) for c in cells}
-    for r in rows.groupBy("cell", "block").count().collect():  # a number for BLOCK clusters
-        sizes[r.cell][r.block] = r["count"]
     names = [f"s{i}" for i in range(len(sums))]
+    told = [F.format_string(f"%.{DIGITS - 1}e", F.coalesce(F.col(c).cast("double"), F.lit(0.0)) + 0.0).alias(n) for c, n in zip(sums, names)]
+    rows = checkpoint(clusters.select(cell.alias("cell"), *told).groupBy("cell", *names).agg(F.count("*").alias("alike")))
+    number = {r.cell: max(1, -(-r["count"] // BLOCK)) for r in rows.groupBy("cell").count().orderBy("cell").collect()}  # few: each returns all replicates
+    if not number:
+        return spark.createDataFrame([], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in clusters.select(*by).schema] + ["b long"] + [f"`{s}` double" for s in sums]))
+    blocks = F.create_map(*[x for c in number for x in (F.lit(c), F.lit(number[c]))])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *names), F.element_at(blocks, F.col("cell"))).cast("int"))
+    sizes = {c: np.zeros(number[c], np.int64) for c in number}
+    for r in rows.groupBy("cell", "block").agg(F.sum("alike").alias("n")).collect():  # a number for BLOCK distinct sums
+        sizes[r.cell][r.block] = r["n"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(number.values()) // 8)
-    dealt_out = rows.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block", "key", *names).drop("h", "key")
+    dealt_out = rows.select("cell", "block", "alike", *[F.col(n).cast("double").alias(n) for n in names]).repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block", *names)
     vectors = dealt_out.mapInPandas(_vectors(sizes, names, replicates, seed), "cell string, slice long, x binary")
     found = vectors.groupBy("cell", "slice").applyInPandas(_added(names), "cell string, b long, " + ", ".join(f"{n} double" for n in names))
     kinds = {f.name: f.dataType for f in clusters.select(*by).schema}

@@ -15,6 +15,7 @@ from sieveline.functions.hashing import hash_int
 from sieveline.operators import curation, evaluation, resampling, statistics
 from sieveline.plans.corpus import t
 from sieveline.plans.registry import query
+from sieveline.session import checkpoint
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +386,7 @@ def stratified_intervals(spark, sf_dir):
     """10,000 replicates of customers resampled inside the order status, of each return flag."""
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("st"))
     g = t(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_returnflag").alias("arm"), "o_custkey", "st").agg(F.sum("l_discount").alias("num"), F.count("*").alias("den"))
+    g = checkpoint(g)  # read five times
     ends = resampling.intervals(g, ["arm"], "o_custkey", ["num", "den"], F.try_divide("num", "den"), seed="strata", strata=["st"])
     means = g.groupBy("arm", "st").agg(F.avg("num").alias("mn"), F.avg("den").alias("md"))
     rate = g.groupBy("arm").agg((F.sum("num") / F.sum("den")).alias("rate"), F.count("*").alias("clusters"))

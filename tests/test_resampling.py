@@ -103,3 +103,18 @@ def test_hashed_draws_over_blocks_and_chunks(spark, monkeypatch):
     stat = [sum(x[j][2] or 0 for j in d) / sum(x[j][3] for j in d) for b in range(50) for d in [[draw(b, i, 101) for i in range(101)]]]
     assert "n" not in got and np.allclose([got["a"].lo, got["a"].hi], np.quantile(stat, [0.025, 0.975]))
     assert math.isclose(got["a"].p, min(1, 2 * min(np.mean(np.array(stat) <= 0), np.mean(np.array(stat) >= 0))))
+
+
+def test_clusters_with_equal_sums_are_drawn_together(spark):
+    """Counts of three sums that many clusters have, against the multinomial; ends over 60,000 clusters of 20 sums."""
+    alike, replicates = np.array([50, 30, 20]), 20_000
+    taken = resampling.dealt("c", 0, np.full(replicates, 100), np.eye(3), "s", alike)
+    p = alike / 100
+    assert (taken.sum(axis=1) == 100).all() and np.abs(taken.mean(axis=0) - alike).max() < 0.2
+    assert np.abs(np.cov(taken.T) - 100 * (np.diag(p) - np.outer(p, p))).max() < 0.8
+    few = resampling.dealt("c", 0, np.full(replicates, 4), np.eye(3), "s", np.array([2, 1, 1]))  # too few to be alike
+    assert (few.sum(axis=1) == 4).all() and np.abs(few.mean(axis=0) - [2, 1, 1]).max() < 0.05
+    df = spark.range(60_000).select(F.lit("a").alias("arm"), F.col("id").alias("key"), (F.col("id") % 5 * 0.1).alias("num"), (F.col("id") % 4 + 1).alias("den"))
+    got = resampling.intervals(df, ["arm"], "key", ["num", "den"], F.try_divide("num", "den"), 2000).first()
+    se = math.sqrt(sum((i % 5 * 0.1 - 0.08 * (i % 4 + 1)) ** 2 for i in range(20)) / 20 / 60_000) / 2.5
+    assert abs(got.lo - 0.08 + 1.96 * se) < 0.3 * se and abs(got.hi - 0.08 - 1.96 * se) < 0.3 * se
