@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def wide_attempts(attempts: DataFrame, ks: list[int]) -> DataFrame:
-    """One row a problem: pid, answers and oks as arrays in the order of ks; problems without all of them are left out."""
-    some = attempts.where(F.col("k").isin(ks)).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("answer", "ok")))).alias("m"))
+def wide_attempts(attempts: DataFrame, ks: list[int], more: list[str] | None = None) -> DataFrame:
+    """One row a problem: pid, answers and oks as arrays in the order of ks, and arrays of more columns by their names;
+    problems without all of them are left out."""
+    more = more or []
+    some = attempts.where(F.col("k").isin(ks)).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("answer", "ok", *more)))).alias("m"))
     full = some.where(F.size("m") == len(ks))
-    return full.select("pid", F.array(*[F.col("m")[k]["answer"] for k in ks]).alias("answers"), F.array(*[F.col("m")[k]["ok"] for k in ks]).alias("oks"))
+    return full.select("pid", *[F.array(*[F.col("m")[k][c] for k in ks]).alias(name) for c, name in [("answer", "answers"), ("ok", "oks"), *[(c, c) for c in more]]])
 
 
 def plurality(answers: Column, priority: list[int]) -> Column:
@@ -27,13 +29,13 @@ def plurality(answers: Column, priority: list[int]) -> Column:
     return out
 
 
-def strategies(wide: DataFrame, priority3: list[int], priority5: list[int]) -> DataFrame:
+def strategies(wide: DataFrame, priority3: list[int], priority5: list[int], more: list[str] | None = None) -> DataFrame:
     """pid and whether each strategy ends right, from five attempts (the first is the original): keep, blind1, maj3,
-    maj5, agree_gated (the original if the first two agree, else maj3), oracle (any right)."""
+    maj5, agree_gated (the original if the first two agree, else maj3), oracle (any right); and more columns."""
     a, ok = F.col("answers"), F.col("oks")
     agree = F.coalesce(F.get(a, 0) == F.get(a, 1), F.lit(False))
     v3, v5 = plurality(F.slice(a, 1, 3), priority3), plurality(F.slice(a, 1, 5), priority5)
-    base = wide.select("pid", F.get(ok, 0).alias("keep"), F.get(ok, 1).alias("blind1"), F.element_at(ok, v3 + 1).alias("maj3"), F.element_at(ok, v5 + 1).alias("maj5"), agree.alias("agree"), F.exists(F.slice(ok, 1, 5), lambda x: x).alias("oracle"))
+    base = wide.select("pid", *(more or []), F.get(ok, 0).alias("keep"), F.get(ok, 1).alias("blind1"), F.element_at(ok, v3 + 1).alias("maj3"), F.element_at(ok, v5 + 1).alias("maj5"), agree.alias("agree"), F.exists(F.slice(ok, 1, 5), lambda x: x).alias("oracle"))
     return base.withColumn("agree_gated", F.when(F.col("agree"), F.col("keep")).otherwise(F.col("maj3"))).withColumn("calls", F.when(F.col("agree"), 2).otherwise(3))
 
 

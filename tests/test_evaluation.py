@@ -48,3 +48,12 @@ def test_shapley_parts_sum_to_the_gap(spark):
     df = spark.createDataFrame([("x", 0, 10, 4, 1, 5), ("x", 1, 12, 9, 6, 3)], "c string, arm int, n int, hard int, right_hard int, right_easy int")
     r = statistics.shapley_two(df, ["c"]).first()
     assert abs(r.gap - r.mix_part - r.skill_part) < 1e-12
+
+
+def test_token_accounting_groups_attempts_once(spark):
+    from conftest import SF
+
+    from sieveline.plans.audits import token_accounting
+
+    plan = token_accounting(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # lines with orders; no second reading of the attempts is joined to the first
