@@ -123,3 +123,23 @@ def test_json_documents_of_many_rows_lose_none(spark, tmp_path, monkeypatch, siz
     got = {r.conv_id: (r.turns, r.chars) for r in sources.json_documents(spark, str(tmp_path)).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", spread_out)
     assert got == {i: (75, 0 if i % 5 == 0 else 300) for i in range(40)}
+
+
+def test_sets_are_worked_on_in_slices():
+    """A batch of many sets takes little memory beyond itself, and slices change no row."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = np.append(np.full(10_000, 3, np.int32), [0, similarity.SLICE_TOKENS + 5, 0]).astype(np.int32)
+    tokens = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, int(n.sum()), dtype=np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(tokens))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), lists], ["id", "s"])
+    tracemalloc.start()
+    made = []
+    for x in similarity._bitmaps(iter([batch])):
+        made += zip(x.column("id").to_pylist(), x.column("n").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == list(zip(range(len(n)), n.tolist())) and peak < 64 << 20
