@@ -200,7 +200,8 @@ def families(edges: DataFrame) -> DataFrame:
     Each round every node takes the smallest label among its neighbours and then that label's own label, so long
     chains halve; rounds end when no label changes. The lineage is cut by a checkpoint after each.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpoint(edges.select(F.explode(ways).alias("x")).select("x.a", "x.b").distinct())  # a union would work edges out twice
     labels = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("family", F.col("node")))
     while True:
         low = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("family").alias("low"))

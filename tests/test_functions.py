@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import answers, text, web
+from sieveline.operators import curation
 
 
 def one(spark, rows, schema, *cols):
@@ -168,3 +169,26 @@ def test_equal_outputs_are_judged_once(spark):
 
     plan = degeneration_labels(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 5  # by text and by label, in both sides of the shares, and their total
+
+
+def test_gram_hashes_tell_grams_apart_as_texts_do(spark):
+    texts = ["a b c d e f g", "a b c d e", "b c d e f", "a b", "ab", "a", "b a", "", None, "a a a a a a a a", "A-b c, d e", "a b c d"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    w = text.words(F.col("text"))
+    rows = df.select(F.explode(F.arrays_zip(text.word_grams(w, 5).alias("g"), text.gram_hashes(w, 5).alias("h"))).alias("x")).select("x.g", "x.h").collect()
+    sizes = df.select(F.size(text.word_grams(w, 5)).alias("g"), F.size(text.gram_hashes(w, 5)).alias("h")).collect()
+    assert all(r.g == r.h for r in sizes) and len(rows) == sum(r.g for r in sizes)
+    assert len({r.g for r in rows}) == len({r.h for r in rows}) == len({(r.g, r.h) for r in rows})
+
+
+def test_families_work_edges_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 6)], "a long, b long").repartition(2).mapInArrow(count, "a long, b long")
+    got = {(r.node, r.family) for r in curation.families(edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)} and seen.value == 4
