@@ -97,6 +97,35 @@ def test_filters_drop_pairs_that_one_order_lets_through():
     assert passed["one"] > 3 * passed["all"]
 
 
+def test_sketches_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(9)
+    for n in (1, 40, 500, 3000):
+        for gone, more in ((0, 0), (1, 0), (n // 9, n // 10), (n, n)):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            y = np.append(x[gone:], rng.integers(0, 2**63, more).astype(np.uint64))
+            apart = np.bitwise_count((gram_join.sketch(x) ^ gram_join.sketch(y)).view(np.uint64)).sum()
+            assert apart <= gone + more and (apart + gone + more) % 2 == 0
+
+
+def test_join_compares_no_texts_of_pairs_that_sketches_tell_apart(spark, monkeypatch):
+    """Each passage is in two documents, so all prefixes meet, but one pair alone is similar."""
+    made, stored = {}, gram_join.stored
+
+    def counted(df, what, path=None):
+        out = stored(df, what, path)
+        made[what] = out.count()
+        return out
+
+    monkeypatch.setattr(gram_join, "stored", counted)
+    rng = random.Random(10)
+    passage = {(i, j): " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for i in range(6) for j in range(6)}
+    texts = [" ".join(passage[i, j] for j in range(6)) for i in range(6)] + [" ".join(passage[i, j] for i in range(6)) for j in range(6)]
+    rows = list(enumerate([*texts, "and " + texts[3] + " then"]))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows, 5, 80)
+    assert made["groups"] > 60
+    assert (made["star"], made["texts"], made["links"], made["packs"]) == (1, 2, 1, 0)
+
+
 # search
 
 
