@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from test_llm import DOCS, brute_components, edge_rows, words
 
-from sieveline.llm import clusters, gram_join, search
+from sieveline.llm import clusters, gram_join, near_dup, search
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +126,15 @@ def test_join_compares_no_texts_of_pairs_that_sketches_tell_apart(spark, monkeyp
     assert (made["star"], made["texts"], made["links"], made["packs"]) == (1, 2, 1, 0)
 
 
+@pytest.mark.parametrize("join", [gram_join.gram_join, near_dup.near_duplicates])
+def test_all_texts_of_a_document_are_compared(spark, join):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [(1, t) for t in texts] + [(2 + i, t + " end") for i, t in enumerate(texts)] + [(9, "and " + texts[2] + " then")]
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k=2).collect())
+    assert found == brute_components(rows, 2, 80) and {c for _, _, c in found} == {1}
+
+
 # search
 
 
